@@ -22,7 +22,7 @@ def risk_allele(text: Column) -> Column:
 
 def gene_symbols(mapped_gene: Column) -> Column:
     """Mapped genes ``A - B`` as an array of trimmed symbols."""
-    return F.transform(F.split(mapped_gene, " - "), F.trim)
+    return F.transform(F.split(mapped_gene, " - "), lambda part: F.trim(part))
 
 
 def hgvs_alleles(hgvs: Column) -> Column:

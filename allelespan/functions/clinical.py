@@ -39,7 +39,7 @@ def clinical_struct(clnsig: Column, clndn: Column, clnrevstat: Column) -> Column
 
 def significance_terms(significance: Column) -> Column:
     """Lower-case terms between ``/`` and ``,``; an empty array where there are none."""
-    terms = F.transform(F.split(F.lower(significance), "[/,]"), F.trim)
+    terms = F.transform(F.split(F.lower(significance), "[/,]"), lambda part: F.trim(part))
     return F.coalesce(F.filter(terms, lambda term: term != ""), F.array().cast("array<string>"))
 
 
