@@ -11,19 +11,38 @@ from allelespan.functions.clinical import matches_significance
 from allelespan.functions.contigs import RSID_PATTERN
 from allelespan.functions.genotypes import alt_count, called_alleles, variant_class, zygosity_of
 from allelespan.operators.filters import contains_ignoring_case
-from allelespan.operators.joins import first_calls
-from allelespan.schemas import LAYERS, SITE_KEY
+from allelespan.operators.joins import first_calls_at
+from allelespan.schemas import SITE_KEY
+
+
+def record_counts() -> dict[str, Column]:
+    """Aggregates over calls: all records, SNPs, indels and multi-allelic records."""
+    kind = variant_class(F.col("ref"), F.col("alt"))
+    return {
+        "total": F.count("*"),
+        "snps": F.count_if(kind == "SNP"),
+        "indels": F.count_if(kind == "Indel"),
+        "multi_allelic": F.count_if(alt_count(F.col("alt")) > 1),
+    }
+
+
+def layer_counts() -> dict[str, Column]:
+    """Aggregates over annotated calls: how many each layer reaches."""
+    return {
+        "snpeff": F.count("gene"),
+        "clinvar": F.count("clnsig"),
+        "gnomad": F.count(F.coalesce("af", "af_grpmax")),
+        "dbsnp": F.count("rsid"),
+    }
+
+
+def _named(counts: dict[str, Column]) -> list[Column]:
+    return [count.alias(name) for name, count in counts.items()]
 
 
 def variant_stats(calls: DataFrame) -> DataFrame:
     """Per genome: all records, SNPs, indels and multi-allelic records."""
-    kind = variant_class(F.col("ref"), F.col("alt"))
-    return calls.groupBy("genome").agg(
-        F.count("*").alias("total"),
-        F.count_if(kind == "SNP").alias("snps"),
-        F.count_if(kind == "Indel").alias("indels"),
-        F.count_if(alt_count(F.col("alt")) > 1).alias("multi_allelic"),
-    )
+    return calls.groupBy("genome").agg(*_named(record_counts()))
 
 
 def traits_for_gene(gwas: DataFrame, gene: str, n: int = 20) -> DataFrame:
@@ -63,8 +82,7 @@ def significance_summary(annotated: DataFrame, term: str = "athogenic") -> DataF
 def non_reference_star_alleles(pgx_variants: DataFrame, calls: DataFrame, genes: list[str]) -> DataFrame:
     """Per genome and listed gene: star-allele rows with a call other than homozygous reference. Zero rows are left out."""
     rows = pgx_variants.filter(F.upper("gene").isin(*[gene.upper() for gene in genes]))
-    places = rows.select("chrom", "pos").distinct()
-    called = first_calls(calls.join(places, ["chrom", "pos"], "left_semi"))
+    called = first_calls_at(calls, rows)
     zygosity = zygosity_of(called_alleles(F.col("gt"), F.col("ref"), F.col("alt")), F.col("ref"))
     other = called.filter(zygosity != "homozygous_ref").select("genome", "chrom", "pos")
     return other.join(rows.select("gene", "chrom", "pos"), ["chrom", "pos"]).groupBy("genome", "gene").agg(F.count("*").alias("non_reference"))
@@ -120,12 +138,9 @@ def genes_in_result(annotated: DataFrame) -> DataFrame:
 
 def layer_coverage(annotated: DataFrame) -> DataFrame:
     """Per genome and layer: calls, annotated calls and their share."""
-    def known(name: str) -> Column:
-        return F.count(LAYERS[name][0]) if name != "gnomad" else F.count(F.coalesce("af", "af_grpmax"))
-
-    names = {"snpeff": known("snpeff"), "clinvar": known("clinvar"), "gnomad": known("gnomad"), "dbsnp": F.count("rsid")}
-    wide = annotated.groupBy("genome").agg(F.count("*").alias("calls"), *[count.alias(name) for name, count in names.items()])
-    long = wide.unpivot(["genome", "calls"], list(names), "layer", "annotated")
+    counts = layer_counts()
+    wide = annotated.groupBy("genome").agg(F.count("*").alias("calls"), *_named(counts))
+    long = wide.unpivot(["genome", "calls"], list(counts), "layer", "annotated")
     return long.withColumn("share", F.round(F.col("annotated") / F.col("calls"), 4))
 
 

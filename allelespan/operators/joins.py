@@ -165,11 +165,11 @@ def star_allele_genotypes(positions: DataFrame, calls: DataFrame) -> DataFrame:
     A position without a call keeps its row. Calls are cut to the listed positions before one is chosen
     per position; few positions also prune the scan.
     """
-    places = positions.select("chrom", "pos").distinct()
+    places = positions.filter("chrom IS NOT NULL AND pos IS NOT NULL").select("chrom", "pos").distinct()
     pinned = pin_if_small(places)
     if pinned is not None:
         calls, places = calls.filter(site_predicate(pinned)), F.broadcast(pinned)
-    at_places = first_calls(calls.join(places, ["chrom", "pos"], "left_semi"))
+    at_places = first_calls_at(calls, places)
     called = at_places.select("chrom", "pos", genotype_struct(F.col("gt"), F.col("ref"), F.col("alt")).alias("genotype"))
     joined = positions.join(called, ["chrom", "pos"], "left")
     return joined.withColumn("status", genotype_status())
@@ -187,6 +187,16 @@ def first_calls(calls: DataFrame) -> DataFrame:
     return top_per_group(calls, ["genome", "chrom", "pos"], ["ref", "alt", F.col("gt").asc_nulls_last()], 1)
 
 
+def first_calls_at(calls: DataFrame, places: DataFrame) -> DataFrame:
+    """One call per genome at the positions of ``places(chrom, pos)``.
+
+    The rows are spread by genome and position before the choice. Without that, the choice would ride on
+    the join's own spread by position, and a position called in every genome would stay in one task.
+    """
+    wanted = places.select("chrom", "pos").distinct()
+    return first_calls(calls.join(wanted, ["chrom", "pos"], "left_semi").repartition("genome", "chrom", "pos"))
+
+
 def score_contributions(weights: DataFrame, calls: DataFrame) -> DataFrame:
     """Weights joined with the calls at their positions: allele dosage and contribution per genome.
 
@@ -195,8 +205,7 @@ def score_contributions(weights: DataFrame, calls: DataFrame) -> DataFrame:
     """
     alleles = called_alleles(F.col("gt"), F.col("ref"), F.col("alt"))
     # only positions that some score uses take part in the per-position choice of a call
-    scored = calls.join(weights.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
-    called = first_calls(scored).select("genome", "chrom", "pos", "ref", "alt", "gt", alleles.alias("alleles"))
+    called = first_calls_at(calls, weights).select("genome", "chrom", "pos", "ref", "alt", "gt", alleles.alias("alleles"))
     joined = weights.join(called, ["chrom", "pos"])
     count = dosage(F.col("alleles"), F.col("effect_allele"))
     return joined.withColumn("dosage", count).withColumn("contribution", F.col("dosage") * F.col("weight"))

@@ -65,33 +65,36 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], n:
     return kept if rank else kept.drop(column)
 
 
-def hot_keys(df: DataFrame, on: list[str], fraction: float = 0.01) -> DataFrame:
-    """Hashes of keys that hold at least ``fraction`` of the rows; at most ``1/fraction`` rows.
+def hot_keys(df: DataFrame, on: list[str], fraction: float = 0.01) -> list[int]:
+    """Hashes of the keys that hold at least ``fraction`` of the rows; there can be at most ``1/fraction``.
 
     One pass over the key columns with a mergeable frequent-items sketch; nothing is shuffled but the
-    sketches. The sketch only picks keys to salt and never affects results.
+    sketches. The answer only decides which keys to salt and never affects results.
     """
     most = int(1 / fraction)
     sketch = df.select(F.xxhash64(*on).alias("_hash")).agg(
         F.expr(f"approx_top_k(_hash, {most}, {most * 100})").alias("_items"), F.count("*").alias("_total")
     )
     items = sketch.select(F.explode("_items").alias("_item"), "_total")
-    return items.filter(F.col("_item.count") >= F.col("_total") * fraction).select(F.col("_item.item").alias("_hash"))
+    rows = items.filter(F.col("_item.count") >= F.col("_total") * fraction).select("_item.item").take(most)
+    return [row[0] for row in rows]
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", fraction: float = 0.01, salts: int = 32) -> DataFrame:
     """Equi-join that spreads hot keys of ``left`` over ``salts`` tasks, whatever the session's settings.
 
-    Only rows of hot keys are salted on the left and repeated on the right. ``how`` is ``inner``,
-    ``left``, ``left_semi`` or ``left_anti``: joins that never output unmatched right rows.
+    Only rows of hot keys are salted on the left and repeated on the right; without hot keys this is the
+    plain join. The keys are fixed as literals before the join is planned: both sides must agree on them
+    even if a task has to be run again. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``,
+    the joins that never output unmatched right rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how!r}")
-    # bounded: at most 1/fraction keys can each hold that fraction of the rows
-    hot = F.broadcast(hot_keys(left, on, fraction).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), content_salt(left, salts)).otherwise(0).cast("int")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.withColumn("_hash", F.xxhash64(*on)).join(hot, "_hash", "left").withColumn("_salt", salt)
-    salted_right = right.withColumn("_hash", F.xxhash64(*on)).join(hot, "_hash", "left").withColumn("_salt", F.explode(copies))
-    joined = salted_left.drop("_hash", "_hot").join(salted_right.drop("_hash", "_hot"), [*on, "_salt"], how)
-    return joined.drop("_salt")
+    hot = hot_keys(left, on, fraction)
+    if not hot:
+        return left.join(right, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    salted_left = left.withColumn("_salt", F.when(is_hot, content_salt(left, salts)).otherwise(0).cast("int"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(copies))
+    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")

@@ -24,28 +24,20 @@ def _noted_calls(cohort: Cohort, genome: str | None) -> DataFrame:
 def genome_summary(cohort: Cohort, genome: str | None = ALL_GENOMES, genes: tuple[str, ...] = QUICK_CHECK_GENES) -> DataFrame:
     """Per genome: variant counts, annotated calls per layer, pathogenic findings and drug-gene findings.
 
-    Everything counted on annotated calls comes from one join; the parts have one row per genome.
+    All counts over the calls come from one pass: first per genome and gene, then per genome, which also
+    counts the genes without collecting them.
     """
-    stats = aggregates.variant_stats(cohort.calls_of(genome))
-    noted = _noted_calls(cohort, genome)
     pathogenic = F.coalesce(F.lower("clnsig").contains("athogenic"), F.lit(False))
-    per_gene = noted.groupBy("genome", "gene").agg(
-        F.count("gene").alias("with_effect"),
-        F.count("clnsig").alias("with_significance"),
-        F.count(F.coalesce("af", "af_grpmax")).alias("with_frequency"),
-        F.count("rsid").alias("with_rsid"),
-        F.count_if(pathogenic).alias("pathogenic"),
-    )
-    named = (F.coalesce("gene", F.lit("")) != "") & (F.col("pathogenic") > 0)
-    sums = [F.sum(name).alias(name) for name in ("with_effect", "with_significance", "with_frequency", "with_rsid", "pathogenic")]
-    notes = per_gene.groupBy("genome").agg(*sums, F.count_if(named).alias("pathogenic_genes"))
+    counts = {**aggregates.record_counts(), **aggregates.layer_counts(), "pathogenic": F.count_if(pathogenic)}
+    per_gene = _noted_calls(cohort, genome).groupBy("genome", "gene").agg(*[count.alias(name) for name, count in counts.items()])
+    affected = (F.coalesce("gene", F.lit("")) != "") & (F.col("pathogenic") > 0)
+    summary = per_gene.groupBy("genome").agg(*[F.sum(name).alias(name) for name in counts], F.count_if(affected).alias("pathogenic_genes"))
     drugs = aggregates.non_reference_star_alleles(cohort.pgx_variants, cohort.calls_of(genome), list(genes))
     per_genome = drugs.groupBy("genome").agg(F.sum("non_reference").alias("pgx_non_reference"), F.count("*").alias("pgx_genes"))
-    joined = stats.join(notes, "genome", "left").join(per_genome, "genome", "left")
-    return joined.fillna(0, ["pgx_non_reference", "pgx_genes"])
+    return summary.join(per_genome, "genome", "left").fillna(0, ["pgx_non_reference", "pgx_genes"])
 
 
 def list_genomes(cohort: Cohort) -> DataFrame:
     """Genomes present, with their calls and the annotated calls per layer."""
-    coverage = aggregates.layer_coverage(_noted_calls(cohort, ALL_GENOMES).withColumn("rsid_source", F.lit(None)))
-    return coverage.groupBy("genome", "calls").pivot("layer", ["snpeff", "clinvar", "gnomad", "dbsnp"]).agg(F.first("annotated"))
+    counts = {"calls": F.count("*"), **aggregates.layer_counts()}
+    return _noted_calls(cohort, ALL_GENOMES).groupBy("genome").agg(*[count.alias(name) for name, count in counts.items()])

@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from allelespan.schemas import LAYERS, SITE_KEY
 
 
-def write_sites(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet in chromosome folders, each file holding one sorted stretch of positions.
+# Columns that are looked up by value; their row groups get Bloom filters.
+LOOKUP_COLUMNS = ("rsid", "genome", "gene")
+
+
+def _site_writer(df: DataFrame) -> DataFrameWriter:
+    """Writer of rows spread by ranges of (chrom, pos), not by chromosome.
 
-    Rows are spread by ranges of (chrom, pos), not by chromosome, so a chromosome with a third of all
-    rows becomes many files written by many tasks, and position filters can skip row groups.
+    A chromosome with a third of all rows becomes many files written by many tasks, each holding one
+    sorted stretch of positions, so position filters skip files and row groups.
     """
     order = [name for name in ("chrom", "pos", "ref", "alt", "genome") if name in df.columns]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("chrom").parquet(path)
+    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("chrom")
+    for name in LOOKUP_COLUMNS:
+        if name in df.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    return writer
+
+
+def write_sites(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Parquet in chromosome folders, sorted by position."""
+    _site_writer(df).mode(mode).parquet(path)
 
 
 def replace_chromosomes(df: DataFrame, path: str) -> None:
     """Overwrite only the chromosomes present in ``df``."""
-    order = [name for name in ("chrom", "pos", "ref", "alt", "genome") if name in df.columns]
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chrom").parquet(path)
+    _site_writer(df).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """A table bucketed and sorted by site.
+
+    Two tables with the same number of buckets join on the site without shuffling either; worth it for
+    calls and annotations that are joined again and again. A site's rows share a bucket, so tables with
+    very hot sites are better kept as ``write_sites`` leaves them.
+    """
+    spread = df.repartition(buckets, *SITE_KEY)  # one file per bucket
+    spread.write.mode("overwrite").option("path", path).bucketBy(buckets, *SITE_KEY).sortBy(*SITE_KEY).saveAsTable(table)
 
 
 def write_tsv(df: DataFrame, path: str, order: list[Column | str]) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from allelespan.operators import joins, layers, reference_builds
 from allelespan.plans.traits import sensitive_associations
 from allelespan.schemas import CLINICAL_COLUMNS
+from allelespan.sources import sinks
 from testbed.cases_sources import O_GENE_CATALOG, CPIC_SOURCES, cpic, gene_names, gene_records
 from testbed.registry import Tables, query
 
@@ -28,6 +29,16 @@ def join_annotate_salted(t: Tables) -> DataFrame:
     return joins.annotate(t.calls, t.annotations, salted=True)
 
 
+@query("join_annotate_bucketed", _ANNOTATED)
+def join_annotate_bucketed(t: Tables) -> DataFrame:
+    """Both tables written in buckets once; the join then reads them without a shuffle."""
+    folder = t.folder()
+    name = "annotate_" + folder.rsplit("-", 1)[1]
+    sinks.write_bucketed(t.calls, f"{name}_calls", f"{folder}/calls", 16)
+    sinks.write_bucketed(t.annotations, f"{name}_annotations", f"{folder}/annotations", 16)
+    return joins.annotate(t.spark.table(f"{name}_calls"), t.spark.table(f"{name}_annotations"))
+
+
 @query("join_rsid", f"SELECT {_CALL}, gt, rsid, gene, impact FROM o_annotated WHERE rsid = 'rs50' AND (chrom, pos, ref, alt) IN (SELECT {_KEY} FROM d_annotations)")
 def join_rsid(t: Tables) -> DataFrame:
     return joins.calls_for_rsids(t.calls, t.annotations, ["rs50"]).select(*_CALL_KEY, "gt", "rsid", "gene", "impact")

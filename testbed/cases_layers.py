@@ -67,16 +67,21 @@ def layer_refresh(t: Tables) -> DataFrame:
     return rows.select(*key, "rsid", "gene", *CLINICAL_COLUMNS, "af")
 
 
+_NOW, _BEFORE = "s_acctbal > 2000", "s_acctbal < 8000"
+_TOUCHED = "s_nationkey % 3 <> 0"
+
+
 @query(
     "layer_fingerprint",
-    """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'changed' WHEN 1 THEN 'new' WHEN 2 THEN 'gone' END AS state, 'f' || cast(s_suppkey AS string) AS file
-       FROM supplier WHERE s_suppkey % 4 <> 3""",
+    f"""SELECT * FROM (SELECT 'f' || cast(s_suppkey AS string) AS file,
+               CASE WHEN NOT ({_BEFORE}) THEN 'new' WHEN NOT ({_NOW}) THEN 'gone' WHEN {_TOUCHED} THEN 'changed' END AS state FROM supplier) s WHERE state IS NOT NULL""",
 )
 def layer_fingerprint(t: Tables) -> DataFrame:
+    """Files of two listings: poor suppliers' are gone, rich ones' are new, and some changed in size or time."""
     name = "'f' || cast(s_suppkey AS string) AS file"
-    size = "1000 + s_suppkey AS size"
-    now = t.sql(f"SELECT {name}, {size}, 77 AS modified FROM supplier WHERE s_suppkey % 4 <> 2")
-    before = t.sql(f"SELECT {name}, CASE WHEN s_suppkey % 8 = 0 THEN 5 ELSE 1000 + s_suppkey END AS size, CASE WHEN s_suppkey % 8 = 4 THEN 66 ELSE 77 END AS modified FROM supplier WHERE s_suppkey % 4 <> 1")
+    now = t.sql(f"SELECT {name}, 1000 + s_suppkey AS size, 77 AS modified FROM supplier WHERE {_NOW}")
+    size = "CASE WHEN s_nationkey % 3 = 1 THEN 5 ELSE 1000 + s_suppkey END AS size"
+    before = t.sql(f"SELECT {name}, {size}, CASE WHEN s_nationkey % 3 = 2 THEN 66 ELSE 77 END AS modified FROM supplier WHERE {_BEFORE}")
     return layers.changed_files(now, before)
 
 

@@ -150,7 +150,7 @@ def calculate_prs(t: Tables) -> DataFrame:
 @query(
     "genome_summary",
     """SELECT a.genome, count(*) AS total, count(*) FILTER (WHERE kind = 'SNP') AS snps, count(*) FILTER (WHERE kind = 'Indel') AS indels, count(*) FILTER (WHERE contains(alt, ',')) AS multi_allelic,
-              count(gene) AS with_effect, count(clnsig) AS with_significance, count(coalesce(af, af_grpmax)) AS with_frequency, count(rsid) AS with_rsid,
+              count(gene) AS snpeff, count(clnsig) AS clinvar, count(coalesce(af, af_grpmax)) AS gnomad, count(rsid) AS dbsnp,
               count(*) FILTER (WHERE contains(lower(clnsig), 'athogenic')) AS pathogenic, count(DISTINCT gene) FILTER (WHERE contains(lower(clnsig), 'athogenic')) AS pathogenic_genes,
               coalesce(any_value(p.pgx_non_reference), 0)::bigint AS pgx_non_reference, coalesce(any_value(p.pgx_genes), 0) AS pgx_genes
        FROM (SELECT *, CASE WHEN length(ref) = 1 AND len(list_filter(string_split(alt, ','), lambda x: length(x) <> 1)) = 0 THEN 'SNP' ELSE 'Indel' END AS kind FROM o_annotated) a
