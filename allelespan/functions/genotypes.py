@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def called_alleles(gt: Column, ref: Column, alt: Column) -> Column:
     """Allele letters of a genotype; NULL if any allele is missing, ``?`` for an unknown index.
 
-    Genotypes with one or two alleles, nearly all there are, avoid the higher-order function.
+    One or two alleles, nearly all genotypes there are, are cut out as text; only higher ploidy takes
+    the higher-order function.
     """
-    letters = F.concat(F.array(ref), F.split(alt, ","))
-    indexes = F.split(gt, r"[/|]")
+    plain = F.translate(gt, "|", "/")
+    separators = F.length(plain) - F.length(F.replace(plain, F.lit("/"), F.lit("")))
 
     def letter(index: Column) -> Column:
-        return F.coalesce(F.get(letters, index.try_cast("int")), F.lit("?"))
+        listed = F.get(F.split(alt, ","), index.try_cast("int") - 1)
+        return F.when(index == "0", ref).when((index == "1") & ~alt.contains(","), alt).otherwise(F.coalesce(listed, F.lit("?")))
 
-    first, second = letter(F.get(indexes, F.lit(0))), letter(F.get(indexes, F.lit(1)))
+    first, last = letter(F.substring_index(plain, "/", 1)), letter(F.substring_index(plain, "/", -1))
     return (
         F.when(gt.isNull() | gt.contains("."), F.lit(None))
-        .when(F.size(indexes) == 1, F.array(first))
-        .when(F.size(indexes) == 2, F.array(first, second))
-        .otherwise(F.transform(indexes, letter))
+        .when(separators == 1, F.array(first, last))
+        .when(separators == 0, F.array(first))
+        .otherwise(F.transform(F.split(plain, "/"), letter))
     )
 
 
@@ -36,13 +38,21 @@ def zygosity_of(alleles: Column, ref: Column) -> Column:
     )
 
 
-def genotype_struct(gt: Column, ref: Column, alt: Column) -> Column:
+def genotype_struct(alleles: Column, ref: Column) -> Column:
     """Display text (alleles joined by ``/``, phase dropped) and zygosity."""
-    alleles = called_alleles(gt, ref, alt)
     display = F.when(alleles.isNull(), F.lit("no call")).otherwise(F.array_join(alleles, "/"))
     return F.struct(display.alias("display"), zygosity_of(alleles, ref).alias("zygosity"))
 
 
+def with_genotype(calls: DataFrame) -> DataFrame:
+    """Calls with ``genotype{display, zygosity}`` added.
+
+    The alleles are a step of their own: they are read several times and should be built once.
+    """
+    listed = calls.withColumn("_alleles", called_alleles(F.col("gt"), F.col("ref"), F.col("alt")))
+    return listed.withColumn("genotype", genotype_struct(F.col("_alleles"), F.col("ref"))).drop("_alleles")
+
+
 def zygosity_label(zygosity: Column) -> Column:
     """Short form for result tables."""
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.clinical import clinical_struct
 from allelespan.functions.contigs import check_rsid
-from allelespan.functions.genotypes import called_alleles, dosage, genotype_struct, zygosity_label
+from allelespan.functions.genotypes import called_alleles, dosage, with_genotype, zygosity_label
 from allelespan.functions.vcf_fields import frequency_struct
 from allelespan.operators.filters import with_significance
 from allelespan.operators.sizing import pin_if_small, salted_join, site_predicate, top_per_group
@@ -37,15 +37,15 @@ def annotate(calls: DataFrame, annotations: DataFrame, salted: bool = False) ->
 def variant_records(annotated: DataFrame) -> DataFrame:
     """Flat annotated calls as nested variant records; an empty group of fields is a NULL struct."""
     effect = F.when(F.coalesce("gene", F.lit("")) != "", F.struct(*EFFECT_COLUMNS))
-    genotype = F.col("genotype") if "genotype" in annotated.columns else genotype_struct(F.col("gt"), F.col("ref"), F.col("alt"))
-    return annotated.select(
+    rows = annotated if "genotype" in annotated.columns else with_genotype(annotated)
+    return rows.select(
         *[name for name in ("genome",) if name in annotated.columns],
         "chrom",
         "pos",
         "rsid",
         "ref",
         "alt",
-        genotype.alias("genotype"),
+        "genotype",
         effect.alias("annotation"),
         clinical_struct(F.col("clnsig"), F.col("clndn"), F.col("clnrevstat")).alias("clinvar"),
         frequency_struct(F.col("af"), F.col("af_grpmax")).alias("population_freq"),
@@ -170,7 +170,7 @@ def star_allele_genotypes(positions: DataFrame, calls: DataFrame) -> DataFrame:
     if pinned is not None:
         calls, places = calls.filter(site_predicate(pinned)), F.broadcast(pinned)
     at_places = first_calls_at(calls, places)
-    called = at_places.select("chrom", "pos", genotype_struct(F.col("gt"), F.col("ref"), F.col("alt")).alias("genotype"))
+    called = with_genotype(at_places).select("chrom", "pos", "genotype")
     joined = positions.join(called, ["chrom", "pos"], "left")
     return joined.withColumn("status", genotype_status())
 
@@ -223,8 +223,7 @@ def association_genotypes(associations: DataFrame, calls: DataFrame, annotations
     order = ["chrom", "pos", "ref", "alt", F.col("gt").asc_nulls_last()]
     by = ["genome", "rsid"]
     first = top_per_group(hits, by, order, 1)
-    genotype = genotype_struct(F.col("gt"), F.col("ref"), F.col("alt"))
-    called = first.select("genome", "rsid", genotype.alias("genotype"))
+    called = with_genotype(first).select("genome", "rsid", "genotype")
     return associations.join(called, "rsid", "left")
 
 
@@ -233,11 +232,10 @@ def pair_genomes(calls: DataFrame, first: str, second: str) -> DataFrame:
 
     One grouped pass instead of a self-join; the scan is filtered to the two genomes.
     """
-    genotype = genotype_struct(F.col("gt"), F.col("ref"), F.col("alt"))
-    rows = calls.filter(F.col("genome").isin(first, second)).withColumn("_genotype", genotype)
+    rows = with_genotype(calls.filter(F.col("genome").isin(first, second)))
 
     def of(genome: str, part: str) -> Column:
-        return F.max(F.when(F.col("genome") == genome, F.col(f"_genotype.{part}")))
+        return F.max(F.when(F.col("genome") == genome, F.col(f"genotype.{part}")))
 
     return rows.groupBy(*SITE_KEY).agg(
         F.max("id").alias("id"),

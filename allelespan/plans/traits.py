@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.functions.associations import gene_symbols
-from allelespan.functions.genotypes import zygosity_label
+from allelespan.functions.genotypes import with_genotype, zygosity_label
 from allelespan.operators import aggregates, filters, joins, ranking
 from allelespan.operators.sizing import interval_predicate
 from allelespan.plans.cohort import Cohort
-from allelespan.sources.vcf import with_genotype
 
 
 def _drug_rows(cohort: Cohort, drug: str | None, gene: str | None) -> DataFrame:

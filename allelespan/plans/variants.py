@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.functions.clinical import spaced
+from allelespan.functions.genotypes import with_genotype
 from allelespan.operators import filters, joins, ranking
 from allelespan.operators.sizing import interval_predicate
 from allelespan.plans.cohort import Cohort
-from allelespan.sources.vcf import with_genotype
 
 MAX_RSIDS = 50
 MAX_GENES = 20

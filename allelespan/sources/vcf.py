@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import normalize_chrom
-from allelespan.functions.genotypes import genotype_struct
 from allelespan.functions.vcf_fields import effect_fields, first_frequency, info_field
 from allelespan.schemas import CLINICAL_COLUMNS, EFFECT_COLUMNS, SITE_KEY
 
@@ -124,8 +123,3 @@ def identifier_layer(lines: DataFrame, contig_names: DataFrame | None = None) ->
     """Identifiers; records without one are dropped."""
     parsed = parse_vcf(lines, contig_names=contig_names)
     return parsed.filter(F.coalesce("rsid", F.lit("")) != "").select(*SITE_KEY, "rsid")
-
-
-def with_genotype(calls: DataFrame) -> DataFrame:
-    """Calls with ``genotype{display, zygosity}`` added."""
-    return calls.withColumn("genotype", genotype_struct(F.col("gt"), F.col("ref"), F.col("alt")))

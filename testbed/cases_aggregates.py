@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelespan.functions.genotypes import with_genotype
 from allelespan.operators import aggregates, filters, joins, layers, ranking, reference_builds
 from allelespan.sources import tables
-from allelespan.sources.vcf import with_genotype
 from testbed import texts
 from testbed.cases_joins import O_STARS, release, _RELEASE
 from testbed.cases_sources import O_PATHOGENIC, O_SEVERE, cpic, gene_names, phenotypes, variant_summary

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.functions import contigs
+from allelespan.functions.genotypes import with_genotype
 from allelespan.operators import aggregates, filters, joins
-from allelespan.sources.vcf import with_genotype
 from testbed.registry import Tables, query
 
 _KEY = "chrom, pos, ref, alt"

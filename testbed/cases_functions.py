@@ -71,8 +71,7 @@ def fn_parse_af(t: Tables) -> DataFrame:
 
 @query("fn_parse_genotype", "SELECT genome, k, display, zygosity FROM o_calls")
 def fn_parse_genotype(t: Tables) -> DataFrame:
-    genotype = genotypes.genotype_struct(F.col("gt"), F.col("ref"), F.col("alt"))
-    return t.view("d_calls").select("genome", "k", genotype.alias("g")).select("genome", "k", "g.*")
+    return genotypes.with_genotype(t.view("d_calls")).select("genome", "k", "genotype.*")
 
 
 @query(
