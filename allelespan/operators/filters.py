@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.clinical import is_suppressed, matches_significance, spaced
 from allelespan.functions.contigs import RSID_PATTERN, bare_chrom, check_rsid, parse_region
+from allelespan.session import local_table
 
 IMPACT_LEVELS = ("HIGH", "MODERATE", "LOW", "MODIFIER")  # fixed values
 TEXT_FIELDS = ("impact", "effect", "gene", "transcript", "hgvs_c", "hgvs_p")
@@ -32,9 +33,7 @@ def in_regions(df: DataFrame, regions: Sequence[str], labelled: bool = False) ->
 
     The list is a parameter, so its intervals become a filter that reaches the scan.
     """
-    spark = df.sparkSession
     parsed = [(region, *parse_region(region)) for region in dict.fromkeys(regions)]
-    intervals = spark.createDataFrame(parsed, "region string, chrom string, start_pos long, end_pos long")
     tests = [(F.col("chrom") == chrom) & F.col("pos").between(start, end) for _, chrom, start, end in parsed]
     wanted = F.lit(False)
     for test in tests:
@@ -42,6 +41,7 @@ def in_regions(df: DataFrame, regions: Sequence[str], labelled: bool = False) ->
     rows = df.filter(wanted)
     if not labelled:
         return rows
+    intervals = local_table(df.sparkSession, parsed, "region string, chrom string, start_pos long, end_pos long")
     hit = [rows["chrom"] == intervals["chrom"], rows["pos"].between(intervals["start_pos"], intervals["end_pos"])]
     return rows.join(F.broadcast(intervals), hit).select(intervals["region"], *[rows[name] for name in rows.columns])
 

@@ -12,8 +12,9 @@ from allelespan.functions.contigs import check_rsid
 from allelespan.functions.genotypes import called_alleles, dosage, with_genotype, zygosity_label
 from allelespan.functions.vcf_fields import frequency_struct
 from allelespan.operators.filters import with_significance
-from allelespan.operators.sizing import pin_if_small, salted_join, site_predicate, top_per_group
+from allelespan.operators.sizing import Pinned, pin_if_small, salted_join, site_predicate, top_per_group
 from allelespan.schemas import EFFECT_COLUMNS, SITE_KEY
+from allelespan.session import local_table
 
 GENE_PADDING = 2_000
 INTERVAL_BIN = 65_536
@@ -75,7 +76,7 @@ def calls_at_sites(calls: DataFrame, sites: DataFrame, how: str = "inner") -> Da
     pinned = pin_if_small(sites)
     if pinned is None:
         return annotate_inner(calls, sites, how)
-    return annotate_inner(calls.filter(site_predicate(pinned)), F.broadcast(pinned), how)
+    return annotate_inner(calls.filter(site_predicate(pinned.rows)), F.broadcast(pinned.table), how)
 
 
 def annotate_inner(calls: DataFrame, sites: DataFrame, how: str = "inner") -> DataFrame:
@@ -92,7 +93,7 @@ def calls_for_rsids(calls: DataFrame, annotations: DataFrame, rsids: Sequence[st
 def requested_rsids(spark, rsids: Sequence[str]) -> DataFrame:
     """The request list as a table, in request order; a parameter, so its size is the caller's."""
     unique = list(dict.fromkeys(check_rsid(rsid) for rsid in rsids))
-    return spark.createDataFrame(list(enumerate(unique, 1)), "request_order long, rsid string")
+    return local_table(spark, list(enumerate(unique, 1)), "request_order long, rsid string")
 
 
 def rsid_batch(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str]) -> DataFrame:
@@ -139,8 +140,8 @@ def within_intervals(variants: DataFrame, intervals: DataFrame, bin_size: int =
     return pairs.filter(F.col("pos").between(F.col("start_pos"), F.col("end_pos"))).drop("_bin")
 
 
-def gene_region(genes: DataFrame, symbols: Sequence[str], padding: int = GENE_PADDING) -> DataFrame:
-    """Padded intervals of the named genes as a local table.
+def gene_region(genes: DataFrame, symbols: Sequence[str], padding: int = GENE_PADDING) -> Pinned:
+    """Padded intervals of the named genes as pinned rows.
 
     The gene table has one row per symbol and the list is a parameter, so the lookup is small; it is
     checked all the same.
@@ -168,7 +169,7 @@ def star_allele_genotypes(positions: DataFrame, calls: DataFrame) -> DataFrame:
     places = positions.filter("chrom IS NOT NULL AND pos IS NOT NULL").select("chrom", "pos").distinct()
     pinned = pin_if_small(places)
     if pinned is not None:
-        calls, places = calls.filter(site_predicate(pinned)), F.broadcast(pinned)
+        calls, places = calls.filter(site_predicate(pinned.rows)), F.broadcast(pinned.table)
     at_places = first_calls_at(calls, places)
     called = with_genotype(at_places).select("chrom", "pos", "genotype")
     joined = positions.join(called, ["chrom", "pos"], "left")

@@ -3,43 +3,49 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from allelespan.session import local_table
+
 # A lookup result is held as a local table, and broadcast, only up to this many rows.
 PIN_ROWS = 2_000
 # Beyond this rank the optimiser no longer cuts groups before the shuffle (its default threshold).
 GROUP_LIMIT = 1_000
 
 
-def pin_if_small(df: DataFrame, max_rows: int = PIN_ROWS) -> DataFrame | None:
-    """The rows as a local table if there are at most ``max_rows``; otherwise None.
+class Pinned(NamedTuple):
+    """Rows of a small lookup result, and the same rows as a local table."""
+
+    rows: list[Row]
+    table: DataFrame
+
+
+def pin_if_small(df: DataFrame, max_rows: int = PIN_ROWS) -> Pinned | None:
+    """The rows if there are at most ``max_rows``; otherwise None.
 
     At most ``max_rows + 1`` rows ever reach the driver. Callers need another way for None.
     """
     rows = df.take(max_rows + 1)
-    return None if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+    return None if len(rows) > max_rows else Pinned(rows, local_table(df.sparkSession, rows, df.schema))
 
 
-def site_predicate(pinned: DataFrame) -> Column:
-    """Filter for the (chrom, pos) pairs of a pinned table.
+def site_predicate(rows: list[Row]) -> Column:
+    """Filter for the (chrom, pos) pairs of pinned rows.
 
     Chromosome and position lists reach the Parquet scan, where they prune folders and row groups; the
     exact pairs are left to the join.
     """
-    rows = pinned.select("chrom", "pos").distinct().collect()
     chroms, positions = {row.chrom for row in rows}, {row.pos for row in rows}
     return F.col("chrom").isin(*chroms) & F.col("pos").isin(*positions) if rows else F.lit(False)
 
 
-def interval_predicate(pinned: DataFrame) -> Column:
-    """Filter for the ``chrom, start_pos, end_pos`` intervals of a pinned table, pushed to the scan."""
-    tests = [
-        (F.col("chrom") == row.chrom) & F.col("pos").between(row.start_pos, row.end_pos)
-        for row in pinned.select("chrom", "start_pos", "end_pos").distinct().collect()
-    ]
-    return reduce(lambda left, right: left | right, tests, F.lit(False)) if tests else F.lit(False)
+def interval_predicate(rows: list[Row]) -> Column:
+    """Filter for the ``chrom, start_pos, end_pos`` intervals of pinned rows, pushed to the scan."""
+    tests = [(F.col("chrom") == row.chrom) & F.col("pos").between(row.start_pos, row.end_pos) for row in rows]
+    return reduce(lambda left, right: left | right, tests) if tests else F.lit(False)
 
 
 def content_salt(df: DataFrame, salts: int) -> Column:

@@ -27,8 +27,7 @@ def query_pgx(cohort: Cohort, drug: str | None = None, gene: str | None = None,
 
 def query_pgx_region(cohort: Cohort, gene: str, genome: str | None = None, max_results: int = 20) -> DataFrame:
     """First non-reference calls in a drug gene's region."""
-    regions = joins.gene_region(cohort.genes, [gene])
-    near = interval_predicate(regions)
+    near = interval_predicate(joins.gene_region(cohort.genes, [gene]).rows)
     calls = filters.non_reference(with_genotype(cohort.calls_of(genome).filter(near)))
     rows = joins.annotate(calls, cohort.annotations.filter(near))
     capped = ranking.capped(rows, max_results, ["genome"])

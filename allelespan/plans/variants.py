@@ -63,17 +63,12 @@ def query_variants(cohort: Cohort, rsids: Sequence[str], genome: str | None = No
 def _gene_rows(cohort: Cohort, calls: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """Annotated calls inside the padded genes; the intervals prune the scans of calls and annotations alike."""
     regions = joins.gene_region(cohort.genes, symbols)
-    inside = inside_regions(calls, regions)
-    rows = joins.annotate(inside, inside_regions(cohort.annotations, regions))
-    named = regions.select("symbol", F.col("name").alias("gene_name"), "chrom", "start_pos", "end_pos")
+    inside = interval_predicate(regions.rows)
+    rows = joins.annotate(calls.filter(inside), cohort.annotations.filter(inside))
+    named = regions.table.select("symbol", F.col("name").alias("gene_name"), "chrom", "start_pos", "end_pos")
     return joins.within_intervals(rows, F.broadcast(named))
 
 
-def inside_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rows inside any interval of a pinned region table."""
-    return df.filter(interval_predicate(regions))
-
-
 def _gene_columns(rows: DataFrame) -> DataFrame:
     return with_genotype(rows).select(
         "genome",
@@ -141,8 +136,8 @@ def query_clinvar(
     """Calls with a clinical significance, optionally in one gene's region or for a condition; at most 100 per genome."""
     calls, notes = cohort.calls_of(genome, genome2), filters.with_significance(cohort.annotations, significance)
     if gene:
-        regions = joins.gene_region(cohort.genes, [gene])
-        calls, notes = inside_regions(calls, regions), inside_regions(notes, regions)
+        inside = interval_predicate(joins.gene_region(cohort.genes, [gene]).rows)
+        calls, notes = calls.filter(inside), notes.filter(inside)
     if condition:
         notes = filters.with_condition(notes, condition)
     rows = ranking.capped(joins.annotate_inner(calls, notes), min(max_results, 100), ["genome"])

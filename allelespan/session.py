@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def build_session(app_name: str = "allelespan", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -43,3 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/allelespan-{uuid.uuid4().hex}"
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | StructType) -> DataFrame:
+    """A small table held in the plan itself.
+
+    Arrow rows become a local relation, so neither planning nor running it needs Python workers.
+    """
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    columns = {field.name: pa.array([row[i] for row in rows], pa.string() if not rows else None) for i, field in enumerate(fields)}
+    table = spark.createDataFrame(pa.table(columns))
+    return table.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in fields])

@@ -146,7 +146,7 @@ def join_gene_interval(t: Tables) -> DataFrame:
 )
 def join_gene_region(t: Tables) -> DataFrame:
     region = joins.gene_region(t.genes, ["brand6"])
-    return joins.within_intervals(t.annotations, region).select("symbol", "start_pos", "end_pos", "chrom", "pos", "rsid")
+    return joins.within_intervals(t.annotations, F.broadcast(region.table)).select("symbol", "start_pos", "end_pos", "chrom", "pos", "rsid")
 
 
 _STATUS = """coalesce(c.display || ' (' || CASE c.zygosity WHEN 'homozygous_ref' THEN 'ref' WHEN 'heterozygous' THEN 'het' WHEN 'homozygous_alt' THEN 'hom alt' ELSE 'no call' END || ')',

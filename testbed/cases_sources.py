@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import accession_table
 from allelespan.operators import filters, reference_builds
+from allelespan.session import local_table
 from allelespan.sources import sinks, tables, vcf
 from testbed import texts
 from testbed.registry import Tables, query
@@ -113,7 +114,7 @@ def scan_seed_tsv(t: Tables) -> DataFrame:
     name = "CASE WHEN start_pos % 3 <> 0 THEN name WHEN start_pos % 2 = 0 THEN '.' ELSE '' END"
     row = f"concat_ws('\t', symbol, {name}, 'chr' || chrom, cast(start_pos AS string), cast(end_pos AS string), strand)"
     lines = t.sql(f"SELECT {row} AS value FROM d_genes").coalesce(1)
-    head = t.spark.createDataFrame([("# generated",), ("symbol\tname\tchrom\tstart\tend\tstrand",)], "value string").coalesce(1)
+    head = local_table(t.spark, [("# generated",), ("symbol\tname\tchrom\tstart\tend\tstrand",)], "value string")
     return tables.read_seed(t.spark, t.write_lines(head.unionByName(lines).coalesce(1)), "genes")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import accession_table
+from allelespan.session import local_table
 from testbed.registry import Tables
 
 EFFECT_INFO = """
@@ -29,7 +30,7 @@ FREQUENCY_INFO = """
 def with_headers(t: Tables, lines: DataFrame, *extra: str) -> DataFrame:
     """Lines plus file headers and a record that is too short to count."""
     head = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO", "1\t17\t.\tA\tC", *extra]
-    return lines.unionByName(t.spark.createDataFrame([(line,) for line in head], "value string"))
+    return lines.unionByName(local_table(t.spark, [(line,) for line in head], "value string"))
 
 
 def site_lines(t: Tables, info: str, identifier: str = "vcf_id", contig: str = "CASE WHEN chrom = 'MT' THEN 'chrM' ELSE 'chr' || chrom END") -> DataFrame:
@@ -52,7 +53,7 @@ def sample_lines(t: Tables) -> DataFrame:
     lines = t.sql(f"SELECT concat_ws('\t', {fields}) AS value FROM d_calls GROUP BY chrom, pos, id, ref, alt")
     head = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS0\tS1\tS2"]
     # one file, so that the header and its records share it
-    return t.spark.createDataFrame([(line,) for line in head], "value string").unionByName(lines).coalesce(1)
+    return local_table(t.spark, [(line,) for line in head], "value string").unionByName(lines).coalesce(1)
 
 
 GWAS_HEADER = "DATE ADDED TO CATALOG\tPUBMEDID\tFIRST AUTHOR\tDATE\tJOURNAL\tLINK\tSTUDY\tDISEASE/TRAIT"
@@ -73,5 +74,5 @@ def gwas_lines(t: Tables) -> DataFrame:
     rows = t.sql(f"SELECT concat_ws('\t', {row}) AS value FROM d_gwas")
     # per customer a row that is too short
     short = t.sql("SELECT concat_ws('\t', 'short', cast(c_custkey AS string)) AS value FROM customer")
-    head = t.spark.createDataFrame([(GWAS_HEADER,)], "value string")
+    head = local_table(t.spark, [(GWAS_HEADER,)], "value string")
     return head.unionByName(rows).unionByName(short)
