@@ -7,12 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelespan.fixed_values import GRCH38_ACCESSIONS
 from allelespan.session import local_table
 
-# Versions of the RefSeq accessions NC_000001 .. NC_000024 of the GRCh38 assembly.
-GRCH38_ACCESSION_VERSIONS = (11, 12, 12, 12, 10, 12, 14, 11, 12, 11, 10, 12, 11, 9, 10, 10, 11, 10, 10, 11, 9, 11, 11, 10)
-GRCH38_MITOCHONDRION = "NC_012920.1"
-
 REGION_PATTERN = r"^chr[\dXYMT]{1,2}:\d+-\d+$"
 RSID_PATTERN = r"^rs\d+$"
 
@@ -30,9 +27,7 @@ def chr_name(chrom: Column) -> Column:
 
 def accession_table(spark: SparkSession) -> DataFrame:
     """The 25 RefSeq accessions of GRCh38 and their bare chromosome names."""
-    names = [str(number) for number in range(1, 23)] + ["X", "Y"]
-    rows = [(f"NC_{number:06d}.{version}", names[number - 1]) for number, version in enumerate(GRCH38_ACCESSION_VERSIONS, 1)]
-    return local_table(spark, [*rows, (GRCH38_MITOCHONDRION, "MT")], "contig string, new_name string")
+    return local_table(spark, GRCH38_ACCESSIONS, "contig string, new_name string")
 
 
 def rename_contigs(df: DataFrame, column: str, names: DataFrame) -> DataFrame:

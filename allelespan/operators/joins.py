@@ -204,10 +204,9 @@ def score_contributions(weights: DataFrame, calls: DataFrame) -> DataFrame:
     All genomes and all scores in one join. Weights a genome has no call for give no row; totals come
     from the weight table itself.
     """
-    alleles = called_alleles(F.col("gt"), F.col("ref"), F.col("alt"))
     # only positions that some score uses take part in the per-position choice of a call
-    called = first_calls_at(calls, weights).select("genome", "chrom", "pos", "ref", "alt", "gt", alleles.alias("alleles"))
-    joined = weights.join(called, ["chrom", "pos"])
+    called = first_calls_at(calls, weights).select("genome", "chrom", "pos", "ref", "alt", "gt")
+    joined = weights.join(called, ["chrom", "pos"]).withColumn("alleles", called_alleles(F.col("gt"), F.col("ref"), F.col("alt")))
     count = dosage(F.col("alleles"), F.col("effect_allele"))
     return joined.withColumn("dosage", count).withColumn("contribution", F.col("dosage") * F.col("weight"))
 

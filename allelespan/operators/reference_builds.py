@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelespan.fixed_values import ACTIONABLE_GENES, PUBLISHED_SCORES
 from allelespan.functions.associations import clean_description, drug_summary, hgvs_alleles
 from allelespan.functions.contigs import is_catalog_chrom, normalize_chrom
 from allelespan.operators.joins import gene_coordinates
 from allelespan.operators.ranking import one_star_allele
 from allelespan.operators.sizing import top_per_group
+from allelespan.session import local_table
 
 
 def union_gene_lists(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -40,9 +42,21 @@ def symbols_without_coordinates(symbols: DataFrame, records: DataFrame) -> DataF
     return symbols.join(records.filter(F.col("seq_region_name").isNotNull()), "symbol", "left_anti")
 
 
-def warning_gene_list(pathogenic: DataFrame, severe: DataFrame, actionable: DataFrame) -> DataFrame:
+def actionable_genes(spark: SparkSession) -> DataFrame:
+    """Genes whose findings can be acted on."""
+    return local_table(spark, [(symbol,) for symbol in ACTIONABLE_GENES], "symbol string")
+
+
+def published_scores(spark: SparkSession) -> DataFrame:
+    """Scores with their traits, keyed by the stem of their file's name."""
+    return local_table(spark, [(name, name, trait) for name, trait in PUBLISHED_SCORES], "file_stem string, prs_id string, trait string")
+
+
+def warning_gene_list(pathogenic: DataFrame, severe: DataFrame, actionable: DataFrame | None = None) -> DataFrame:
     """Genes that are pathogenic and severe but not actionable, sorted."""
-    return pathogenic.select("symbol").intersect(severe.select("symbol")).join(actionable.select("symbol"), "symbol", "left_anti").orderBy("symbol")
+    spared = actionable_genes(pathogenic.sparkSession) if actionable is None else actionable
+    both = pathogenic.select("symbol").intersect(severe.select("symbol"))
+    return both.join(spared.select("symbol"), "symbol", "left_anti").orderBy("symbol")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelespan.fixed_values import SEVERE_PHENOTYPES
 from allelespan.functions.associations import gwas_rsid, risk_allele
 from allelespan.functions.clinical import significance_terms
 from allelespan.functions.contigs import gwas_chrom, is_score_chrom, normalize_chrom
 from allelespan.functions.numbers import blank_to_null, to_double, to_long
 from allelespan.schemas import SEED_FILES, SITE_KEY
 
-# Phenotype terms for early death and progressive neurodegeneration.
-SEVERE_PHENOTYPES = (
-    "HP:0003826",
-    "HP:0003811",
-    "HP:0001522",
-    "HP:0003819",
-    "HP:0011421",
-    "HP:0100613",
-    "HP:0033041",
-    "HP:0002180",
-    "HP:0001268",
-    "HP:0002344",
-    "HP:0007272",
-    "HP:0006964",
-    "HP:0007064",
-    "HP:0002529",
-)
-
 # Column numbers (from 0) of the association catalogue's download.
 GWAS_PLACES = {
     "pubmed_id": 1,
@@ -58,6 +43,7 @@ def read_seed(spark: SparkSession, path: str, table: str) -> DataFrame:
     rows = spark.read.csv(
         path, sep="\t", comment="#", header=True, schema=schema, enforceSchema=False, nullValue=".", mode="FAILFAST"
     )
+    rows = rows.select(*schema.names)
     if table == "genes":
         rows = rows.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
     return rows.withColumn("chrom", normalize_chrom(F.col("chrom"))) if "chrom" in rows.columns else rows
@@ -157,7 +143,7 @@ def read_phenotypes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", header=True).select("hpo_id", "gene_symbol")
 
 
-def severe_phenotype_genes(phenotypes: DataFrame, terms: tuple[str, ...] = SEVERE_PHENOTYPES) -> DataFrame:
+def severe_phenotype_genes(phenotypes: DataFrame, terms: Sequence[str] = SEVERE_PHENOTYPES) -> DataFrame:
     """Genes annotated with any of the terms."""
     symbol = F.trim("gene_symbol")
     return phenotypes.filter(F.trim("hpo_id").isin(*terms) & (symbol != "")).select(symbol.alias("symbol")).distinct()

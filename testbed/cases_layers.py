@@ -104,8 +104,8 @@ def layer_parity(t: Tables) -> DataFrame:
     stepwise = layers.backfill_rsids(stepwise, identifiers)
     stepwise = layers.update_layer(stepwise, clinical, CLINICAL_COLUMNS)
     stepwise = layers.update_layer(stepwise, frequency.filter(~late), ["af", "af_grpmax"])
-    gap = layers.differing_rows(whole, stepwise).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("differing"))
-    return whole.agg(F.count("*").alias("rows")).crossJoin(gap)  # one row each
+    parts = [whole.select(F.lit(1).alias("row"), F.lit(0).alias("copies")), layers.differing_rows(whole, stepwise).select(F.lit(0).alias("row"), "copies")]
+    return parts[0].unionByName(parts[1]).agg(F.sum("row").alias("rows"), F.sum("copies").alias("differing"))
 
 
 # effect records arrive order by order: the site's record of the latest order counts

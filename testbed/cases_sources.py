@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import accession_table
 from allelespan.operators import filters, reference_builds
-from allelespan.session import local_table
 from allelespan.sources import sinks, tables, vcf
 from testbed import texts
 from testbed.registry import Tables, query
@@ -63,12 +62,12 @@ _SAMPLES = " UNION ALL ".join(
 
 @query("scan_samples", _SAMPLES)
 def scan_samples(t: Tables) -> DataFrame:
-    return vcf.parse_calls(read_back(t, texts.sample_lines(t)))
+    return vcf.parse_calls(vcf.read_vcf_lines(t.spark, texts.sample_files(t)))
 
 
 @query("scan_one_sample", f"SELECT * FROM ({_SAMPLES}) samples WHERE genome = 'S1'")
 def scan_one_sample(t: Tables) -> DataFrame:
-    return vcf.parse_one_sample(read_back(t, texts.sample_lines(t)), "S1")
+    return vcf.parse_one_sample(vcf.read_vcf_lines(t.spark, texts.sample_files(t)), "S1")
 
 
 @query("scan_position", "SELECT genome, chrom, pos, ref, alt, gt FROM d_calls WHERE chrom = '4' AND pos BETWEEN 1110 AND 1111")
@@ -113,9 +112,9 @@ def scan_gwas_tsv(t: Tables) -> DataFrame:
 def scan_seed_tsv(t: Tables) -> DataFrame:
     name = "CASE WHEN start_pos % 3 <> 0 THEN name WHEN start_pos % 2 = 0 THEN '.' ELSE '' END"
     row = f"concat_ws('\t', symbol, {name}, 'chr' || chrom, cast(start_pos AS string), cast(end_pos AS string), strand)"
-    lines = t.sql(f"SELECT {row} AS value FROM d_genes").coalesce(1)
-    head = local_table(t.spark, [("# generated",), ("symbol\tname\tchrom\tstart\tend\tstrand",)], "value string")
-    return tables.read_seed(t.spark, t.write_lines(head.unionByName(lines).coalesce(1)), "genes")
+    lines = t.sql(f"SELECT {row} AS value, chrom AS file_key FROM d_genes")
+    path = texts.write_files(t, lines, ["# generated", "symbol\tname\tchrom\tstart\tend\tstrand"])
+    return tables.read_seed(t.spark, path, "genes")
 
 
 @query(

@@ -46,14 +46,27 @@ def identifier_lines(t: Tables) -> DataFrame:
     return with_headers(t, named.select(F.concat_ws("\t", *columns).alias("value")))
 
 
-def sample_lines(t: Tables) -> DataFrame:
-    """A three-sample file: one line per called site, samples S0, S1 and S2."""
+# a stretch of a chromosome, so that a large chromosome becomes many files
+STRETCH = "chrom || '_' || cast(cast(floor(pos / 100000) AS bigint) AS string)"
+
+
+def write_files(t: Tables, lines: DataFrame, head: list[str]) -> str:
+    """One text file per ``file_key`` of ``lines(value, file_key)``, each beginning with the head lines."""
+    path = t.folder()
+    heads = lines.select("file_key").distinct().select(F.posexplode(F.array(*map(F.lit, head))).alias("place", "value"), "file_key")
+    body = lines.select(F.lit(len(head)).alias("place"), "value", "file_key")
+    whole = heads.unionByName(body).repartition("file_key").sortWithinPartitions("file_key", "place")
+    whole.select("value", "file_key").write.partitionBy("file_key").text(path)
+    return path
+
+
+def sample_files(t: Tables) -> str:
+    """Three-sample files: one line per called site, samples S0, S1 and S2."""
     cells = ", ".join(f"coalesce(min(CASE WHEN s % 3 = {i} THEN gt END), './.') || ':30:{i}'" for i in range(3))
     fields = f"'chr' || chrom, cast(pos AS string), coalesce(id, '.'), ref, alt, '.', 'PASS', 'DP=3', 'GT:DP:GQ', {cells}"
-    lines = t.sql(f"SELECT concat_ws('\t', {fields}) AS value FROM d_calls GROUP BY chrom, pos, id, ref, alt")
+    lines = t.sql(f"SELECT concat_ws('\t', {fields}) AS value, {STRETCH} AS file_key FROM d_calls GROUP BY chrom, pos, id, ref, alt")
     head = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS0\tS1\tS2"]
-    # one file, so that the header and its records share it
-    return local_table(t.spark, [(line,) for line in head], "value string").unionByName(lines).coalesce(1)
+    return write_files(t, lines, head)
 
 
 GWAS_HEADER = "DATE ADDED TO CATALOG\tPUBMEDID\tFIRST AUTHOR\tDATE\tJOURNAL\tLINK\tSTUDY\tDISEASE/TRAIT"
