@@ -81,7 +81,7 @@ def alt_count(alt: Column) -> Column:
 
 def is_single_base(ref: Column, alt: Column) -> Column:
     """Reference and every alternate allele are one base long."""
-    return (F.length(ref) == 1) & (alt != ".") & (F.length(alt) == 2 * alt_count(alt) - 1) & ~alt.rlike(r"^,|,,|,$")
+    return (F.length(ref) == 1) & (alt != ".") & ((F.length(alt) == 1) | alt.rlike("^[^,](,[^,])*$"))
 
 
 def variant_class(ref: Column, alt: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.clinical import is_suppressed, matches_significance, spaced
 from allelespan.functions.contigs import RSID_PATTERN, bare_chrom, check_rsid, parse_region
+from allelespan.schemas import GENOME_BUCKETS
 from allelespan.session import local_table
 
 IMPACT_LEVELS = ("HIGH", "MODERATE", "LOW", "MODIFIER")  # fixed values
@@ -70,9 +71,22 @@ def pick_genome(genomes: Sequence[str], genome: str | None) -> str:
     return genome
 
 
+def genome_bucket(genome: Column) -> Column:
+    """Folder of a genome in the genome layout."""
+    return F.pmod(F.hash(genome), F.lit(GENOME_BUCKETS))
+
+
 def of_genomes(df: DataFrame, *genomes: str) -> DataFrame:
-    """Rows of the named genomes; all rows for ``ALL_GENOMES``."""
-    return df if ALL_GENOMES in genomes else df.filter(F.col("genome").isin(*genomes))
+    """Rows of the named genomes; all rows for ``ALL_GENOMES``.
+
+    On a table in the genome layout only those genomes' folders are read.
+    """
+    if ALL_GENOMES in genomes:
+        return df
+    rows = df.filter(F.col("genome").isin(*genomes))
+    if "genome_bucket" not in df.columns:
+        return rows
+    return rows.filter(F.col("genome_bucket").isin(*[genome_bucket(F.lit(genome)) for genome in genomes]))
 
 
 def with_rsids(df: DataFrame, rsids: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from allelespan.functions.clinical import clinical_struct
 from allelespan.functions.contigs import check_rsid
 from allelespan.functions.genotypes import called_alleles, dosage, with_genotype, zygosity_label
 from allelespan.functions.vcf_fields import frequency_struct
-from allelespan.operators.filters import with_significance
+from allelespan.operators.filters import of_genomes, with_significance
 from allelespan.operators.sizing import Pinned, pin_if_small, salted_join, site_predicate, top_per_group
 from allelespan.schemas import EFFECT_COLUMNS, SITE_KEY
 from allelespan.session import local_table
@@ -153,15 +153,15 @@ def gene_region(genes: DataFrame, symbols: Sequence[str], padding: int = GENE_PA
     return pinned
 
 
-def pgx_genotypes(drugs: DataFrame, pgx_variants: DataFrame, calls: DataFrame, genome: str) -> DataFrame:
-    """Drug, gene and star-allele positions with one genome's genotype."""
+def pgx_genotypes(drugs: DataFrame, pgx_variants: DataFrame, calls: DataFrame, genomes: Sequence[str]) -> DataFrame:
+    """Drug, gene and star-allele positions with the genotypes of the named genomes."""
     keyed = pgx_variants.withColumn("_gene", F.upper("gene")).drop("gene")
     positions = drugs.withColumn("_gene", F.upper("gene")).join(keyed, "_gene").drop("_gene")
-    return star_allele_genotypes(positions, calls.filter(F.col("genome") == genome)).withColumn("genome", F.lit(genome))
+    return star_allele_genotypes(positions, of_genomes(calls, *genomes), genomes)
 
 
-def star_allele_genotypes(positions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Star-allele positions with the genotype called there; ``calls`` holds one genome.
+def star_allele_genotypes(positions: DataFrame, calls: DataFrame, genomes: Sequence[str]) -> DataFrame:
+    """Star-allele positions with the genotype each named genome has there.
 
     A position without a call keeps its row. Calls are cut to the listed positions before one is chosen
     per position; few positions also prune the scan.
@@ -171,8 +171,9 @@ def star_allele_genotypes(positions: DataFrame, calls: DataFrame) -> DataFrame:
     if pinned is not None:
         calls, places = calls.filter(site_predicate(pinned.rows)), F.broadcast(pinned.table)
     at_places = first_calls_at(calls, places)
-    called = with_genotype(at_places).select("chrom", "pos", "genotype")
-    joined = positions.join(called, ["chrom", "pos"], "left")
+    called = with_genotype(at_places).select("genome", "chrom", "pos", "genotype")
+    report = positions.withColumn("genome", F.explode(F.array(*[F.lit(genome) for genome in genomes])))
+    joined = report.join(called, ["genome", "chrom", "pos"], "left")
     return joined.withColumn("status", genotype_status())
 
 

@@ -38,7 +38,7 @@ class Cohort:
     def calls_of(self, genome: str | None, genome2: str | None = None) -> DataFrame:
         """Calls of one genome, of a pair, or of all (``ALL_GENOMES``)."""
         names = [self.check(genome)] + ([self.check(genome2)] if genome2 else [])
-        return of_genomes(self.calls, *names)
+        return of_genomes(self.calls, *names).drop("genome_bucket")
 
 
 __all__ = ["ALL_GENOMES", "Cohort"]

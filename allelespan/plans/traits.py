@@ -19,9 +19,14 @@ def _drug_rows(cohort: Cohort, drug: str | None, gene: str | None) -> DataFrame:
     return filters.equals_ignoring_case(cohort.pgx_drugs, column, value)
 
 
-def query_pgx(cohort: Cohort, drug: str | None = None, gene: str | None = None, genome: str | None = None) -> DataFrame:
-    """Star-allele positions of a drug's (or gene's) entries with one genome's genotype."""
-    rows = joins.pgx_genotypes(_drug_rows(cohort, drug, gene), cohort.pgx_variants, cohort.calls, cohort.check(genome))
+def query_pgx(
+    cohort: Cohort, drug: str | None = None, gene: str | None = None, genome: str | None = None, genome2: str | None = None
+) -> DataFrame:
+    """Star-allele positions of a drug's (or gene's) entries with the genotypes of one genome or a pair."""
+    genomes = [cohort.check(name) for name in (genome, genome2) if name or name is genome]
+    if filters.ALL_GENOMES in genomes:
+        raise ValueError("name one genome or two")
+    rows = joins.pgx_genotypes(_drug_rows(cohort, drug, gene), cohort.pgx_variants, cohort.calls, genomes)
     return rows.select("genome", "drug_name", "gene", "cpic_level", "rsid", "star_allele", "chrom", "pos", "function_impact", "status")
 
 

@@ -12,6 +12,9 @@ def _schema(spec: str) -> T.StructType:
 
 SITE_KEY = ["chrom", "pos", "ref", "alt"]
 
+# Folders of a call table laid out by genome; a fixed number, so that a genome's folder can be told from its label.
+GENOME_BUCKETS = 256
+
 CALLS = _schema("genome:s chrom:s pos:l id:s ref:s alt:s gt:s")
 EFFECT_COLUMNS = ["gene", "effect", "impact", "transcript", "hgvs_c", "hgvs_p"]
 CLINICAL_COLUMNS = ["clnsig", "clndn", "clnrevstat"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from allelespan.operators.filters import genome_bucket
 from allelespan.schemas import LAYERS, SITE_KEY
 
 
@@ -36,6 +37,18 @@ def replace_chromosomes(df: DataFrame, path: str) -> None:
     _site_writer(df).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_genomes(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Calls in folders by genome, for questions about whole genomes.
+
+    The position layout serves regions; this one lets ``filters.of_genomes`` read one folder of 256. Rows are
+    spread by ranges of (genome, chrom, pos), so a large genome or folder becomes many files.
+    """
+    placed = df.withColumn("genome_bucket", genome_bucket(F.col("genome")))
+    order = ["genome_bucket", "genome", "chrom", "pos"]
+    spread = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread.write.mode(mode).partitionBy("genome_bucket").option("parquet.bloom.filter.enabled#genome", "true").parquet(path)
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
     """A table bucketed and sorted by site.
 

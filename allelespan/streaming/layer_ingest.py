@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from allelespan.operators.layers import one_row_per_site
 from allelespan.operators.sizing import top_per_group
 from allelespan.schemas import SITE_KEY
+from allelespan.sources.sinks import LayerStore
 
 
 def start_layer_stream(
@@ -41,6 +42,11 @@ def start_layer_stream(
     )
 
 
+def publish(spark: SparkSession, store: str, layers: LayerStore, layer: str) -> int:
+    """Compact the increments into the next version of a layer."""
+    return layers.write(layer, current_layer(spark, store))
+
+
 def current_layer(spark: SparkSession, store: str) -> DataFrame:
     """Newest row per site over all increments."""
     rows = spark.read.parquet(store).drop("increment")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from allelespan.functions import contigs
 from allelespan.functions.genotypes import with_genotype
 from allelespan.operators import aggregates, filters, joins
+from allelespan.sources import sinks
 from testbed.registry import Tables, query
 
 _KEY = "chrom, pos, ref, alt"
@@ -32,6 +33,14 @@ def filter_genome(t: Tables) -> DataFrame:
     return t.cohort("g3", "g5").calls_of("g3").select(*_CALL_KEY, "gt")
 
 
+@query("filter_genome_layout", f"SELECT {_CALL}, gt FROM d_calls WHERE genome IN ('g3', 'g5')")
+def filter_genome_layout(t: Tables) -> DataFrame:
+    """The same on calls kept in the genome layout."""
+    path = t.folder()
+    sinks.write_genomes(t.calls, path)
+    return filters.of_genomes(t.spark.read.parquet(path), "g3", "g5").select(*_CALL_KEY, "gt")
+
+
 @query("filter_rsid", f"SELECT {_NOTE} FROM d_annotations WHERE rsid IN ('rs50', 'rs7', 'rs150')")
 def filter_rsid(t: Tables) -> DataFrame:
     return filters.with_rsids(t.annotations, ["rs50", "rs7", "rs150"]).select(*_NOTE_COLUMNS)

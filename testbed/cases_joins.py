@@ -155,11 +155,12 @@ _STATUS = """coalesce(c.display || ' (' || CASE c.zygosity WHEN 'homozygous_ref'
 
 @query(
     "join_pgx_genotypes",
-    f"""SELECT 'g2' AS genome, d.drug_name, d.gene, v.rsid, v.star_allele, v.chrom, v.pos, v.function_impact, {_STATUS}
-        FROM d_pgx_drugs d JOIN d_pgx_variants v ON d.gene = v.gene LEFT JOIN (SELECT * FROM o_first_calls WHERE genome = 'g2') c ON v.chrom = c.chrom AND v.pos = c.pos""",
+    f"""SELECT g.genome, d.drug_name, d.gene, v.rsid, v.star_allele, v.chrom, v.pos, v.function_impact, {_STATUS}
+        FROM d_pgx_drugs d JOIN d_pgx_variants v ON d.gene = v.gene CROSS JOIN (VALUES ('g2'), ('g8')) g(genome)
+        LEFT JOIN o_first_calls c ON v.chrom = c.chrom AND v.pos = c.pos AND c.genome = g.genome""",
 )
 def join_pgx_genotypes(t: Tables) -> DataFrame:
-    rows = joins.pgx_genotypes(t.pgx_drugs, t.pgx_variants, t.calls, "g2")
+    rows = joins.pgx_genotypes(t.pgx_drugs, t.pgx_variants, t.calls, ["g2", "g8"])
     return rows.select("genome", "drug_name", "gene", "rsid", "star_allele", "chrom", "pos", "function_impact", "status")
 
 

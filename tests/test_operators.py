@@ -114,8 +114,11 @@ def test_query_pgx(cohort):
     got = traits.query_pgx(cohort, drug="Simvastatin", genome="g1").select("star_allele", "status")
     assert rows_of(got) == [("*10", "not found"), ("*5", "T/C (het)"), ("*9", "ref or not covered")]
     assert rows_of(traits.query_pgx(cohort, gene="slco1b1", genome="g2").filter("star_allele = '*5'").select("status")) == [("T/T (ref)",)]
-    with pytest.raises(ValueError):
-        traits.query_pgx(cohort, genome="g1")
+    pair = traits.query_pgx(cohort, drug="simvastatin", genome="g1", genome2="g2").filter("star_allele = '*5'")
+    assert rows_of(pair.select("genome", "status")) == [("g1", "T/C (het)"), ("g2", "T/T (ref)")]
+    for bad in (dict(genome="g1"), dict(drug="simvastatin"), dict(drug="simvastatin", genome=ALL_GENOMES)):
+        with pytest.raises(ValueError):
+            traits.query_pgx(cohort, **bad)
     assert rows_of(traits.query_pgx_region(cohort, "SLCO1B1", "g2").select("pos")) == []
 
 

@@ -108,6 +108,17 @@ def test_region_filter_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [Or(" in plan or "LessThanOrEqual(pos" in plan
 
 
+def test_one_genome_reads_one_folder(spark, tmp_path):
+    sinks.write_genomes(hot_calls(spark, 500), str(tmp_path / "calls"))
+    calls = spark.read.parquet(str(tmp_path / "calls"))
+    one = filters.of_genomes(calls, "g7")
+    assert [row.genome for row in one.collect()] == ["g7"]
+    assert "PartitionFilters: [isnotnull(genome_bucket" in plan_of(one) or "PartitionFilters: [(genome_bucket" in plan_of(one)
+    files = {row[0] for row in one.select("_metadata.file_path").distinct().collect()}
+    assert len({f.split("genome_bucket=")[1].split("/")[0] for f in files}) == 1
+    assert filters.of_genomes(calls, filters.ALL_GENOMES).count() == 500
+
+
 def test_identifier_lookup_prunes_the_calls(spark, tmp_path):
     sinks.write_sites(hot_calls(spark, 500), str(tmp_path / "calls"))
     calls = tables.read_sites(spark, str(tmp_path / "calls"))

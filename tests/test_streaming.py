@@ -1,6 +1,7 @@
 """Incremental layer ingest."""
 
 from allelespan.sources import vcf
+from allelespan.sources.sinks import LayerStore
 from allelespan.streaming import layer_ingest
 from conftest import rows_of
 
@@ -24,6 +25,9 @@ def test_later_deliveries_win_and_nothing_is_read_twice(spark, tmp_path):
     assert rows_of(ingest(spark, tmp_path)) == expected
     assert rows_of(ingest(spark, tmp_path)) == expected  # nothing new
     assert len(list((tmp_path / "store").glob("increment=*"))) == 2
+    layers = LayerStore(spark, str(tmp_path / "layers"))
+    assert layer_ingest.publish(spark, f"{tmp_path}/store", layers, "clinvar") == 1
+    assert rows_of(layers.read("clinvar").select("pos", "alt", "clnsig")) == expected
 
 
 def test_a_batch_run_again_overwrites_itself(spark, tmp_path):
