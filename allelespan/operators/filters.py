@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.clinical import is_suppressed, matches_significance, spaced
 from allelespan.functions.contigs import RSID_PATTERN, bare_chrom, check_rsid, parse_region
+from allelespan.operators.sizing import left_join_nullable
 from allelespan.schemas import GENOME_BUCKETS
 from allelespan.session import local_table
 
@@ -152,12 +153,11 @@ def mark_suppressed(df: DataFrame, pgx_variants: DataFrame, gene: str | None = N
     known = pgx_variants.filter(F.col("rsid").isNotNull())
     if gene is not None:
         known = known.filter(F.upper("gene") == gene.upper())
-        keys, on = known.select("rsid").distinct(), ["rsid"]
-        rows = df
+        keys, on = known.select("rsid").distinct(), {"rsid": F.col("rsid")}
     else:
-        keys, on = known.select(F.upper("gene").alias("_gene"), "rsid").distinct(), ["_gene", "rsid"]
-        rows = df.withColumn("_gene", F.upper("gene"))
-    marked = rows.join(keys.withColumn("_known", F.lit(True)), on, "left")
+        keys = known.select(F.upper("gene").alias("gene"), "rsid").distinct()
+        on = {"gene": F.upper("gene"), "rsid": F.col("rsid")}
+    marked = left_join_nullable(df, keys.withColumn("_known", F.lit(True)), on)
     verdict = is_suppressed(F.coalesce("_known", F.lit(False)), F.col("impact"), F.col("clnsig"), F.col("af"))
     return marked.withColumn("suppressed", verdict).select(*df.columns, "suppressed")
 

@@ -12,7 +12,7 @@ from allelespan.functions.contigs import check_rsid
 from allelespan.functions.genotypes import called_alleles, dosage, with_genotype, zygosity_label
 from allelespan.functions.vcf_fields import frequency_struct
 from allelespan.operators.filters import of_genomes, with_significance
-from allelespan.operators.sizing import Pinned, pin_if_small, salted_join, site_predicate, top_per_group
+from allelespan.operators.sizing import Pinned, left_join_nullable, pin_if_small, salted_join, site_predicate, top_per_group
 from allelespan.schemas import EFFECT_COLUMNS, SITE_KEY
 from allelespan.session import local_table
 
@@ -225,7 +225,7 @@ def association_genotypes(associations: DataFrame, calls: DataFrame, annotations
     by = ["genome", "rsid"]
     first = top_per_group(hits, by, order, 1)
     called = with_genotype(first).select("genome", "rsid", "genotype")
-    return associations.join(called, "rsid", "left")
+    return left_join_nullable(associations, called, {"rsid": F.col("rsid")})
 
 
 def pair_genomes(calls: DataFrame, first: str, second: str) -> DataFrame:
@@ -255,9 +255,9 @@ def in_warning_genes(symbols: DataFrame, warning_genes: DataFrame) -> DataFrame:
 
 def mark_warning(df: DataFrame, gene_column: str, warning_genes: DataFrame) -> DataFrame:
     """Adds ``sensitive``: the row's gene is on the warning list."""
-    listed = warning_genes.select(F.upper("symbol").alias("_symbol")).distinct().withColumn("_listed", F.lit(True))
-    marked = df.withColumn("_symbol", F.upper(gene_column)).join(listed, "_symbol", "left")
-    return marked.withColumn("sensitive", F.coalesce("_listed", F.lit(False))).drop("_symbol", "_listed")
+    listed = warning_genes.select(F.upper("symbol").alias("symbol")).distinct().withColumn("_listed", F.lit(True))
+    marked = left_join_nullable(df, listed, {"symbol": F.upper(gene_column)})
+    return marked.withColumn("sensitive", F.coalesce("_listed", F.lit(False))).drop("_listed")
 
 
 def gene_coordinates(symbols: DataFrame, records: DataFrame) -> DataFrame:

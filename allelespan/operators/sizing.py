@@ -53,6 +53,22 @@ def content_salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*df.columns), F.lit(salts))
 
 
+def left_join_nullable(left: DataFrame, right: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """Left join on text keys of which many may be NULL on the left.
+
+    ``on`` maps each key column of ``right`` to the matching expression over ``left``. A NULL never matches,
+    but all NULLs would meet in one task of a shuffled join; here each takes a stand-in made from its row's
+    content, which no real key equals. The key columns of ``right`` are dropped.
+    """
+    stand_in = F.concat(F.lit("\u0000"), F.xxhash64(*left.columns).cast("string"))
+    keyed = left
+    for i, key in enumerate(on.values()):
+        keyed = keyed.withColumn(f"_key{i}", F.coalesce(key, stand_in))
+    return keyed.join(right.withColumnsRenamed({name: f"_key{i}" for i, name in enumerate(on)}), [f"_key{i}" for i in range(len(on))], "left").drop(
+        *[f"_key{i}" for i in range(len(on))]
+    )
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows of each group.
 

@@ -161,6 +161,19 @@ def test_vcf_fields_stay_in_generated_code(spark, tmp_path):
         assert plan.lstrip().startswith("*(1) Project") and "lambda" not in plan
 
 
+def test_missing_keys_do_not_meet_in_one_task(spark, no_broadcast):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, F.concat(F.lit("rs"), F.col("id"))).alias("rsid"))
+    known = spark.range(0, 4000, 200).select(F.concat(F.lit("rs"), F.col("id")).alias("rsid"), F.lit(1).alias("hit"))
+    joined = sizing.left_join_nullable(rows, known, {"rsid": F.col("rsid")})
+    assert rows_of(joined) == rows_of(rows.join(known, "rsid", "left").select("id", "rsid", "hit"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [row[1] for row in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_no_python_workers_in_any_plan(spark):
     import __spark_entry__ as entry
 
