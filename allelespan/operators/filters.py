@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.functions.clinical import is_suppressed, matches_significance, spaced
 from allelespan.functions.contigs import RSID_PATTERN, bare_chrom, check_rsid, parse_region
+from allelespan.operators.intervals import inside_any, within_intervals
 from allelespan.operators.sizing import left_join_nullable
 from allelespan.schemas import GENOME_BUCKETS
 from allelespan.session import local_table
@@ -17,6 +19,7 @@ from allelespan.session import local_table
 IMPACT_LEVELS = ("HIGH", "MODERATE", "LOW", "MODIFIER")  # fixed values
 TEXT_FIELDS = ("impact", "effect", "gene", "transcript", "hgvs_c", "hgvs_p")
 ALL_GENOMES = "*"
+MAX_REGION_TESTS = 200
 
 
 def in_region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
@@ -33,19 +36,17 @@ def overlapping_region(df: DataFrame, chrom: str, start: int, end: int) -> DataF
 def in_regions(df: DataFrame, regions: Sequence[str], labelled: bool = False) -> DataFrame:
     """Rows in any of the listed intervals; with ``labelled`` one row per (region, row).
 
-    The list is a parameter, so its intervals become a filter that reaches the scan.
+    A short list becomes a filter that reaches the scan; a long one becomes a join on position bins.
     """
     parsed = [(region, *parse_region(region)) for region in dict.fromkeys(regions)]
-    tests = [(F.col("chrom") == chrom) & F.col("pos").between(start, end) for _, chrom, start, end in parsed]
-    wanted = F.lit(False)
-    for test in tests:
-        wanted = wanted | test
-    rows = df.filter(wanted)
-    if not labelled:
-        return rows
     intervals = local_table(df.sparkSession, parsed, "region string, chrom string, start_pos long, end_pos long")
-    hit = [rows["chrom"] == intervals["chrom"], rows["pos"].between(intervals["start_pos"], intervals["end_pos"])]
-    return rows.join(F.broadcast(intervals), hit).select(intervals["region"], *[rows[name] for name in rows.columns])
+    short = len(parsed) <= MAX_REGION_TESTS
+    if short:
+        tests = [(F.col("chrom") == chrom) & F.col("pos").between(start, end) for _, chrom, start, end in parsed]
+        df = df.filter(reduce(lambda left, right: left | right, tests, F.lit(False)))
+    if labelled:
+        return within_intervals(df, intervals).select("region", *df.columns)
+    return df if short else inside_any(df, intervals)
 
 
 def at_position(df: DataFrame, position: str) -> DataFrame:

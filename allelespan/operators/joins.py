@@ -12,13 +12,11 @@ from allelespan.functions.contigs import check_rsid
 from allelespan.functions.genotypes import called_alleles, dosage, with_genotype, zygosity_label
 from allelespan.functions.vcf_fields import frequency_struct
 from allelespan.operators.filters import of_genomes, with_significance
+from allelespan.operators.intervals import GENE_PADDING, INTERVAL_BIN, padded_genes, within_intervals
 from allelespan.operators.sizing import Pinned, left_join_nullable, pin_if_small, salted_join, site_predicate, top_per_group
 from allelespan.schemas import EFFECT_COLUMNS, SITE_KEY
 from allelespan.session import local_table
 
-GENE_PADDING = 2_000
-INTERVAL_BIN = 65_536
-
 
 def annotate(calls: DataFrame, annotations: DataFrame, salted: bool = False) -> DataFrame:
     """Calls with their annotation, left join on the site; an unannotated call keeps its own identifier.
@@ -121,25 +119,6 @@ def calls_with_significance(calls: DataFrame, annotations: DataFrame, term: str)
     return annotate_inner(calls, with_significance(annotations, term))
 
 
-def padded_genes(genes: DataFrame, padding: int = GENE_PADDING) -> DataFrame:
-    """Genes with their intervals widened on both sides, not below 1."""
-    start = F.greatest(F.lit(1).cast("bigint"), F.col("start_pos") - padding)
-    return genes.withColumn("start_pos", start).withColumn("end_pos", F.col("end_pos") + padding)
-
-
-def within_intervals(variants: DataFrame, intervals: DataFrame, bin_size: int = INTERVAL_BIN) -> DataFrame:
-    """Each variant with every interval of ``intervals(..., chrom, start_pos, end_pos)`` that contains it.
-
-    Intervals are listed under each position bin they touch; a position has one bin, so the join is an
-    equality on (chrom, bin) and gives each pair once.
-    """
-    bins = F.sequence(F.floor(F.col("start_pos") / bin_size), F.floor(F.col("end_pos") / bin_size))
-    listed = intervals.withColumn("_bin", F.explode(bins))
-    placed = variants.withColumn("_bin", F.floor(F.col("pos") / bin_size))
-    pairs = placed.join(listed, ["chrom", "_bin"])
-    return pairs.filter(F.col("pos").between(F.col("start_pos"), F.col("end_pos"))).drop("_bin")
-
-
 def gene_region(genes: DataFrame, symbols: Sequence[str], padding: int = GENE_PADDING) -> Pinned:
     """Padded intervals of the named genes as pinned rows.
 

@@ -35,7 +35,7 @@ def upsert_effects(base: DataFrame, layer: DataFrame) -> DataFrame:
     """Insert or update the effect layer.
 
     Effects are replaced by the new ones, an identifier only where the new one is known, and all other
-    columns keep their values.
+    columns keep their values. ``layer`` must hold one row per site (``one_row_per_site``).
     """
     renamed = layer.select(*SITE_KEY, F.lit(True).alias("_hit"), *[F.col(n).alias(f"_new_{n}") for n in ["rsid", "rsid_source", *EFFECT_COLUMNS]])
     joined = base.join(renamed, SITE_KEY, "full_outer")

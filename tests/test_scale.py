@@ -147,6 +147,20 @@ def test_interval_join_equals_brute_force(spark):
     assert "NestedLoop" not in plan_of(joins.within_intervals(variants, intervals))
 
 
+def test_long_region_lists_become_a_join(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "X").otherwise("1").alias("chrom"), (F.col("id") % 1000 * 331).alias("pos"))
+    regions = [f"chr{'X' if i % 2 else '1'}:{i * 700}-{i * 700 + 900}" for i in range(300)]
+    spans = [(r.split(":")[0][3:], *map(int, r.split(":")[1].split("-"))) for r in regions]
+    here = sorted(map(tuple, rows.collect()))
+    expected = [(c, p) for c, p in here if any(c == rc and a <= p <= b for rc, a, b in spans)]
+    assert sorted(map(tuple, filters.in_regions(rows, regions).collect())) == expected
+    pairs = sorted((r, c, p) for c, p in here for r, (rc, a, b) in zip(regions, spans) if c == rc and a <= p <= b)
+    assert sorted(map(tuple, filters.in_regions(rows, regions, labelled=True).collect())) == pairs
+    few = filters.in_regions(rows, regions[:20])
+    assert sorted(map(tuple, few.collect())) == [(c, p) for c, p in here if any(c == rc and a <= p <= b for rc, a, b in spans[:20])]
+    assert filters.in_regions(rows, []).count() == 0
+
+
 def test_one_call_per_position_is_spread_by_genome(spark, no_broadcast):
     plan = plan_of(joins.first_calls_at(hot_calls(spark), site_notes(spark)))
     window = plan.index("Window")
