@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,10 +58,11 @@ def traits_for_gene(gwas: DataFrame, gene: str, n: int = 20) -> DataFrame:
     return rows.orderBy(F.col("best_pvalue").asc_nulls_last(), "trait").limit(n)
 
 
-def polygenic_scores(contributions: DataFrame, weights: DataFrame) -> DataFrame:
+def polygenic_scores(contributions: DataFrame, weights: DataFrame, genomes: Sequence[str] | None = None) -> DataFrame:
     """Per genome and score: sum of contributions, positions found, those without a called genotype, and all positions.
 
-    A genome without any call for a score has no row.
+    Each of the named ``genomes`` gets a row for every score, with zeros where it has no call. Without names
+    only genomes with calls have rows.
     """
     totals = weights.groupBy("prs_id").agg(F.min("trait").alias("trait"), F.count("*").alias("total"))
     found = contributions.groupBy("genome", "prs_id").agg(
@@ -68,7 +70,12 @@ def polygenic_scores(contributions: DataFrame, weights: DataFrame) -> DataFrame:
         F.count("*").alias("found"),
         F.count_if(F.col("alleles").isNull()).alias("no_call"),
     )
-    return found.join(totals, "prs_id").select("genome", "prs_id", "trait", "score", "found", "no_call", "total")
+    if genomes is None:
+        scores = found.join(totals, "prs_id")
+    else:
+        asked = totals.withColumn("genome", F.explode(F.array(*[F.lit(genome) for genome in genomes])))
+        scores = asked.join(found, ["genome", "prs_id"], "left").fillna(0, ["score", "found", "no_call"])
+    return scores.select("genome", "prs_id", "trait", "score", "found", "no_call", "total")
 
 
 def significance_summary(annotated: DataFrame, term: str = "athogenic") -> DataFrame:

@@ -35,10 +35,13 @@ class Cohort:
             return genome
         return pick_genome(self.genomes, genome)
 
+    def named(self, genome: str | None, genome2: str | None = None) -> list[str]:
+        """The checked labels of one genome or a pair."""
+        return [self.check(genome)] + ([self.check(genome2)] if genome2 else [])
+
     def calls_of(self, genome: str | None, genome2: str | None = None) -> DataFrame:
         """Calls of one genome, of a pair, or of all (``ALL_GENOMES``)."""
-        names = [self.check(genome)] + ([self.check(genome2)] if genome2 else [])
-        return of_genomes(self.calls, *names).drop("genome_bucket")
+        return of_genomes(self.calls, *self.named(genome, genome2)).drop("genome_bucket")
 
 
 __all__ = ["ALL_GENOMES", "Cohort"]

@@ -23,7 +23,7 @@ def query_pgx(
     cohort: Cohort, drug: str | None = None, gene: str | None = None, genome: str | None = None, genome2: str | None = None
 ) -> DataFrame:
     """Star-allele positions of a drug's (or gene's) entries with the genotypes of one genome or a pair."""
-    genomes = [cohort.check(name) for name in (genome, genome2) if name or name is genome]
+    genomes = cohort.named(genome, genome2)
     if filters.ALL_GENOMES in genomes:
         raise ValueError("name one genome or two")
     rows = joins.pgx_genotypes(_drug_rows(cohort, drug, gene), cohort.pgx_variants, cohort.calls, genomes)
@@ -83,7 +83,8 @@ def calculate_prs(
     """Scores of one genome, a pair or the cohort; scores sharing a trait stay apart."""
     weights = _weights(cohort, trait, prs_id)
     contributions = joins.score_contributions(weights, cohort.calls_of(genome, genome2))
-    return aggregates.polygenic_scores(contributions, weights)
+    names = cohort.named(genome, genome2)
+    return aggregates.polygenic_scores(contributions, weights, None if filters.ALL_GENOMES in names else names)
 
 
 def prs_details(cohort: Cohort, trait: str | None = None, prs_id: str | None = None, genome: str | None = None, n: int = 15) -> DataFrame:

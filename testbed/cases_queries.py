@@ -165,3 +165,15 @@ def genome_summary(t: Tables) -> DataFrame:
 @query("list_genomes", "SELECT genome, count(*) AS calls, count(gene) AS snpeff, count(clnsig) AS clinvar, count(coalesce(af, af_grpmax)) AS gnomad, count(rsid) AS dbsnp FROM o_annotated GROUP BY genome")
 def list_genomes(t: Tables) -> DataFrame:
     return overview.list_genomes(t.cohort())
+
+
+@query(
+    "calculate_prs_pair",
+    """SELECT g.genome, w.prs_id, w.trait, round(coalesce(s.score, 0), 6) AS score, coalesce(s.found, 0) AS found, coalesce(s.no_call, 0) AS no_call, w.total
+       FROM (VALUES ('g1'), ('g7')) g(genome) CROSS JOIN (SELECT prs_id, min(trait) AS trait, count(*) AS total FROM d_prs WHERE contains(trait, 'trait') GROUP BY prs_id) w
+       LEFT JOIN (SELECT genome, prs_id, sum(dosage * weight) AS score, count(*) AS found, count(*) FILTER (WHERE zygosity = 'no_call') AS no_call FROM o_scored GROUP BY genome, prs_id) s
+       ON s.genome = g.genome AND s.prs_id = w.prs_id""",
+)
+def calculate_prs_pair(t: Tables) -> DataFrame:
+    rows = traits.calculate_prs(t.cohort("g1", "g7", "g9"), trait="TRAIT", genome="g1", genome2="g7")
+    return rows.withColumn("score", F.round("score", 6))

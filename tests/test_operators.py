@@ -125,6 +125,8 @@ def test_query_pgx(cohort):
 def test_scores_sharing_a_trait_stay_apart(cohort):
     got = traits.calculate_prs(cohort, trait="shared", genome=ALL_GENOMES).select("genome", "prs_id", "score", "found", "no_call", "total")
     assert rows_of(got) == [("g1", "P1", 0.5, 1, 0, 1), ("g1", "P2", -0.5, 1, 0, 2), ("g2", "P1", 0.0, 1, 0, 1)]
+    one = traits.calculate_prs(cohort, trait="shared", genome="g2").select("genome", "prs_id", "score", "found", "no_call", "total")
+    assert rows_of(one) == [("g2", "P1", 0.0, 1, 0, 1), ("g2", "P2", 0.0, 0, 0, 2)]
     assert rows_of(traits.prs_details(cohort, prs_id="P2", genome="g1").select("rsid", "contribution")) == [("rs2306283", -0.5)]
 
 
