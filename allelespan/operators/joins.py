@@ -48,6 +48,7 @@ def variant_records(annotated: DataFrame) -> DataFrame:
         effect.alias("annotation"),
         clinical_struct(F.col("clnsig"), F.col("clndn"), F.col("clnrevstat")).alias("clinvar"),
         frequency_struct(F.col("af"), F.col("af_grpmax")).alias("population_freq"),
+        *[name for name in ("truncated",) if name in annotated.columns],
     )
 
 

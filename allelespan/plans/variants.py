@@ -83,6 +83,7 @@ def _gene_columns(rows: DataFrame) -> DataFrame:
         "impact",
         spaced(F.when(F.col("clnsig") != ".", F.col("clnsig"))).alias("significance"),
         "af",
+        *[name for name in ("truncated",) if name in rows.columns],
     )
 
 
@@ -97,7 +98,8 @@ def query_gene(
 ) -> DataFrame:
     """Variants of a gene after the impact, information and smart filters; the first ``max_results`` per genome.
 
-    The limit comes last, so it never hides a variant that would have passed the filters.
+    The limit comes last, so it never hides a variant that would have passed the filters; ``truncated`` tells
+    whether a genome had more.
     """
     filters.impact_levels(impact_filter)
     rows = _gene_rows(cohort, cohort.calls_of(genome, genome2), [gene])
@@ -133,7 +135,10 @@ def query_clinvar(
     genome: str | None = None,
     genome2: str | None = None,
 ) -> DataFrame:
-    """Calls with a clinical significance, optionally in one gene's region or for a condition; at most 100 per genome."""
+    """Calls with a clinical significance, optionally in one gene's region or for a condition.
+
+    At most 100 per genome; ``truncated`` tells whether a genome had more.
+    """
     calls, notes = cohort.calls_of(genome, genome2), filters.with_significance(cohort.annotations, significance)
     if gene:
         inside = interval_predicate(joins.gene_region(cohort.genes, [gene]).rows)
@@ -143,5 +148,5 @@ def query_clinvar(
     rows = ranking.capped(joins.annotate_inner(calls, notes), min(max_results, 100), ["genome"])
     flat = joins.flatten_records(joins.variant_records(rows))
     return flat.withColumn("gene", F.coalesce("gene", F.lit("Unknown"))).select(
-        "genome", "gene", "rsid", "chrom", "pos", "ref", "alt", "display", "significance", "condition"
+        "genome", "gene", "rsid", "chrom", "pos", "ref", "alt", "display", "significance", "condition", "truncated"
     )

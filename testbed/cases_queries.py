@@ -48,9 +48,9 @@ _GENE_COLUMNS = f"genome, symbol, {_KEY}, rsid, display, effect, impact, {_SIG},
 _KEEP = "(impact IS NULL OR impact IN ('HIGH', 'MODERATE')) AND (impact IS NOT NULL OR clnsig IS NOT NULL OR rsid IS NOT NULL)"
 
 
-def _gene_rows(symbols: str, keep: str, per: str, n: int, source: str = "o_smart") -> str:
-    return f"""SELECT {_GENE_COLUMNS} FROM (
-        SELECT v.*, g.symbol, row_number() OVER (PARTITION BY {per} ORDER BY {GENOME_RANK.format('v.chrom')}, v.pos, v.ref, v.alt) AS n
+def _gene_rows(symbols: str, keep: str, per: str, n: int, source: str, truncated: bool = True) -> str:
+    return f"""SELECT {_GENE_COLUMNS}{f', total > {n} AS truncated' if truncated else ''} FROM (
+        SELECT v.*, g.symbol, count(*) OVER (PARTITION BY {per}) AS total, row_number() OVER (PARTITION BY {per} ORDER BY {GENOME_RANK.format('v.chrom')}, v.pos, v.ref, v.alt) AS n
         FROM {source} v JOIN o_padded g ON v.chrom = g.chrom AND v.pos BETWEEN g.start_pos AND g.end_pos
         WHERE g.symbol IN ({symbols}) AND {keep}) r WHERE n <= {n}"""
 
@@ -72,15 +72,15 @@ def query_gene_all(t: Tables) -> DataFrame:
     return variants.query_gene(t.cohort(), "BRAND9", "HIGH,MODERATE,LOW,MODIFIER", 5, smart_filter=False, genome=ALL_GENOMES)
 
 
-@query("query_genes", _gene_rows("'BRAND1', 'BRAND3', 'BRAND5', 'BRAND8', 'BRAND10', 'BRAND24'", _KEEP, "genome, symbol", 20, "o_annotated"))
+@query("query_genes", _gene_rows("'BRAND1', 'BRAND3', 'BRAND5', 'BRAND8', 'BRAND10', 'BRAND24'", _KEEP, "genome, symbol", 20, "o_annotated", False))
 def query_genes(t: Tables) -> DataFrame:
     return variants.query_genes(t.cohort(), ["BRAND1", "brand3", "BRAND5", "BRAND8", "BRAND10", "brand24", "NOGENE"], genome=ALL_GENOMES)
 
 
 @query(
     "query_clinvar",
-    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition FROM (
-            SELECT *, row_number() OVER (PARTITION BY genome ORDER BY {_ORDER}) AS n FROM o_annotated
+    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition, total > 50 AS truncated FROM (
+            SELECT *, count(*) OVER (PARTITION BY genome) AS total, row_number() OVER (PARTITION BY genome ORDER BY {_ORDER}) AS n FROM o_annotated
             WHERE contains(lower(clnsig), 'pathogenic') AND clndn <> '.' AND contains(clndn, 'red')) c WHERE n <= 50""",
 )
 def query_clinvar(t: Tables) -> DataFrame:
@@ -89,7 +89,7 @@ def query_clinvar(t: Tables) -> DataFrame:
 
 @query(
     "query_clinvar_gene",
-    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition FROM o_annotated
+    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition, count(*) OVER (PARTITION BY genome) > 50 AS truncated FROM o_annotated
         WHERE contains(lower(clnsig), 'benign') AND chrom = '4' AND pos BETWEEN (SELECT start_pos FROM o_padded WHERE symbol = 'BRAND4') AND (SELECT end_pos FROM o_padded WHERE symbol = 'BRAND4')""",
 )
 def query_clinvar_gene(t: Tables) -> DataFrame:

@@ -61,7 +61,8 @@ def test_query_gene(cohort):
     everything = variants.query_gene(cohort, "SLCO1B1", smart_filter=False, genome="g1")
     assert [row[0] for row in rows_of(everything.select("pos"))] == [21178615, 21178700, 21178800, 21178900, 21178950]
     assert rows_of(variants.query_gene(cohort, "SLCO1B1", "HIGH", genome="g1", smart_filter=False).select("pos")) == [(21178800,), (21178900,), (21178950,)]
-    assert variants.query_gene(cohort, "SLCO1B1", max_results=1, genome="g1").count() == 1
+    assert rows_of(variants.query_gene(cohort, "SLCO1B1", max_results=1, genome="g1").select("pos", "truncated")) == [(21178615, True)]
+    assert rows_of(variants.query_gene(cohort, "SLCO1B1", max_results=3, genome="g1").select("truncated").distinct()) == [(False,)]
     assert variants.query_gene(cohort, "NOPE", genome="g1").count() == 0
     pair = variants.query_gene(cohort, "SLCO1B1", genome="g1", genome2="g2")
     assert rows_of(pair.groupBy("genome").count()) == [("g1", 3), ("g2", 1)]
