@@ -224,7 +224,7 @@ CPIC_SOURCES = {
     "gene": "SELECT DISTINCT brand AS symbol, CASE WHEN brand <> 'BRAND5' THEN 'chr' || replace(brand, 'BRAND', '') END AS chr FROM d_sites",
     "allele": """SELECT DISTINCT brand AS genesymbol, '*' || cast(k % 7 AS string) AS name,
                         CASE k % 7 WHEN 0 THEN 'Normal function' WHEN 1 THEN 'No function' WHEN 2 THEN '' END AS clinicalfunctionalstatus
-                 FROM d_sites WHERE k % 7 <> 6""",
+                 FROM d_sites WHERE p_size > 40""",
     "allele_definition": "SELECT DISTINCT cast(replace(brand, 'BRAND', '') AS bigint) * 10 + k % 7 AS id, brand AS genesymbol, '*' || cast(k % 7 AS string) AS name FROM d_sites",
     "sequence_location": """SELECT k + 1 AS id, brand AS genesymbol, dbsnp_id AS dbsnpid,
                                    CASE k % 4 WHEN 0 THEN 'g.' || cast(pos AS string) || 'A>G' WHEN 1 THEN 'g.' || cast(pos AS string) || 'del'
