@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver did, unless their own path has been set."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def append_columns(df: DataFrame, inputs: Sequence[str], added: str, compute: Callable[..., Iterator[list]]) -> DataFrame:
     """``df`` with the columns of the schema text ``added``, one map over its partitions and no shuffle.
 
     ``compute`` gets an iterator of lists of Arrow arrays, one for each name in ``inputs``, and yields for
     each of them the list of added arrays. A column of ``df`` whose name is added (in any case) is replaced.
     """
+    let_workers_import(df.sparkSession)
     fields = StructType.fromDDL(added).fields
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
