@@ -110,7 +110,7 @@ def _matrix(rows: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, n
     return owner[same], place[same]
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.ndarray]], *, max_features: int, swap_penalty: float, l2: float = 1e-4, rounds: int = 200) -> Classifier:
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.ndarray]], *, max_features: int, swap_penalty: float, l2: float = 1e-5, rounds: int = 300) -> Classifier:
     """Fit by full-batch gradient steps. ``swapped`` pairs a row's number with its counterfactual's features."""
     labels = labels.astype(np.float64)
     n, positives = len(rows), labels.sum()
