@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelespan.llm import decontamination, sentencepiece_codec, token_counts, toxicity
+from allelespan.llm import decontamination, embedding_dedup, sentencepiece_codec, token_counts, toxicity
 from allelespan.llm.arrow_columns import let_workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,11 +41,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES |= {
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES["op8_decontamination"] = r"""
     WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
