@@ -17,6 +17,14 @@ def let_workers_import(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(df: DataFrame, inputs: Sequence[str], added: str, compute: Callable[..., Iterator[list]]) -> DataFrame:
     """``df`` with the columns of the schema text ``added``, one map over its partitions and no shuffle.
 

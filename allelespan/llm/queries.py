@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelespan.llm import decontamination, embedding_dedup, sentencepiece_codec, token_counts, toxicity
+from allelespan.llm import decontamination, embedding_dedup, pii, sentencepiece_codec, token_counts, toxicity
 from allelespan.llm.arrow_columns import let_workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"), piece_model())
 
 
+#: The key of the registered queries; a deployment reads its own from a secret store.
+PII_KEY = "registered-query-key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.codec_report(table(spark, sf_dir, "documents"), piece_model())
 
@@ -48,6 +56,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_pii": op6_pii,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
     "op10_embedding_dedup": op10_embedding_dedup,
