@@ -12,6 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 
+#: Rows that are computed at once, whatever the size of Spark's batches; bounds what a Python worker holds.
+_SLICE_ROWS = 512
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers find this package where the driver did, unless their own path has been set."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
@@ -44,27 +48,29 @@ def append_columns(df: DataFrame, inputs: Sequence[str], added: str, compute: Ca
 
         def arrays():
             for batch in batches:
-                held.append(batch)
-                yield [batch.column(i) for i in wanted]
+                for start in range(0, batch.num_rows, _SLICE_ROWS):
+                    part = batch.slice(start, _SLICE_ROWS)
+                    held.append(part)
+                    yield [part.column(i) for i in wanted]
 
         for made in compute(arrays()):
-            batch = held.pop()
-            columns = [batch.column(i) for i in keeps] + [pa.array(m, t) if not isinstance(m, pa.Array) else m.cast(t) for m, t in zip(made, types)]
+            part = held.pop()
+            columns = [part.column(i) for i in keeps] + [pa.array(m, t) if not isinstance(m, pa.Array) else m.cast(t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays(columns, names=[kept[i].name for i in places] + [f.name for f in fields])
 
     return df.mapInArrow(run, StructType([*[StructField(f.name, f.dataType, True) for f in kept], *fields]))
 
 
 #: Widths of the integers that blocks can hold, by code.
-_WIDTHS = {"u1": 1, "u2": 2, "u4": 4, "u5": 5, "u8": 8, "f4": 4}
+_WIDTHS = {"u1": 1, "u2": 2, "u4": 4, "u5": 5, "u6": 6, "u8": 8}
 
 
 def pack(kinds: Sequence[str], arrays: Sequence[np.ndarray]) -> bytes:
-    """Arrays as one binary value; ``u5`` keeps the low 40 bits of 64-bit values."""
+    """Arrays as one binary value; ``u5`` and ``u6`` keep the low 40 and 48 bits of 64-bit values."""
     parts = [np.array([len(a) for a in arrays], dtype=np.uint32).tobytes()]
     for kind, values in zip(kinds, arrays):
-        if kind == "u5":
-            parts.append(np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        if kind in ("u5", "u6"):
+            parts.append(np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, : _WIDTHS[kind]].tobytes())
         else:
             parts.append(np.ascontiguousarray(values).astype(kind, copy=False).tobytes())
     return b"".join(parts)
@@ -75,9 +81,9 @@ def unpack(kinds: Sequence[str], block: bytes) -> list[np.ndarray]:
     for kind, size in zip(kinds, sizes.tolist()):
         part = np.frombuffer(block, dtype=np.uint8, count=size * _WIDTHS[kind], offset=at)
         at += len(part)
-        if kind == "u5":
+        if kind in ("u5", "u6"):
             wide = np.zeros((size, 8), dtype=np.uint8)
-            wide[:, :5] = part.reshape(-1, 5)
+            wide[:, : _WIDTHS[kind]] = part.reshape(-1, _WIDTHS[kind])
             out.append(wide.reshape(-1).view("<u8"))
         else:
             out.append(np.frombuffer(part.tobytes(), dtype=kind))
@@ -89,6 +95,15 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[0], starts[0] + 1, ...`` for ``counts[0]`` numbers, then the same for each next pair."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def joined(parts: Sequence[np.ndarray], kind: str) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each 64-bit hash, from its high bits."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)

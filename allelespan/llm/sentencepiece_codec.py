@@ -28,7 +28,7 @@ codecs.register_error("one-mark-per-byte", lambda e: ("�" * (e.end - e.start),
 class PrefixEncoder:
     """Encodes independent parts of texts."""
 
-    def __init__(self, vocab: PieceVocabulary, remembered_pairs: int = 400_000):
+    def __init__(self, vocab: PieceVocabulary, remembered_pairs: int = 200_000):
         self.vocab, self.limit = vocab, remembered_pairs
         self.pairs: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -65,25 +65,35 @@ class PrefixEncoder:
         return found
 
     def encode(self, part: str) -> list[int]:
-        size = len(part)
-        last: list[str] = [""] * (size + 1)
-        matches: list[list[str]] = [[] for _ in range(size + 1)]
-        for end, piece in self.automaton.iter(part):
-            matches[end + 1].append(piece)
-        for end in range(1, size + 1):
-            for piece in matches[end]:
+        size, pairs = len(part), self.pairs
+        last: list[str | None] = [None] * (size + 1)
+        filled = 0  # prefixes up to this length have their last token
+        for place, piece in self.automaton.iter(part):
+            while filled < place:
+                filled += 1
+                if last[filled] is None:
+                    last[filled] = part[filled - 1]  # a character that is no piece
+            end = place + 1
+            if last[end] is None:
                 begin = end - len(piece)
-                if begin == 0 or self.compatible(last[begin], piece):
+                if begin == 0:
                     last[end] = piece
-                    break
-            else:
-                last[end] = part[end - 1]  # a character that is no piece
+                else:
+                    fits = pairs.get((last[begin], piece))
+                    if self.compatible(last[begin], piece) if fits is None else fits:
+                        last[end] = piece
+        for end in range(filled + 1, size + 1):
+            if last[end] is None:
+                last[end] = part[end - 1]
         ids: list[int] = []
-        end = size
+        numbers, end = self.vocab.ids, size
         while end:
             token = last[end]
-            number = self.vocab.ids.get(token)
-            ids.extend(reversed(self.vocab.fallback(token)) if number is None else (number,))
+            number = numbers.get(token)
+            if number is None:
+                ids.extend(reversed(self.vocab.fallback(token)))
+            else:
+                ids.append(number)
             end -= len(token)
         ids.reverse()
         return ids
@@ -93,7 +103,29 @@ class PrefixEncoder:
 def _encoder(model: bytes) -> tuple[PieceVocabulary, Remembered]:
     vocab = vocabulary(model)
     encoder = PrefixEncoder(vocab)
-    return vocab, Remembered(lambda part: np.array(encoder.encode(part), dtype=np.int32).tobytes())
+    return vocab, Remembered(lambda part: np.array(encoder.encode(part), dtype=np.int32).tobytes(), 250_000)
+
+
+def _id_lists(texts: pa.Array, model: bytes) -> pa.ListArray:
+    vocab, known = _encoder(model)
+    rows = [b"".join(map(known.__getitem__, vocab.parts(t))) for t in pc.fill_null(texts, "").to_pylist()]
+    offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
+
+
+def _texts(lists: pa.ListArray, model: bytes) -> pa.Array:
+    vocab = vocabulary(model)
+    values = pc.fill_null(lists.flatten(), vocab.unknown).to_numpy(zero_copy_only=False)
+    values = np.where((values >= 0) & (values < len(vocab.surfaces)), values, vocab.unknown).tolist()
+    bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).tolist()
+
+    def text_of(row: list[int]) -> str:
+        raw = b"".join(map(vocab.surfaces.__getitem__, row))
+        if vocab.dummy_prefix and row and row[0] in vocab.starts_with_space:
+            raw = raw[1:]
+        return raw.decode("utf-8", "one-mark-per-byte")
+
+    return pa.array([text_of(values[a:b]) for a, b in zip(bounds, bounds[1:])], pa.string())
 
 
 def encode(documents: DataFrame, model_path: str, *, text: str = "text", into: str = "ids") -> DataFrame:
@@ -102,16 +134,8 @@ def encode(documents: DataFrame, model_path: str, *, text: str = "text", into: s
     The library's ids without begin or end. A null or empty text has an empty list. Rows stay as they are,
     repeated ones too; an empty table stays empty.
     """
-    shipped = ship_model(documents.sparkSession, model_path)
-
-    def run(batches):
-        vocab, known = _encoder(shipped.value)
-        for (texts,) in batches:
-            rows = [b"".join(map(known.__getitem__, vocab.parts(t))) for t in pc.fill_null(texts, "").to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
-            yield [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))]
-
-    return append_columns(documents, [text], f"`{into}` array<int>", run)
+    model = ship_model(documents.sparkSession, model_path)
+    return append_columns(documents, [text], f"`{into}` array<int>", lambda batches: ([_id_lists(texts, model.value)] for (texts,) in batches))
 
 
 def decode(encoded: DataFrame, model_path: str, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -120,29 +144,25 @@ def decode(encoded: DataFrame, model_path: str, *, ids: str = "ids", into: str =
     Bytes that are no UTF-8 become one replacement mark each. A null list is an empty text; a null id, or one that the
     model doesn't have, is read as the unknown id.
     """
-    shipped = ship_model(encoded.sparkSession, model_path)
+    model = ship_model(encoded.sparkSession, model_path)
+    return append_columns(encoded, [ids], f"`{into}` string", lambda batches: ([_texts(lists, model.value)] for (lists,) in batches))
 
-    def text_of(vocab: PieceVocabulary, row: list[int]) -> str:
-        raw = b"".join(map(vocab.surfaces.__getitem__, row))
-        if vocab.dummy_prefix and row and row[0] in vocab.starts_with_space:
-            raw = raw[1:]
-        return raw.decode("utf-8", "one-mark-per-byte")
 
-    def run(batches):
-        vocab = vocabulary(shipped.value)
-        top = len(vocab.surfaces)
-        for (lists,) in batches:
-            values = pc.fill_null(lists.flatten(), vocab.unknown).to_numpy(zero_copy_only=False)
-            values = np.where((values >= 0) & (values < top), values, vocab.unknown).tolist()
-            bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).tolist()
-            yield [pa.array([text_of(vocab, values[a:b]) for a, b in zip(bounds, bounds[1:])], pa.string())]
+def round_trip(documents: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass, so that a task needs one Python worker only."""
+    model = ship_model(documents.sparkSession, model_path)
+
+    def both(batches):
+        for (texts,) in batches:
+            lists = _id_lists(texts, model.value)
+            yield [lists, _texts(lists, model.value)]
 
-    return append_columns(encoded, [ids], f"`{into}` string", run)
+    return append_columns(documents, [text], f"`{ids}` array<int>, `{decoded}` string", both)
 
 
 def codec_report(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: number and digest of its ids, and the digest of the text they decode to."""
-    coded = decode(encode(documents.select(doc_id, F.col(text).cast("string").alias("text")), model_path).drop("text"), model_path)
+    coded = round_trip(documents.select(doc_id, F.col(text).cast("string").alias("text")), model_path)
     return coded.select(
         doc_id,
         F.size("ids").cast("bigint").alias("n_tokens"),
