@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelespan.llm import decontamination, embedding_dedup, ngram_join, pii, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from allelespan.llm import decontamination, embedding_dedup, ngram_join, pii, sentencepiece_codec, substring_dedup, token_counts, token_shards, toxicity
 from allelespan.llm.arrow_columns import let_workers_import
+from allelespan.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +58,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_folder(spark)
+    return token_shards.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +77,7 @@ QUERIES |= {
     "op6_pii": op6_pii,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
+    "op9_token_shards": op9_token_shards,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES["op8_decontamination"] = r"""
