@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from allelespan.llm.arrow_columns import free_name
 
 ROUNDS = 8
+KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 
 _BEFORE = r"(?<![0-9A-Za-z.\-/+@_])"
 _AFTER = r"(?![0-9A-Za-z_@]|[.\-/][0-9])"
@@ -269,5 +270,8 @@ def pseudonymize(documents: DataFrame, key: str, *, text: str = "text", into: st
 def pii_report(documents: DataFrame, key: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its pseudonymised text and how many values of each kind were replaced."""
     done = pseudonymize(documents.select(doc_id, text), key, text=text)
-    counts = [F.size(F.filter("pii", lambda k, kind=kind: k == kind)).cast("bigint").alias(f"n_{kind}") for kind in ("email", "card", "phone", "ip", "ssn", "date")]
-    return done.select(doc_id, F.col(text).alias("text"), *counts)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda k: k == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return done.select(doc_id, F.col(text).alias("text"), *map(count, KINDS))
