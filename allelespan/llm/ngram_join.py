@@ -24,10 +24,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import bucket_of, by_bucket, expand, let_workers_import, pack, partitions, unpack
+from allelespan.llm.arrow_columns import append_columns, bucket_of, by_bucket, expand, free_name, let_workers_import, pack, partitions, unpack
 from allelespan.llm.linking import components, written
 from allelespan.llm.word_hashes import SPACED_FOLDED, cut_words, mix, shingle_runs
 
@@ -60,9 +60,9 @@ def choose_boundary(sets: dict[int, int], mean_list: float) -> int:
     return min(range(SMALL_LIMIT + 1), key=lambda x: (sum(k * (light(n) if n <= x else heavy(n)) for n, k in sets.items()), x))
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingles of each text)."""
-    for words in cut_words(batch.column("text"), SPACED_FOLDED):
+    for words in cut_words(texts, SPACED_FOLDED):
         shingles, bounds = shingle_runs(words, size)
         yield words.row, [np.unique(shingles[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
@@ -79,7 +79,7 @@ def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, names, small = [], [], []
-            for _, sets in _sets(batch, size):
+            for _, sets in _sets(batch.column("text"), size):
                 n.extend(len(s) for s in sets)
                 names.extend(_name(s) if len(s) else None for s in sets)
                 small.extend(s.view(np.int64) if 0 < len(s) <= SMALL_LIMIT else None for s in sets)
@@ -122,7 +122,7 @@ def _entries(documents: DataFrame, size: int, least: int, buckets: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, every in _sets(batch, size):
+            for _, every in _sets(batch.column("text"), size):
                 sets = list({_name(s): s for s in every if len(s) >= least}.items())
                 if not sets:
                     continue
@@ -254,6 +254,22 @@ def _large_links(sets: DataFrame, known: DataFrame, rounds: int) -> DataFrame:
     return links
 
 
+def _groups(texts: DataFrame, rows: DataFrame, size: int, rounds: int) -> DataFrame:
+    """(set, component_id, leads): the smallest id of each class's component, and whether the class holds it."""
+    buckets = partitions(texts)
+    classes = rows.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
+    small = written(rows.filter("small IS NOT NULL").groupBy("set").agg(F.first("n").alias("n"), F.first("small").alias("small")))
+    boundary = _boundary(small)
+    links = written(_small_links(small.filter(F.col("n") <= boundary)))
+    least = -(-4 * (boundary + 1) // 5)
+    sets = written(_candidate_sets(_shared(_entries(texts.select("text"), size, least, buckets), buckets)))
+    links = _large_links(sets, links, rounds)
+    groups = components(links).select(F.col("node").alias("set"), "component")
+    named = written(classes.join(groups, "set", "left").select("set", "least", F.coalesce("component", "set").alias("component")))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "set")).alias("first"))
+    return written(named.join(written(first), "component").select("set", F.col("first.least").alias("component_id"), (F.col("set") == F.col("first.set")).alias("leads")))
+
+
 def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, rounds: int = 2) -> DataFrame:
     """One row per row of ``documents``: the id, ``n_shingles``, and ``component_id``, the smallest id reachable by links.
 
@@ -262,19 +278,32 @@ def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     other and linked. A null id is the smallest of no component unless all its ids are null. Other columns are ignored.
     """
     let_workers_import(documents.sparkSession)
-    buckets = partitions(documents)
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     rows = written(shingle_sets(texts, size))
-    classes = rows.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
-    small = rows.filter("small IS NOT NULL").groupBy("set").agg(F.first("n").alias("n"), F.first("small").alias("small"))
-    small = written(small)
-    boundary = _boundary(small)
-    links = written(_small_links(small.filter(F.col("n") <= boundary)))
-    least = -(-4 * (boundary + 1) // 5)
-    sets = written(_candidate_sets(_shared(_entries(texts.select("text"), size, least, buckets), buckets)))
-    links = _large_links(sets, links, rounds)
-    groups = components(links).select(F.col("node").alias("set"), "component")
-    named = written(classes.join(groups, "set", "left").select("set", "least", F.coalesce("component", "set").alias("component")))
-    smallest = written(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    ids = written(named.join(smallest, "component").select("set", "component_id"))
-    return rows.select("id", "n", "set").join(ids, "set", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    groups = _groups(texts, rows, size, rounds)
+    found = rows.select("id", "n", "set").join(groups, "set", "left")
+    component = F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_representatives(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, rounds: int = 2) -> DataFrame:
+    """The rows of ``documents`` that stay, with all their columns: of each component the row with the smallest id.
+
+    Among rows of that id the first by text stays. Texts without words all stay. A component whose ids are all null keeps one row.
+    """
+    let_workers_import(documents.sparkSession)
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    rows = written(shingle_sets(texts, size))
+    leaders = _groups(texts, rows, size, rounds).filter("leads")
+    name, key, place = (free_name(documents, n) for n in ("set", "key", "place"))
+    leaders = leaders.select(F.col("set").alias(name), F.xxhash64("component_id").alias(key))
+
+    def named(batches):
+        for (whole,) in batches:
+            yield [[_name(s) if len(s) else None for _, sets in _sets(whole, size) for s in sets]]
+
+    marked = append_columns(documents, [text], f"`{name}` bigint", named).withColumn(key, F.xxhash64(doc_id))
+    # joined by class and id, so that a group of copies meets nowhere
+    own = marked.filter(F.col(name).isNotNull()).join(leaders, [name, key])
+    once = own.withColumn(place, F.row_number().over(Window.partitionBy(name, key).orderBy(text))).filter(F.col(place) == 1)
+    return once.select(documents.columns).union(marked.filter(F.col(name).isNull()).select(documents.columns))
