@@ -13,7 +13,8 @@ Two sets of a and b shingles are similar when they share at least c(a, b) = ceil
 
 Equal sets are one class. Lists are scanned in rounds that never pair up a group: in each round every list has one
 leader, its members are verified against it by exact overlap, and the links found become components. What has become
-one component needs no more comparing. After the rounds, pairs of different components that still share a list are all verified.
+one component needs no more comparing. After the rounds, members of different components that still share a list are compared inside the
+list's task, which returns links only.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelespan.llm.arrow_columns import append_columns, bucket_of, by_bucket, expand, free_name, let_workers_import, pack, partitions, unpack
-from allelespan.llm.linking import components, written
+from allelespan.llm.linking import components, run_bounds, whole_runs, written
 from allelespan.llm.word_hashes import SPACED_FOLDED, cut_words, mix, shingle_runs
 
 #: Largest set that may be small, whatever the costs say.
@@ -243,17 +244,62 @@ def _large_links(sets: DataFrame, known: DataFrame, rounds: int) -> DataFrame:
         if number < rounds:
             met = open_lists.filter((F.col("component") != F.col("lead.component")) & _alike_sizes(F.col("n"), F.col("lead.n")))
             pairs = met.select(F.col("set").alias("a"), F.col("lead.set").alias("b")).distinct()
+            links = written(links.union(_verified(written(pairs), sets)))
         else:
-            open_lists = written(open_lists.select("shingle", "set", "n", "place", "component"))
-            other = open_lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "place", "component")])
-            # what can still be shared from the first shared shingle on
-            reach = 9 * F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= 4 * (F.col("n") + F.col("n_b"))
-            met = open_lists.join(other, "shingle").filter((F.col("component") < F.col("component_b")) & _alike_sizes(F.col("n"), F.col("n_b")) & reach)
-            pairs = met.select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct()
-        links = written(links.union(_verified(written(pairs), sets)))
+            links = written(links.union(_remaining_links(written(open_lists.select("shingle", "set", "n", "place", "component")), sets)))
     return links
 
 
+def _remaining_links(members: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+    """Links (a, b) between different components inside the lists ``members``; every pair that may be similar is compared.
+
+    A list's members are compared in its task, with their whole sets, and only links leave it. Lists with more than
+    ``block`` members are compared block against block in tasks of their own. A pair that shares several lists is compared in the first one,
+    and only if what can still be shared from there on suffices.
+    """
+    sizes = members.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(written(sizes), "shingle").withColumn("block", F.pmod(F.xxhash64("set", "shingle"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shingle", "set", "n", "place", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    whole = dealt.join(sets.select("set", "shingles", "prefix"), "set").repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
+    keys = ["shingle", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, keys):
+            bounds = run_bounds(rows, keys)
+            name, n, place, block, component = (rows[c].to_numpy() for c in ("set", "n", "place", "block", "component"))
+            shingle, low, high, prefix = (rows[c].to_numpy() for c in ("shingle", "low", "high", "prefix"))
+            lists = rows["shingles"].combine_chunks()
+            flat, begin = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
+            found: list[tuple[int, int]] = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                left = n[a:b] - place[a:b]
+                fits = (9 * np.minimum.outer(left, left) >= 4 * np.add.outer(n[a:b], n[a:b])) & (5 * np.minimum.outer(n[a:b], n[a:b]) >= 4 * np.maximum.outer(n[a:b], n[a:b]))
+                fits &= np.less.outer(component[a:b], component[a:b])
+                if low[a] != high[a]:
+                    fits &= np.not_equal.outer(block[a:b], block[a:b])
+                one, two = np.nonzero(fits)
+                here = {i: flat[begin[i] : begin[i + 1]].tolist() for i in np.unique(np.concatenate([one, two]) + a).tolist()}
+                kept = {i: set(values) for i, values in here.items()}
+                heads = {i: here[i][: prefix[i]] for i in here}
+                head_sets = {i: set(values) for i, values in heads.items()}
+                root = {c: c for c in component[list(here)].tolist()}
+                for i, j in zip((one + a).tolist(), (two + a).tolist()):
+                    c, d = component[i], component[j]
+                    while root[c] != c:
+                        c = root[c]
+                    while root[d] != d:
+                        d = root[d]
+                    if c != d and next(x for x in heads[i] if x in head_sets[j]) == shingle[a] and 9 * len(kept[i] & kept[j]) >= 4 * (n[i] + n[j]):
+                        root[max(c, d)] = min(c, d)
+                        found.append((int(name[i]), int(name[j])))
+            if found:
+                one, two = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+
+    return whole.mapInArrow(run, "a bigint, b bigint")
+
+
 def _groups(texts: DataFrame, rows: DataFrame, size: int, rounds: int) -> DataFrame:
     """(set, component_id, leads): the smallest id of each class's component, and whether the class holds it."""
     buckets = partitions(texts)
