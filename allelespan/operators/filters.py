@@ -21,6 +21,9 @@ TEXT_FIELDS = ("impact", "effect", "gene", "transcript", "hgvs_c", "hgvs_p")
 ALL_GENOMES = "*"
 MAX_REGION_TESTS = 200
 
+# Longer lists of values are joined instead of written into a filter.
+LISTED_VALUES = 200
+
 
 def in_region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Rows whose position lies in the interval, both ends included."""
@@ -92,8 +95,14 @@ def of_genomes(df: DataFrame, *genomes: str) -> DataFrame:
 
 
 def with_rsids(df: DataFrame, rsids: Sequence[str]) -> DataFrame:
-    """Rows with one of the identifiers; a malformed identifier is an error."""
-    return df.filter(F.col("rsid").isin(*[check_rsid(rsid) for rsid in rsids]))
+    """Rows with one of the identifiers; a malformed identifier is an error.
+
+    A short list becomes a filter of the scan, a long one a join.
+    """
+    wanted = list(dict.fromkeys(check_rsid(rsid) for rsid in rsids))
+    if len(wanted) <= LISTED_VALUES:
+        return df.filter(F.col("rsid").isin(*wanted))
+    return df.join(local_table(df.sparkSession, [(rsid,) for rsid in wanted], "rsid string"), "rsid", "left_semi").select(df.columns)
 
 
 def valid_rsids(df: DataFrame, column: str = "rsid") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,9 @@ from allelespan.functions.clinical import clinical_struct
 from allelespan.functions.contigs import check_rsid
 from allelespan.functions.genotypes import called_alleles, dosage, with_genotype, zygosity_label
 from allelespan.functions.vcf_fields import frequency_struct
-from allelespan.operators.filters import of_genomes, with_significance
+from allelespan.operators.filters import LISTED_VALUES, of_genomes, with_rsids, with_significance
 from allelespan.operators.intervals import GENE_PADDING, INTERVAL_BIN, padded_genes, within_intervals
-from allelespan.operators.sizing import Pinned, left_join_nullable, pin_if_small, salted_join, site_predicate, top_per_group
+from allelespan.operators.sizing import interval_predicate, left_join_nullable, pin_if_small, salted_join, site_predicate, top_per_group
 from allelespan.schemas import EFFECT_COLUMNS, SITE_KEY
 from allelespan.session import local_table
 
@@ -66,7 +67,7 @@ def flatten_records(records: DataFrame) -> DataFrame:
     return records.select(*columns)
 
 
-def calls_at_sites(calls: DataFrame, sites: DataFrame, how: str = "inner") -> DataFrame:
+def calls_at_sites(calls: DataFrame, sites: DataFrame) -> DataFrame:
     """Calls joined with annotated sites on the exact site.
 
     Few sites are pinned: their places prune the scan of ``calls`` and the join is a broadcast of known
@@ -74,19 +75,18 @@ def calls_at_sites(calls: DataFrame, sites: DataFrame, how: str = "inner") -> Da
     """
     pinned = pin_if_small(sites)
     if pinned is None:
-        return annotate_inner(calls, sites, how)
-    return annotate_inner(calls.filter(site_predicate(pinned.rows)), F.broadcast(pinned.table), how)
+        return annotate_inner(calls, sites)
+    return annotate_inner(calls.filter(site_predicate(pinned.rows)), F.broadcast(pinned.table))
 
 
-def annotate_inner(calls: DataFrame, sites: DataFrame, how: str = "inner") -> DataFrame:
+def annotate_inner(calls: DataFrame, sites: DataFrame) -> DataFrame:
     """Calls that have a row in ``sites``, with that row's annotation."""
-    return calls.drop("id").join(sites, SITE_KEY, how)
+    return calls.drop("id").join(sites, SITE_KEY)
 
 
 def calls_for_rsids(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str]) -> DataFrame:
     """Annotated calls of the sites that carry one of the identifiers."""
-    wanted = [check_rsid(rsid) for rsid in rsids]
-    return calls_at_sites(calls, annotations.filter(F.col("rsid").isin(*wanted)))
+    return calls_at_sites(calls, with_rsids(annotations, rsids))
 
 
 def requested_rsids(spark, rsids: Sequence[str]) -> DataFrame:
@@ -95,12 +95,20 @@ def requested_rsids(spark, rsids: Sequence[str]) -> DataFrame:
     return local_table(spark, list(enumerate(unique, 1)), "request_order long, rsid string")
 
 
-def rsid_batch(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str]) -> DataFrame:
-    """Every requested identifier with its annotated calls; identifiers without a call give one row of NULLs."""
+def rsid_batch(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str], genomes: Sequence[str] | None = None) -> DataFrame:
+    """Every requested identifier with its annotated calls; identifiers without a call give one row of NULLs.
+
+    With ``genomes``, every one of them gets a row for each identifier, found or not. The calls of an identifier are
+    on the side of the join that can be split, so one identifier over all genomes is no single task.
+    """
     request = requested_rsids(calls.sparkSession, rsids)
-    hits = calls_for_rsids(calls, annotations, rsids)
-    # the request list is the preserved side and small, so the hits are aligned to it
-    return request.join(hits, "rsid", "left").withColumn("found", F.col("pos").isNotNull())
+    hits = calls_for_rsids(calls, annotations, rsids).join(request, "rsid")
+    keys = ["rsid"]
+    if genomes is not None:
+        keys = ["rsid", "genome"]
+        request = request.withColumn("genome", F.explode(F.array(*[F.lit(genome) for genome in genomes])))
+    misses = request.join(hits.select(*keys).distinct(), keys, "left_anti")
+    return hits.withColumn("found", F.lit(True)).unionByName(misses.withColumn("found", F.lit(False)), allowMissingColumns=True)
 
 
 def missing_rsids(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str]) -> DataFrame:
@@ -120,17 +128,44 @@ def calls_with_significance(calls: DataFrame, annotations: DataFrame, term: str)
     return annotate_inner(calls, with_significance(annotations, term))
 
 
-def gene_region(genes: DataFrame, symbols: Sequence[str], padding: int = GENE_PADDING) -> Pinned:
-    """Padded intervals of the named genes as pinned rows.
+def named_genes(genes: DataFrame, symbols: Sequence[str]) -> DataFrame:
+    """Gene rows with one of the symbols, whatever the case; a long list is joined instead of listed in the filter."""
+    wanted = list(dict.fromkeys(symbol.upper() for symbol in symbols))
+    if len(wanted) <= LISTED_VALUES:
+        return genes.filter(F.upper("symbol").isin(*wanted))
+    listed = local_table(genes.sparkSession, [(symbol,) for symbol in wanted], "_symbol string")
+    return genes.join(listed, F.upper("symbol") == F.col("_symbol"), "left_semi")
+
+
+class GeneRegion(NamedTuple):
+    """Intervals, a filter on (chrom, pos) that lets everything inside them through, and whether it keeps everything else out."""
+
+    near: Column
+    table: DataFrame
+    exact: bool
 
-    The gene table has one row per symbol and the list is a parameter, so the lookup is small; it is
-    checked all the same.
+
+def gene_region(genes: DataFrame, symbols: Sequence[str], padding: int = GENE_PADDING) -> GeneRegion:
+    """Padded intervals of the named genes.
+
+    Few intervals are pinned: their filter prunes scans and their table is a broadcast of known size. Many take the
+    ordinary interval join, with a filter that lets everything through.
     """
-    wanted = genes.filter(F.upper("symbol").isin(*[symbol.upper() for symbol in symbols]))
-    pinned = pin_if_small(padded_genes(wanted, padding))
+    intervals = padded_genes(named_genes(genes, symbols), padding)
+    pinned = pin_if_small(intervals)
     if pinned is None:
-        raise ValueError("the gene table holds thousands of rows for these symbols; it must have one per symbol")
-    return pinned
+        return GeneRegion(F.lit(True), intervals, False)
+    exact = len(pinned.rows) <= LISTED_VALUES
+    return GeneRegion(interval_predicate(pinned.rows) if exact else F.lit(True), F.broadcast(pinned.table), exact)
+
+
+def inside_genes(df: DataFrame, region: GeneRegion) -> DataFrame:
+    """Rows at positions inside any of the region's intervals, each once."""
+    rows = df.filter(region.near)
+    if region.exact:
+        return rows
+    places = within_intervals(rows.select("chrom", "pos").distinct(), region.table).select("chrom", "pos").distinct()
+    return rows.join(places, ["chrom", "pos"], "left_semi")
 
 
 def pgx_genotypes(drugs: DataFrame, pgx_variants: DataFrame, calls: DataFrame, genomes: Sequence[str]) -> DataFrame:
@@ -211,20 +246,19 @@ def association_genotypes(associations: DataFrame, calls: DataFrame, annotations
 def pair_genomes(calls: DataFrame, first: str, second: str) -> DataFrame:
     """Two genomes side by side: one row per site that either of them has.
 
-    One grouped pass instead of a self-join; the scan is filtered to the two genomes.
+    One grouped pass instead of a self-join; the scan is filtered to the two genomes. Of a genome's repeated
+    records of a site the first by genotype and identifier counts, with its own display and zygosity.
     """
-    rows = with_genotype(calls.filter(F.col("genome").isin(first, second)))
+    chosen = calls.filter(F.col("genome").isin(first, second))
+    order = [F.col("gt").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    rows = with_genotype(top_per_group(chosen, ["genome", *SITE_KEY], order, 1))
 
-    def of(genome: str, part: str) -> Column:
-        return F.max(F.when(F.col("genome") == genome, F.col(f"genotype.{part}")))
+    def of(genome: str) -> Column:
+        return F.max(F.when(F.col("genome") == genome, F.struct(F.col("genotype.display").alias("display"), F.col("genotype.zygosity").alias("zygosity"))))
 
-    return rows.groupBy(*SITE_KEY).agg(
-        F.max("id").alias("id"),
-        of(first, "display").alias("display_1"),
-        of(first, "zygosity").alias("zygosity_1"),
-        of(second, "display").alias("display_2"),
-        of(second, "zygosity").alias("zygosity_2"),
-    )
+    pairs = rows.groupBy(*SITE_KEY).agg(F.max("id").alias("id"), of(first).alias("_1"), of(second).alias("_2"))
+    shown = [F.col(f"_{k}.{part}").alias(f"{part}_{k}") for k in (1, 2) for part in ("display", "zygosity")]
+    return pairs.select(*SITE_KEY, "id", *shown)
 
 
 def in_warning_genes(symbols: DataFrame, warning_genes: DataFrame) -> DataFrame:

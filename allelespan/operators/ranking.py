@@ -22,14 +22,18 @@ def best_per_rsid(associations: DataFrame, tie: list[str]) -> DataFrame:
 
 
 def top_associations(associations: DataFrame, tie: list[str], n: int = 30, deduplicate: bool = True) -> DataFrame:
-    """The ``n`` most significant associations (1 to 200), after keeping the best per identifier."""
+    """The ``n`` most significant associations (at least one), after keeping the best per identifier.
+
+    Ties beyond the ``tie`` columns are broken by all other columns, so the rows are always the same ones.
+    """
     rows = best_per_rsid(associations, tie) if deduplicate else associations
-    return rows.orderBy(*significance_order(tie)).limit(max(1, min(n, 200)))
+    others = [F.col(name).asc_nulls_last() for name in associations.columns if name not in ("p_value", *tie)]
+    return rows.orderBy(*significance_order(tie), *others).limit(max(1, n))
 
 
 def top_per_gene(df: DataFrame, n: int = 20, by: list[str] = ("genome", "symbol")) -> DataFrame:
     """First ``n`` variants of each gene in genome order."""
-    return top_per_group(df, list(by), genome_order(), n)
+    return top_per_group(df, list(by), record_order(df), n)
 
 
 def genome_order() -> list[Column]:
@@ -37,6 +41,11 @@ def genome_order() -> list[Column]:
     return [chrom_rank(F.col("chrom")), F.col("pos"), F.col("ref"), F.col("alt")]
 
 
+def record_order(df: DataFrame) -> list[Column]:
+    """Genome order, with genotype and identifier to tell repeated records apart."""
+    return [*genome_order(), *[F.col(name).asc_nulls_last() for name in ("gt", "rsid", "id") if name in df.columns]]
+
+
 def sort_by_genome(df: DataFrame, position: str = "start_pos", tie: list[str] = ()) -> DataFrame:
     """Global genome order: chromosomes 1..22, X, Y, MT, then position."""
     return df.orderBy(chrom_rank(F.col("chrom")), position, *tie)
@@ -65,7 +74,7 @@ def capped(df: DataFrame, n: int, by: list[str] = ("genome",)) -> DataFrame:
 
     Each task keeps ``n + 1`` rows per group, enough to tell.
     """
-    kept = top_per_group(df, list(by), genome_order(), n + 1, rank="_place")
+    kept = top_per_group(df, list(by), record_order(df), n + 1, rank="_place")
     more = F.max("_place").over(Window.partitionBy(*by)) > n
     return kept.withColumn("truncated", more).filter(F.col("_place") <= n).drop("_place")
 

@@ -32,14 +32,28 @@ def pin_if_small(df: DataFrame, max_rows: int = PIN_ROWS) -> Pinned | None:
     return None if len(rows) > max_rows else Pinned(rows, local_table(df.sparkSession, rows, df.schema))
 
 
-def site_predicate(rows: list[Row]) -> Column:
+def site_predicate(rows: list[Row], ranges: int = 64) -> Column:
     """Filter for the (chrom, pos) pairs of pinned rows.
 
-    Chromosome and position lists reach the Parquet scan, where they prune folders and row groups; the
-    exact pairs are left to the join.
+    The positions of each chromosome are merged into narrow ranges, at most ``ranges`` over all chromosomes (one per
+    chromosome at least), by closing the smallest gaps first. Ranges reach the Parquet scan, where they prune folders and row groups; a
+    list of positions would reach it only as its smallest and largest value. The exact pairs are left to the join.
     """
-    chroms, positions = {row.chrom for row in rows}, {row.pos for row in rows}
-    return F.col("chrom").isin(*chroms) & F.col("pos").isin(*positions) if rows else F.lit(False)
+    places = sorted({(row.chrom, row.pos) for row in rows if row.chrom is not None and row.pos is not None})
+    if not places:
+        return F.lit(False)
+    gaps = [(b[1] - a[1], k) for k, (a, b) in enumerate(zip(places, places[1:])) if a[0] == b[0]]
+    chroms = len({chrom for chrom, _ in places})
+    # the widest gaps stay open
+    opened = {k for _, k in sorted(gaps, reverse=True)[: max(0, ranges - chroms)]}
+    tests, start = [], 0
+    for k in range(len(places)):
+        if k + 1 == len(places) or places[k + 1][0] != places[k][0] or k in opened:
+            low, high = places[start][1], places[k][1]
+            here = F.col("pos") == low if low == high else F.col("pos").between(low, high)
+            tests.append((F.col("chrom") == places[k][0]) & here)
+            start = k + 1
+    return reduce(lambda left, right: left | right, tests)
 
 
 def interval_predicate(rows: list[Row]) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from allelespan.functions.associations import gene_symbols
 from allelespan.functions.genotypes import with_genotype, zygosity_label
 from allelespan.operators import aggregates, filters, joins, ranking
-from allelespan.operators.sizing import interval_predicate
 from allelespan.plans.cohort import Cohort
 
 
@@ -32,11 +31,11 @@ def query_pgx(
 
 def query_pgx_region(cohort: Cohort, gene: str, genome: str | None = None, max_results: int = 20) -> DataFrame:
     """First non-reference calls in a drug gene's region."""
-    near = interval_predicate(joins.gene_region(cohort.genes, [gene]).rows)
-    calls = filters.non_reference(with_genotype(cohort.calls_of(genome).filter(near)))
-    rows = joins.annotate(calls, cohort.annotations.filter(near))
+    region = joins.gene_region(cohort.genes, [gene])
+    calls = filters.non_reference(with_genotype(joins.inside_genes(cohort.calls_of(genome), region)))
+    rows = joins.annotate(calls, cohort.annotations.filter(region.near))
     capped = ranking.capped(rows, max_results, ["genome"])
-    return capped.select("genome", "rsid", "chrom", "pos", "ref", "alt", F.col("genotype.display").alias("display"), "effect")
+    return capped.select("genome", "rsid", "chrom", "pos", "ref", "alt", F.col("genotype.display").alias("display"), "effect", "truncated")
 
 
 def query_gwas(
@@ -50,11 +49,11 @@ def query_gwas(
     genome: str | None = None,
     tie: tuple[str, ...] = ("rsid", "trait", "study_accession"),
 ) -> DataFrame:
-    """Most significant associations, optionally with a genome's genotype and the warning mark."""
+    """Most significant associations, optionally with a genome's genotype; ``sensitive_associations`` gives the warning genes."""
     found = filters.associations_matching(cohort.gwas, trait, gene, rsid)
     rows = ranking.top_associations(found, list(tie), max_results, deduplicate)
     if check_calls:
-        # at most 200 rows are left, so only their identifiers are looked up
+        # only the identifiers of the rows that are left are looked up
         calls = cohort.calls_of(cohort.check(genome))
         shown = joins.association_genotypes(rows, calls, cohort.annotations)
         label = F.concat(F.col("genotype.display"), F.lit(" ("), zygosity_label(F.col("genotype.zygosity")), F.lit(")"))
@@ -80,11 +79,14 @@ def _weights(cohort: Cohort, trait: str | None, prs_id: str | None) -> DataFrame
 def calculate_prs(
     cohort: Cohort, trait: str | None = None, prs_id: str | None = None, genome: str | None = None, genome2: str | None = None
 ) -> DataFrame:
-    """Scores of one genome, a pair or the cohort; scores sharing a trait stay apart."""
+    """Scores of one genome, a pair or the cohort; scores sharing a trait stay apart.
+
+    Each named genome, and over the cohort each listed one (``Cohort.genomes``), has a row for every score.
+    """
     weights = _weights(cohort, trait, prs_id)
     contributions = joins.score_contributions(weights, cohort.calls_of(genome, genome2))
     names = cohort.named(genome, genome2)
-    return aggregates.polygenic_scores(contributions, weights, None if filters.ALL_GENOMES in names else names)
+    return aggregates.polygenic_scores(contributions, weights, cohort.genomes or None if filters.ALL_GENOMES in names else names)
 
 
 def prs_details(cohort: Cohort, trait: str | None = None, prs_id: str | None = None, genome: str | None = None, n: int = 15) -> DataFrame:

@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 from allelespan.functions.clinical import spaced
 from allelespan.functions.genotypes import with_genotype
 from allelespan.operators import filters, joins, ranking
-from allelespan.operators.sizing import interval_predicate
 from allelespan.plans.cohort import Cohort
 
-MAX_RSIDS = 50
-MAX_GENES = 20
-
 
 def _annotated(cohort: Cohort, calls: DataFrame) -> DataFrame:
     return joins.annotate(calls, cohort.annotations)
@@ -37,11 +33,10 @@ def query_variant(
 
 
 def query_variants(cohort: Cohort, rsids: Sequence[str], genome: str | None = None, genome2: str | None = None) -> DataFrame:
-    """Every requested identifier (at most 50), found or not, for one genome or a pair."""
-    unique = [rsid.strip() for rsid in rsids if rsid.strip()]
-    if not 0 < len(unique) <= MAX_RSIDS:
-        raise ValueError(f"give 1 to {MAX_RSIDS} identifiers")
-    batch = joins.rsid_batch(cohort.calls_of(genome, genome2), cohort.annotations, unique)
+    """Every requested identifier, found or not, for one genome or for each of a pair; any number of them."""
+    asked = _asked(rsids)
+    names = cohort.named(genome, genome2)
+    batch = joins.rsid_batch(cohort.calls_of(genome, genome2), cohort.annotations, asked, None if filters.ALL_GENOMES in names else names)
     return with_genotype(batch).select(
         "request_order",
         "rsid",
@@ -60,13 +55,19 @@ def query_variants(cohort: Cohort, rsids: Sequence[str], genome: str | None = No
     )
 
 
+def _asked(values: Sequence[str]) -> list[str]:
+    """The non-blank values of a request list; there must be one."""
+    kept = [text for text in map(str.strip, values) if text]
+    if not kept:
+        raise ValueError("the request list is empty")
+    return kept
+
+
 def _gene_rows(cohort: Cohort, calls: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """Annotated calls inside the padded genes; the intervals prune the scans of calls and annotations alike."""
-    regions = joins.gene_region(cohort.genes, symbols)
-    inside = interval_predicate(regions.rows)
-    rows = joins.annotate(calls.filter(inside), cohort.annotations.filter(inside))
-    named = regions.table.select("symbol", F.col("name").alias("gene_name"), "chrom", "start_pos", "end_pos")
-    return joins.within_intervals(rows, F.broadcast(named))
+    region = joins.gene_region(cohort.genes, symbols)
+    rows = joins.annotate(calls.filter(region.near), cohort.annotations.filter(region.near))
+    return joins.within_intervals(rows, region.table.select("symbol", F.col("name").alias("gene_name"), "chrom", "start_pos", "end_pos"))
 
 
 def _gene_columns(rows: DataFrame) -> DataFrame:
@@ -116,14 +117,15 @@ def query_genes(
     max_results_per_gene: int = 20,
     genome: str | None = None,
 ) -> DataFrame:
-    """Variants of up to 20 genes, without the smart filter; the first ``max_results_per_gene`` per genome and gene."""
-    symbols = [gene.strip().upper() for gene in genes if gene.strip()]
-    if not 0 < len(symbols) <= MAX_GENES:
-        raise ValueError(f"give 1 to {MAX_GENES} genes")
+    """Variants of any number of genes, without the smart filter; the first ``max_results_per_gene`` per genome and gene.
+
+    ``truncated`` tells whether a gene had more in that genome.
+    """
+    symbols = _asked(genes)
     filters.impact_levels(impact_filter)
     rows = _gene_rows(cohort, cohort.calls_of(genome), symbols)
     rows = filters.informative(filters.with_impact(rows, impact_filter))
-    return _gene_columns(ranking.top_per_gene(rows, max_results_per_gene))
+    return _gene_columns(ranking.capped(rows, max_results_per_gene, ["genome", "symbol"]))
 
 
 def query_clinvar(
@@ -137,15 +139,15 @@ def query_clinvar(
 ) -> DataFrame:
     """Calls with a clinical significance, optionally in one gene's region or for a condition.
 
-    At most 100 per genome; ``truncated`` tells whether a genome had more.
+    The first ``max_results`` per genome; ``truncated`` tells whether a genome had more.
     """
     calls, notes = cohort.calls_of(genome, genome2), filters.with_significance(cohort.annotations, significance)
     if gene:
-        inside = interval_predicate(joins.gene_region(cohort.genes, [gene]).rows)
-        calls, notes = calls.filter(inside), notes.filter(inside)
+        region = joins.gene_region(cohort.genes, [gene])
+        calls, notes = calls.filter(region.near), joins.inside_genes(notes, region)
     if condition:
         notes = filters.with_condition(notes, condition)
-    rows = ranking.capped(joins.annotate_inner(calls, notes), min(max_results, 100), ["genome"])
+    rows = ranking.capped(joins.annotate_inner(calls, notes), max_results, ["genome"])
     flat = joins.flatten_records(joins.variant_records(rows))
     return flat.withColumn("gene", F.coalesce("gene", F.lit("Unknown"))).select(
         "genome", "gene", "rsid", "chrom", "pos", "ref", "alt", "display", "significance", "condition", "truncated"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from allelespan.fixed_values import SEVERE_PHENOTYPES
 from allelespan.functions.associations import gwas_rsid, risk_allele
@@ -87,13 +89,29 @@ def gwas_associations(rows: DataFrame) -> DataFrame:
     )
 
 
-SCORING_COLUMNS = "chr_name string, chr_position string, rsID string, effect_allele string, other_allele string, effect_weight string, hm_rsID string, hm_chr string, hm_pos string"
+# The columns of published scoring files that are read.
+SCORING_COLUMNS = ("chr_name", "chr_position", "rsID", "effect_allele", "other_allele", "effect_weight", "hm_rsID", "hm_chr", "hm_pos")
 
 
 def read_scoring_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw rows of harmonised scoring files (all text), with the file each came from."""
-    rows = spark.read.csv(paths, sep="\t", comment="#", header=True, schema=SCORING_COLUMNS, enforceSchema=False)
-    return rows.withColumn("file", F.col("_metadata.file_path"))
+    """Raw rows of scoring files (all text), with the file each came from.
+
+    Columns are found by name, in any order; columns that a file lacks are NULL and others are ignored. The header line
+    of every file is read first, and files with the same header are one scan.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.filter(~F.col("value").startswith("#") & F.col("value").contains("effect_weight")).groupBy("file").agg(F.min("value").alias("head"))
+    alike = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()  # one name per file
+    found = []
+    for head, files in alike:
+        names = head.split("\t")
+        schema = StructType([StructField(name, StringType()) for name in names])
+        rows = spark.read.csv(files, sep="\t", comment="#", header=True, schema=schema, enforceSchema=False)
+        kept = [F.col(name) if name in names else F.lit(None).cast("string").alias(name) for name in SCORING_COLUMNS]
+        found.append(rows.select(*kept, F.col("_metadata.file_path").alias("file")))
+    if not found:
+        raise ValueError("no scoring file with a header line")
+    return reduce(DataFrame.unionByName, found)
 
 
 def score_weights(rows: DataFrame, scores: DataFrame) -> DataFrame:

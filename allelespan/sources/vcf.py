@@ -7,6 +7,8 @@ renamed to ``.gz`` first, as Spark picks the codec by extension.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,12 @@ def _column(cells: Column, index: int) -> Column:
     return F.get(cells, F.lit(index))
 
 
-def parse_vcf(lines: DataFrame, info_fields: list[str] = (), contig_names: DataFrame | None = None) -> DataFrame:
+def parse_vcf(lines: DataFrame, info_fields: list[str] = (), contig_names: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Records with typed key, identifier and the asked INFO fields.
 
     Headers and lines with fewer than eight columns are skipped, ``.`` as identifier is NULL.
     ``contig_names(contig, new_name)`` maps accessions to chromosome names. Sample columns are
-    not split at all.
+    not split at all. Columns of ``lines`` in ``keep`` stay with their records.
     """
     cells = F.split("value", "\t", 9)
     contig = _column(cells, 0)
@@ -50,6 +52,7 @@ def parse_vcf(lines: DataFrame, info_fields: list[str] = (), contig_names: DataF
         _column(cells, 4).alias("alt"),
         F.nullif(_column(cells, 2), F.lit(".")).alias("rsid"),
         *[info_field(_column(cells, 7), field).alias(field) for field in info_fields],
+        *keep,
     )
 
 
@@ -98,28 +101,28 @@ def parse_one_sample(lines: DataFrame, sample: str | None = None) -> DataFrame:
     return rows
 
 
-def effect_layer(lines: DataFrame) -> DataFrame:
+def effect_layer(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Functional effects and the file's own identifiers; every record gives a row."""
-    parsed = parse_vcf(lines, ["ANN"]).withColumn("_effect", effect_fields(F.col("ANN")))
+    parsed = parse_vcf(lines, ["ANN"], keep=keep).withColumn("_effect", effect_fields(F.col("ANN")))
     source = F.when(F.col("rsid").isNotNull(), F.lit("vcf")).alias("rsid_source")
-    return parsed.select(*SITE_KEY, "rsid", source, *[F.col(f"_effect.{name}").alias(name) for name in EFFECT_COLUMNS])
+    return parsed.select(*SITE_KEY, "rsid", source, *[F.col(f"_effect.{name}").alias(name) for name in EFFECT_COLUMNS], *keep)
 
 
-def clinical_layer(lines: DataFrame) -> DataFrame:
+def clinical_layer(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Clinical significance; records without one are dropped."""
-    parsed = parse_vcf(lines, ["CLNSIG", "CLNDN", "CLNREVSTAT"]).filter(F.coalesce("CLNSIG", F.lit("")) != "")
-    return parsed.select(*SITE_KEY, *[F.col(name.upper()).alias(name) for name in CLINICAL_COLUMNS])
+    parsed = parse_vcf(lines, ["CLNSIG", "CLNDN", "CLNREVSTAT"], keep=keep).filter(F.coalesce("CLNSIG", F.lit("")) != "")
+    return parsed.select(*SITE_KEY, *[F.col(name.upper()).alias(name) for name in CLINICAL_COLUMNS], *keep)
 
 
-def frequency_layer(lines: DataFrame) -> DataFrame:
+def frequency_layer(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Population frequencies; records with neither number are dropped. The older group field wins if filled."""
-    parsed = parse_vcf(lines, ["AF", "AF_popmax", "AF_grpmax"])
+    parsed = parse_vcf(lines, ["AF", "AF_popmax", "AF_grpmax"], keep=keep)
     grouped = F.coalesce(F.nullif("AF_popmax", F.lit("")), "AF_grpmax")
-    rows = parsed.select(*SITE_KEY, first_frequency(F.col("AF")).alias("af"), first_frequency(grouped).alias("af_grpmax"))
+    rows = parsed.select(*SITE_KEY, first_frequency(F.col("AF")).alias("af"), first_frequency(grouped).alias("af_grpmax"), *keep)
     return rows.filter(F.col("af").isNotNull() | F.col("af_grpmax").isNotNull())
 
 
-def identifier_layer(lines: DataFrame, contig_names: DataFrame | None = None) -> DataFrame:
+def identifier_layer(lines: DataFrame, contig_names: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Identifiers; records without one are dropped."""
-    parsed = parse_vcf(lines, contig_names=contig_names)
-    return parsed.filter(F.coalesce("rsid", F.lit("")) != "").select(*SITE_KEY, "rsid")
+    parsed = parse_vcf(lines, contig_names=contig_names, keep=keep)
+    return parsed.filter(F.coalesce("rsid", F.lit("")) != "").select(*SITE_KEY, "rsid", *keep)

@@ -1,8 +1,9 @@
 """A layer fed by VCF files that arrive in a landing folder.
 
-Each micro-batch is written as its own increment folder, so a batch that is run again after a failure
-overwrites what it wrote before. Readers take the newest increment per site; compaction is an
-ordinary batch job. The stream's checkpoint remembers which files were read.
+Every row carries where it came from: the file's time and name, and its place in the file. The newest row of a site by
+these wins, inside a batch and between batches alike, so the answer does not depend on how files fall into batches.
+Each micro-batch is written as its own increment folder, named by the stream's checkpoint and the batch, so a batch that is run
+again after a failure overwrites what it wrote before, and a stream whose checkpoint was lost overwrites nothing.
 """
 
 from __future__ import annotations
@@ -18,24 +19,43 @@ from allelespan.operators.sizing import top_per_group
 from allelespan.schemas import SITE_KEY
 from allelespan.sources.sinks import LayerStore
 
+#: Where a row came from, the most significant first.
+ARRIVAL = ("file_time", "file_name", "split_start", "line")
+
+
+def newest_first() -> list:
+    return [F.col(name).desc() for name in ARRIVAL]
+
 
 def start_layer_stream(
     spark: SparkSession,
     landing: str,
     store: str,
     checkpoint: str,
-    to_layer: Callable[[DataFrame], DataFrame],
+    to_layer: Callable[..., DataFrame],
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Read what is in the landing folder, in batches of files, and stop when all of it is stored."""
+    """Read what is in the landing folder, in batches of files, and stop when all of it is stored.
+
+    ``to_layer(lines, keep=...)`` parses lines and keeps the named columns, as the layer functions of ``sources.vcf`` do.
+    """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(landing)
+    placed = lines.select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("file_time"),
+        F.col("_metadata.file_path").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+    )
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        increment = one_row_per_site(to_layer(batch)).withColumn("stored_in", F.lit(batch_id))
-        increment.write.mode("overwrite").parquet(f"{store}/increment={batch_id:08d}")
+        # ids grow along a split, which is all that the order of one file's lines needs
+        numbered = batch.withColumn("line", F.monotonically_increasing_id())
+        rows = to_layer(numbered, keep=ARRIVAL)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        one_row_per_site(rows, newest_first()).write.mode("overwrite").parquet(f"{store}/increment={stream}-{batch_id:08d}")
 
     return (
-        lines.writeStream.foreachBatch(store_batch)
+        placed.writeStream.foreachBatch(store_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -50,4 +70,4 @@ def publish(spark: SparkSession, store: str, layers: LayerStore, layer: str) ->
 def current_layer(spark: SparkSession, store: str) -> DataFrame:
     """Newest row per site over all increments."""
     rows = spark.read.parquet(store).drop("increment")
-    return top_per_group(rows, SITE_KEY, [F.col("stored_in").desc()], 1).drop("stored_in")
+    return top_per_group(rows, SITE_KEY, newest_first(), 1).drop(*ARRIVAL)

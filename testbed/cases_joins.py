@@ -146,7 +146,7 @@ def join_gene_interval(t: Tables) -> DataFrame:
 )
 def join_gene_region(t: Tables) -> DataFrame:
     region = joins.gene_region(t.genes, ["brand6"])
-    return joins.within_intervals(t.annotations, F.broadcast(region.table)).select("symbol", "start_pos", "end_pos", "chrom", "pos", "rsid")
+    return joins.within_intervals(t.annotations.filter(region.near), region.table).select("symbol", "start_pos", "end_pos", "chrom", "pos", "rsid")
 
 
 _STATUS = """coalesce(c.display || ' (' || CASE c.zygosity WHEN 'homozygous_ref' THEN 'ref' WHEN 'heterozygous' THEN 'het' WHEN 'homozygous_alt' THEN 'hom alt' ELSE 'no call' END || ')',
@@ -176,10 +176,10 @@ def join_prs(t: Tables) -> DataFrame:
            SELECT c.genome, a.rsid, c.display, c.zygosity FROM d_annotations a
            JOIN o_calls c ON a.chrom = c.chrom AND a.pos = c.pos AND a.ref = c.ref AND a.alt = c.alt
            QUALIFY row_number() OVER (PARTITION BY c.genome, a.rsid ORDER BY c.chrom, c.pos, c.ref, c.alt, c.gt) = 1) f ON w.rsid = f.rsid
-       WHERE contains(lower(w.trait), 'urgent')""",
+    """,
 )
 def join_gwas_genotypes(t: Tables) -> DataFrame:
-    rows = joins.association_genotypes(t.view("d_gwas").filter("lower(trait) LIKE '%urgent%'"), t.calls, t.annotations)
+    rows = joins.association_genotypes(t.view("d_gwas"), t.calls, t.annotations)
     return rows.select("k", "rsid", "trait", "genome", "genotype.display", "genotype.zygosity")
 
 

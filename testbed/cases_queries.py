@@ -35,10 +35,10 @@ _IDS_SQL = ", ".join(f"({i}, '{rsid}')" for i, rsid in enumerate(_IDS, 1))
 
 @query(
     "query_variants",
-    f"""SELECT cast(r.o AS bigint) AS request_order, r.rsid, c.genome IS NOT NULL AS found, c.genome, c.chrom, c.pos, c.ref, c.alt, c.display,
+    f"""SELECT cast(r.o AS bigint) AS request_order, r.rsid, c.genome IS NOT NULL AS found, g.genome, c.chrom, c.pos, c.ref, c.alt, c.display,
                c.gene, c.effect, c.impact, replace(c.clnsig, '_', ' ') AS significance, c.af
-        FROM (VALUES {_IDS_SQL}) r(o, rsid)
-        LEFT JOIN (SELECT * FROM o_annotated WHERE genome IN ('g1', 'g2') AND ({_KEY}) IN (SELECT {_KEY} FROM d_annotations)) c ON c.rsid = r.rsid""",
+        FROM (VALUES {_IDS_SQL}) r(o, rsid) CROSS JOIN (VALUES ('g1'), ('g2')) g(genome)
+        LEFT JOIN (SELECT * FROM o_annotated WHERE ({_KEY}) IN (SELECT {_KEY} FROM d_annotations)) c ON c.rsid = r.rsid AND c.genome = g.genome""",
 )
 def query_variants(t: Tables) -> DataFrame:
     return variants.query_variants(t.cohort("g1", "g2"), _IDS, "g1", "g2")
@@ -72,7 +72,7 @@ def query_gene_all(t: Tables) -> DataFrame:
     return variants.query_gene(t.cohort(), "BRAND9", "HIGH,MODERATE,LOW,MODIFIER", 5, smart_filter=False, genome=ALL_GENOMES)
 
 
-@query("query_genes", _gene_rows("'BRAND1', 'BRAND3', 'BRAND5', 'BRAND8', 'BRAND10', 'BRAND24'", _KEEP, "genome, symbol", 20, "o_annotated", False))
+@query("query_genes", _gene_rows("'BRAND1', 'BRAND3', 'BRAND5', 'BRAND8', 'BRAND10', 'BRAND24'", _KEEP, "genome, symbol", 20, "o_annotated"))
 def query_genes(t: Tables) -> DataFrame:
     return variants.query_genes(t.cohort(), ["BRAND1", "brand3", "BRAND5", "BRAND8", "BRAND10", "brand24", "NOGENE"], genome=ALL_GENOMES)
 
@@ -108,7 +108,7 @@ def query_pgx(t: Tables) -> DataFrame:
 
 @query(
     "query_pgx_region",
-    f"""SELECT {_CALL}, rsid, display, effect FROM (SELECT v.*, row_number() OVER (PARTITION BY genome ORDER BY {GENOME_RANK.format('v.chrom')}, v.pos, v.ref, v.alt) AS n
+    f"""SELECT {_CALL}, rsid, display, effect, total > 20 AS truncated FROM (SELECT v.*, count(*) OVER (PARTITION BY genome) AS total, row_number() OVER (PARTITION BY genome ORDER BY {GENOME_RANK.format('v.chrom')}, v.pos, v.ref, v.alt) AS n
         FROM o_annotated v JOIN o_padded g ON v.chrom = g.chrom AND v.pos BETWEEN g.start_pos AND g.end_pos WHERE g.symbol = 'BRAND7' AND v.zygosity <> 'homozygous_ref') r WHERE n <= 20""",
 )
 def query_pgx_region(t: Tables) -> DataFrame:

@@ -138,7 +138,7 @@ def scan_pgs_scores(t: Tables) -> DataFrame:
     scores = t.prs.select("prs_id", "trait").distinct()
     keyed = t.sql(f"SELECT {named}, prs_id FROM d_prs")
     keyed.write.partitionBy("prs_id").csv(folder, sep="\t", header=True)
-    raw = tables.read_scoring_files(t.spark, [folder]).drop("prs_id")
+    raw = tables.read_scoring_files(t.spark, [folder])
     # published names are <score>_hmPOS_<build>.txt.gz; the writer's folders carry the score here
     named_files = raw.withColumn("file", F.concat(F.regexp_extract("file", "prs_id=([^/]+)/", 1), F.lit("_hmPOS_GRCh38.txt")))
     return tables.score_weights(named_files, scores.withColumn("file_stem", F.col("prs_id")))

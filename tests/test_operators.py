@@ -73,8 +73,8 @@ def test_query_gene(cohort):
 def test_query_genes_limits(cohort):
     got = variants.query_genes(cohort, ["slco1b1", "CFTR", "NOPE"], genome=ALL_GENOMES, max_results_per_gene=2)
     assert rows_of(got.groupBy("genome", "symbol").count()) == [("g1", "SLCO1B1", 2), ("g2", "CFTR", 1), ("g2", "SLCO1B1", 1)]
-    with pytest.raises(ValueError):
-        variants.query_genes(cohort, [f"G{i}" for i in range(21)], genome="g1")
+    many = variants.query_genes(cohort, ["slco1b1", *[f"G{i}" for i in range(500)]], genome="g1")
+    assert rows_of(many) == rows_of(variants.query_genes(cohort, ["SLCO1B1"], genome="g1"))
     with pytest.raises(ValueError):
         variants.query_genes(cohort, [" "], genome="g1")
 
@@ -100,8 +100,10 @@ def test_query_variant(cohort):
 def test_query_variants(cohort):
     got = variants.query_variants(cohort, ["rs4149056", "rs404", "rs4149056", "rs2306283"], "g1")
     assert rows_of(got.select("request_order", "rsid", "found", "display")) == [(1, "rs4149056", True, "T/C"), (2, "rs404", False, None), (3, "rs2306283", True, "G/G")]
+    many = variants.query_variants(cohort, ["rs4149056", *[f"rs{i}" for i in range(5000)]], "g1")
+    assert many.count() >= 5001 and rows_of(many.filter("found").select("rsid").distinct()) >= [("rs4149056",)]
     with pytest.raises(ValueError):
-        variants.query_variants(cohort, [f"rs{i}" for i in range(51)], "g1")
+        variants.query_variants(cohort, [" "], "g1")
 
 
 def test_query_clinvar(cohort):
@@ -125,7 +127,7 @@ def test_query_pgx(cohort):
 
 def test_scores_sharing_a_trait_stay_apart(cohort):
     got = traits.calculate_prs(cohort, trait="shared", genome=ALL_GENOMES).select("genome", "prs_id", "score", "found", "no_call", "total")
-    assert rows_of(got) == [("g1", "P1", 0.5, 1, 0, 1), ("g1", "P2", -0.5, 1, 0, 2), ("g2", "P1", 0.0, 1, 0, 1)]
+    assert rows_of(got) == [("g1", "P1", 0.5, 1, 0, 1), ("g1", "P2", -0.5, 1, 0, 2), ("g2", "P1", 0.0, 1, 0, 1), ("g2", "P2", 0.0, 0, 0, 2)]
     one = traits.calculate_prs(cohort, trait="shared", genome="g2").select("genome", "prs_id", "score", "found", "no_call", "total")
     assert rows_of(one) == [("g2", "P1", 0.0, 1, 0, 1), ("g2", "P2", 0.0, 0, 0, 2)]
     assert rows_of(traits.prs_details(cohort, prs_id="P2", genome="g1").select("rsid", "contribution")) == [("rs2306283", -0.5)]
@@ -252,3 +254,28 @@ def test_records_with_empty_groups(cohort):
     row = records.filter("pos = 21178960").first()
     assert row.annotation is None and row.clinvar is None and row.population_freq is None and row.genotype.display == "A/G"
     assert records.filter(F.col("rsid") == "rs5").count() == 1
+
+
+def test_pairs_and_repeated_records(spark):
+    """A genome without a call has a row of its own; one record per genome and site speaks for it."""
+    schema = "genome string, chrom string, pos long, id string, ref string, alt string, gt string"
+    calls = spark.createDataFrame([("g1", "1", 5, "rs5", "A", "G", "0/1"), ("g1", "1", 5, "rs5", "A", "G", "0/0"), ("g2", "1", 5, "rs5", "A", "G", "1/1"), ("g1", "1", 9, "rs9", "C", "T", "0/1")], schema)
+    pair = joins.pair_genomes(calls, "g1", "g2").filter("pos = 5").first()
+    assert (pair.display_1, pair.zygosity_1, pair.display_2, pair.zygosity_2) == ("A/A", "homozygous_ref", "G/G", "homozygous_alt")
+    notes = spark.createDataFrame([("1", 5, "A", "G", "rs5", "X"), ("1", 9, "C", "T", "rs9", "Y")], "chrom string, pos long, ref string, alt string, rsid string, gene string")
+    rows = joins.rsid_batch(calls, notes, ["rs9", "rs404"], ["g1", "g2"]).select("rsid", "genome", "found", "pos")
+    assert rows_of(rows) == [("rs404", "g1", False, None), ("rs404", "g2", False, None), ("rs9", "g1", True, 9), ("rs9", "g2", False, None)]
+
+
+def test_limits_are_the_callers(spark):
+    rows = spark.range(900).selectExpr("concat('rs', id) AS rsid", "id / 1000D AS p_value", "id AS k")
+    assert ranking.top_associations(rows, ["k"], 500).count() == 500
+
+
+def test_cohort_scores_list_every_genome(cohort):
+    listed = Cohort(cohort.calls, cohort.annotations, prs_weights=cohort.prs_weights, genomes=("g1", "g2", "silent"))
+    from allelespan.plans import traits
+
+    got = traits.calculate_prs(listed, trait=cohort.prs_weights.first().trait, genome=ALL_GENOMES)
+    assert {r.genome for r in got.collect()} == {"g1", "g2", "silent"}
+    assert got.filter("genome = 'silent' AND score = 0 AND found = 0").count() == got.select("prs_id").distinct().count()

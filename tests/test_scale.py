@@ -195,3 +195,26 @@ def test_no_python_workers_in_any_plan(spark):
     for name in names:
         plan = plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
         assert "Python" not in plan and "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_scattered_positions_prune_row_groups(spark, tmp_path):
+    """Fifty far-apart positions read a small share of the rows, not everything between the first and the last."""
+    rows = spark.range(400_000).select(F.lit("1").alias("chrom"), (F.col("id") * 10).alias("pos"))
+    rows.coalesce(1).write.option("parquet.block.size", 65_536).option("parquet.page.row.count.limit", 2_000).parquet(str(tmp_path / "sites"))
+    wanted = [spark.createDataFrame([("1", 80_000 * k + 10)], "chrom string, pos long").first() for k in range(50)]
+    found = spark.read.parquet(str(tmp_path / "sites")).filter(sizing.site_predicate(wanted))
+    assert found.count() == 50
+    scanned = spark.read.parquet(str(tmp_path / "sites")).filter(sizing.site_predicate(wanted))
+    scanned.collect()
+    nodes = [scanned._jdf.queryExecution().executedPlan()]
+    output = []
+    while nodes:
+        node = nodes.pop()
+        if "Scan" in node.nodeName() and "numOutputRows" in str(node.metrics()):
+            output.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+    assert output and max(output) < 200_000
+    merged = str(sizing.site_predicate(wanted, ranges=5))
+    assert merged.count("chrom") == 5

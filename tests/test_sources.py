@@ -134,3 +134,15 @@ def test_fingerprints(spark, tmp_path):
     (tmp_path / "a.vcf").write_text("x")
     (tmp_path / "b.vcf").write_text("xyz")
     assert sorted(row.size for row in fingerprints(spark, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_scoring_files_are_read_by_column_name(spark, tmp_path):
+    """Published files differ in their columns and in their order."""
+    (tmp_path / "A_hmPOS_GRCh38.txt").write_text("#x\nrsID\tchr_name\tchr_position\teffect_allele\tother_allele\teffect_weight\tallelefrequency_effect\thm_source\thm_rsID\thm_chr\thm_pos\thm_inferOtherAllele\nrs1\t1\t5\tA\tG\t0.5\t0.1\tliftover\trs9\t2\t50\t\n")
+    (tmp_path / "B_hmPOS_GRCh38.txt").write_text("#y\neffect_weight\teffect_allele\tchr_position\tchr_name\trsID\n0.25\tT\t7\t3\trs2\n")
+    (tmp_path / "C_hmPOS_GRCh38.txt").write_text("#z\neffect_weight\teffect_allele\tchr_position\tchr_name\trsID\n1.5\tC\t8\tX\trs3\n")
+    scores = spark.createDataFrame([(s, s, "t") for s in "ABC"], "file_stem string, prs_id string, trait string")
+    got = tables.score_weights(tables.read_scoring_files(spark, str(tmp_path)), scores)
+    assert rows_of(got) == [("A", "t", "rs9", "2", 50, "A", 0.5), ("B", "t", "rs2", "3", 7, "T", 0.25), ("C", "t", "rs3", "X", 8, "C", 1.5)]
+    with pytest.raises(ValueError):
+        tables.read_scoring_files(spark, [str(tmp_path / "none")]) if (tmp_path / "none").write_text("#only comments\n") else None

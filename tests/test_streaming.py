@@ -1,5 +1,8 @@
 """Incremental layer ingest."""
 
+import os
+import shutil
+
 from allelespan.sources import vcf
 from allelespan.sources.sinks import LayerStore
 from allelespan.streaming import layer_ingest
@@ -47,3 +50,21 @@ def test_copies_within_a_batch_become_one_row(spark, tmp_path):
     landing.mkdir()
     (landing / "a.vcf").write_text(line(1, "Benign") * 3 + line(1, "Affects"))
     assert rows_of(ingest(spark, tmp_path)) == [(1, "G", "Affects")]
+
+
+def test_batches_do_not_change_the_answer(spark, tmp_path):
+    """Later files win whether files come one by one or together; a lost checkpoint changes nothing."""
+    results = []
+    for per_batch in (1, 2, 1000):
+        base = tmp_path / str(per_batch)
+        landing = base / "landing"
+        landing.mkdir(parents=True)
+        for number, sig in enumerate(["Benign", "Pathogenic", "Affects", "Likely_benign", "drug_response"]):
+            file = landing / f"{'edcba'[number]}.vcf"  # names in the opposite order of time
+            file.write_text(line(1, sig) + line(10 + number, sig) + line(3, "first") + line(3, f"last_{number}"))
+            os.utime(file, (1_700_000_000 + number, 1_700_000_000 + number))
+        results.append(rows_of(ingest(spark, base, per_batch)))
+        shutil.move(base / "checkpoint", base / "lost")
+        assert rows_of(ingest(spark, base, 3)) == results[-1]
+    assert results[0] == results[1] == results[2]
+    assert results[0][0] == (1, "G", "drug_response") and (3, "G", "last_4") in results[0] and len(results[0]) == 7
