@@ -13,8 +13,8 @@ Two sets of a and b shingles are similar when they share at least c(a, b) = ceil
 
 Equal sets are one class. Lists are scanned in rounds that never pair up a group: in each round every list has one
 leader, its members are verified against it by exact overlap, and the links found become components. What has become
-one component needs no more comparing. After the rounds, members of different components that still share a list are compared inside the
-list's task, which returns links only.
+one component needs no more comparing. After the rounds, members of different components that still share a list are all compared: inside the
+list's task, which returns links only, where a list is long, and as distinct pairs where lists are short or sets large.
 """
 
 from __future__ import annotations
@@ -250,15 +250,32 @@ def _large_links(sets: DataFrame, known: DataFrame, rounds: int) -> DataFrame:
     return links
 
 
-def _remaining_links(members: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+def _remaining_links(members: DataFrame, sets: DataFrame, few: int = 8, carried: int = 512, block: int = 512) -> DataFrame:
     """Links (a, b) between different components inside the lists ``members``; every pair that may be similar is compared.
 
-    A list's members are compared in its task, with their whole sets, and only links leave it. Lists with more than
-    ``block`` members are compared block against block in tasks of their own. A pair that shares several lists is compared in the first one,
-    and only if what can still be shared from there on suffices.
+    There are two ways, by what they would move. Lists that hold more than ``few`` sets of at most ``carried`` shingles compare
+    these inside the list's task, to which the sets are carried, and only links leave it. All other pairs, few to a list
+    or of large sets, become rows, are made distinct over all lists, and their sets are joined to them.
+    A similar pair passes the test of what can still be shared at the first list that it shares, and is found there in one way or the other.
     """
-    sizes = members.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(written(sizes), "shingle").withColumn("block", F.pmod(F.xxhash64("set", "shingle"), F.col("blocks")).cast("int"))
+    can = F.col("n") <= carried
+    sizes = members.groupBy("shingle").agg(F.count_if(can).alias("carry"))
+    sizes = written(sizes.select("shingle", (F.col("carry") > few).alias("many"), F.greatest(F.lit(1), F.ceil(F.col("carry") / block)).cast("int").alias("blocks")))
+    members = written(members.join(sizes, "shingle").withColumn("inside", F.col("many") & can))
+    other = members.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "place", "component", "inside")])
+    reach = 9 * F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= 4 * (F.col("n") + F.col("n_b"))
+    met = members.join(other, "shingle").filter((F.col("component") < F.col("component_b")) & ~(F.col("inside") & F.col("inside_b")) & _alike_sizes(F.col("n"), F.col("n_b")) & reach)
+    pairs = written(met.select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct())
+    return _verified(pairs, sets).union(_links_inside(members.filter("inside"), sets))
+
+
+def _links_inside(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of each list's members, found in the list's task.
+
+    Lists of several ``blocks`` are compared block against block in tasks of their own. A pair that shares several lists is compared
+    in the first one only.
+    """
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("set", "shingle"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("shingle", "set", "n", "place", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     whole = dealt.join(sets.select("set", "shingles", "prefix"), "set").repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
