@@ -122,10 +122,10 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int
     seen = np.bincount(place)
     toxic = np.bincount(place, weights=weight)
     rate = positives / n
-    deviation = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
+    deviation = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 0.25)
     deviation[seen < 2] = 0
     chosen = np.argsort(-np.abs(deviation), kind="stable")[:max_features]
-    features = np.sort(unique[chosen[np.abs(deviation[chosen]) > 3]])
+    features = np.sort(unique[chosen[np.abs(deviation[chosen]) > 2]])
     groups = np.concatenate([np.zeros(0, dtype=np.uint64), *(x for _, x in swapped)])
     features = np.unique(np.concatenate([features, np.intersect1d(unique, groups)])) if swapped else features
     row, column = _matrix(rows, features)
