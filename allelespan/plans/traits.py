@@ -21,10 +21,12 @@ def _drug_rows(cohort: Cohort, drug: str | None, gene: str | None) -> DataFrame:
 def query_pgx(
     cohort: Cohort, drug: str | None = None, gene: str | None = None, genome: str | None = None, genome2: str | None = None
 ) -> DataFrame:
-    """Star-allele positions of a drug's (or gene's) entries with the genotypes of one genome or a pair."""
+    """Star-allele positions of a drug's (or gene's) entries with the genotypes of one genome, a pair, or every listed genome."""
     genomes = cohort.named(genome, genome2)
     if filters.ALL_GENOMES in genomes:
-        raise ValueError("name one genome or two")
+        if not cohort.genomes:
+            raise ValueError("a report over all genomes needs the cohort's list of genomes")
+        genomes = list(cohort.genomes)
     rows = joins.pgx_genotypes(_drug_rows(cohort, drug, gene), cohort.pgx_variants, cohort.calls, genomes)
     return rows.select("genome", "drug_name", "gene", "cpic_level", "rsid", "star_allele", "chrom", "pos", "function_impact", "status")
 

@@ -37,7 +37,7 @@ def query_variants(cohort: Cohort, rsids: Sequence[str], genome: str | None = No
     asked = _asked(rsids)
     names = cohort.named(genome, genome2)
     batch = joins.rsid_batch(cohort.calls_of(genome, genome2), cohort.annotations, asked, None if filters.ALL_GENOMES in names else names)
-    return with_genotype(batch).select(
+    shown = with_genotype(batch).select(
         "request_order",
         "rsid",
         "found",
@@ -53,6 +53,7 @@ def query_variants(cohort: Cohort, rsids: Sequence[str], genome: str | None = No
         spaced(F.when(F.col("clnsig") != ".", F.col("clnsig"))).alias("significance"),
         "af",
     )
+    return _marked(cohort, shown, "gene")
 
 
 def _asked(values: Sequence[str]) -> list[str]:
@@ -70,8 +71,13 @@ def _gene_rows(cohort: Cohort, calls: DataFrame, symbols: Sequence[str]) -> Data
     return joins.within_intervals(rows, region.table.select("symbol", F.col("name").alias("gene_name"), "chrom", "start_pos", "end_pos"))
 
 
-def _gene_columns(rows: DataFrame) -> DataFrame:
-    return with_genotype(rows).select(
+def _marked(cohort: Cohort, rows: DataFrame, gene_column: str) -> DataFrame:
+    """Adds ``sensitive`` where the cohort has a list of warning genes."""
+    return rows if cohort.warning_genes is None else joins.mark_warning(rows, gene_column, cohort.warning_genes)
+
+
+def _gene_columns(cohort: Cohort, rows: DataFrame) -> DataFrame:
+    shown = with_genotype(rows).select(
         "genome",
         "symbol",
         "chrom",
@@ -86,6 +92,7 @@ def _gene_columns(rows: DataFrame) -> DataFrame:
         "af",
         *[name for name in ("truncated",) if name in rows.columns],
     )
+    return _marked(cohort, shown, "symbol")
 
 
 def query_gene(
@@ -107,7 +114,7 @@ def query_gene(
     rows = filters.informative(filters.with_impact(rows, impact_filter))
     if smart_filter:
         rows = filters.smart(rows, cohort.pgx_variants, gene)
-    return _gene_columns(ranking.capped(rows, max_results, ["genome"]))
+    return _gene_columns(cohort, ranking.capped(rows, max_results, ["genome"]))
 
 
 def query_genes(
@@ -125,7 +132,7 @@ def query_genes(
     filters.impact_levels(impact_filter)
     rows = _gene_rows(cohort, cohort.calls_of(genome), symbols)
     rows = filters.informative(filters.with_impact(rows, impact_filter))
-    return _gene_columns(ranking.capped(rows, max_results_per_gene, ["genome", "symbol"]))
+    return _gene_columns(cohort, ranking.capped(rows, max_results_per_gene, ["genome", "symbol"]))
 
 
 def query_clinvar(
@@ -149,6 +156,7 @@ def query_clinvar(
         notes = filters.with_condition(notes, condition)
     rows = ranking.capped(joins.annotate_inner(calls, notes), max_results, ["genome"])
     flat = joins.flatten_records(joins.variant_records(rows))
-    return flat.withColumn("gene", F.coalesce("gene", F.lit("Unknown"))).select(
+    shown = flat.withColumn("gene", F.coalesce("gene", F.lit("Unknown"))).select(
         "genome", "gene", "rsid", "chrom", "pos", "ref", "alt", "display", "significance", "condition", "truncated"
     )
+    return _marked(cohort, shown, "gene")

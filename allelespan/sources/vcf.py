@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import normalize_chrom
 from allelespan.functions.vcf_fields import effect_fields, first_frequency, info_field
+from allelespan.operators.sizing import pin_if_small
 from allelespan.schemas import CLINICAL_COLUMNS, EFFECT_COLUMNS, SITE_KEY
 
 
@@ -64,6 +65,12 @@ def sample_names(lines: DataFrame) -> DataFrame:
     return header.select("file", F.posexplode(names).alias("sample_index", "sample"))
 
 
+def _small_names(names: DataFrame) -> DataFrame:
+    """Names counted to be few are a broadcast of known size, so the records are not shuffled to find them."""
+    pinned = pin_if_small(names)
+    return names if pinned is None else F.broadcast(pinned.table)
+
+
 def _typed_call(cells: Column, sample_cell: Column) -> list[Column]:
     return [
         normalize_chrom(_column(cells, 0)).alias("chrom"),
@@ -86,14 +93,14 @@ def parse_calls(lines: DataFrame) -> DataFrame:
     exploded = records.select(
         "file", "cells", F.posexplode(F.slice("cells", F.lit(10), F.size("cells") - 9)).alias("sample_index", "sample_cell")
     ).select("file", "sample_index", *_typed_call(F.col("cells"), F.col("sample_cell")))
-    named = exploded.join(sample_names(lines), ["file", "sample_index"])
+    named = exploded.join(_small_names(sample_names(lines)), ["file", "sample_index"])
     return named.select(F.col("sample").alias("genome"), "chrom", "pos", "id", "ref", "alt", "gt")
 
 
 def parse_one_sample(lines: DataFrame, sample: str | None = None) -> DataFrame:
     """One sample per file: the named one, or the first. A file without that sample is an error."""
     cells = F.split("value", "\t")
-    picked = sample_names(lines).filter(F.col("sample_index") == 0 if sample is None else F.col("sample") == sample)
+    picked = _small_names(sample_names(lines).filter(F.col("sample_index") == 0 if sample is None else F.col("sample") == sample))
     records = _record_lines(lines).filter(F.size(cells) >= 10)
     joined = records.join(picked, "file", "left")
     place = F.coalesce("sample_index", F.raise_error(F.lit(f"sample {sample!r} is not in the file")).cast("int"))

@@ -36,7 +36,7 @@ _IDS_SQL = ", ".join(f"({i}, '{rsid}')" for i, rsid in enumerate(_IDS, 1))
 @query(
     "query_variants",
     f"""SELECT cast(r.o AS bigint) AS request_order, r.rsid, c.genome IS NOT NULL AS found, g.genome, c.chrom, c.pos, c.ref, c.alt, c.display,
-               c.gene, c.effect, c.impact, replace(c.clnsig, '_', ' ') AS significance, c.af
+               c.gene, c.effect, c.impact, replace(c.clnsig, '_', ' ') AS significance, c.af, coalesce(c.gene IN (SELECT symbol FROM d_warning_genes), false) AS sensitive
         FROM (VALUES {_IDS_SQL}) r(o, rsid) CROSS JOIN (VALUES ('g1'), ('g2')) g(genome)
         LEFT JOIN (SELECT * FROM o_annotated WHERE ({_KEY}) IN (SELECT {_KEY} FROM d_annotations)) c ON c.rsid = r.rsid AND c.genome = g.genome""",
 )
@@ -49,7 +49,7 @@ _KEEP = "(impact IS NULL OR impact IN ('HIGH', 'MODERATE')) AND (impact IS NOT N
 
 
 def _gene_rows(symbols: str, keep: str, per: str, n: int, source: str, truncated: bool = True) -> str:
-    return f"""SELECT {_GENE_COLUMNS}{f', total > {n} AS truncated' if truncated else ''} FROM (
+    return f"""SELECT {_GENE_COLUMNS}, symbol IN (SELECT symbol FROM d_warning_genes) AS sensitive{f', total > {n} AS truncated' if truncated else ''} FROM (
         SELECT v.*, g.symbol, count(*) OVER (PARTITION BY {per}) AS total, row_number() OVER (PARTITION BY {per} ORDER BY {GENOME_RANK.format('v.chrom')}, v.pos, v.ref, v.alt) AS n
         FROM {source} v JOIN o_padded g ON v.chrom = g.chrom AND v.pos BETWEEN g.start_pos AND g.end_pos
         WHERE g.symbol IN ({symbols}) AND {keep}) r WHERE n <= {n}"""
@@ -79,7 +79,7 @@ def query_genes(t: Tables) -> DataFrame:
 
 @query(
     "query_clinvar",
-    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition, total > 50 AS truncated FROM (
+    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition, total > 50 AS truncated, coalesce(gene IN (SELECT symbol FROM d_warning_genes), false) AS sensitive FROM (
             SELECT *, count(*) OVER (PARTITION BY genome) AS total, row_number() OVER (PARTITION BY genome ORDER BY {_ORDER}) AS n FROM o_annotated
             WHERE contains(lower(clnsig), 'pathogenic') AND clndn <> '.' AND contains(clndn, 'red')) c WHERE n <= 50""",
 )
@@ -89,7 +89,7 @@ def query_clinvar(t: Tables) -> DataFrame:
 
 @query(
     "query_clinvar_gene",
-    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition, count(*) OVER (PARTITION BY genome) > 50 AS truncated FROM o_annotated
+    f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition, count(*) OVER (PARTITION BY genome) > 50 AS truncated, coalesce(gene IN (SELECT symbol FROM d_warning_genes), false) AS sensitive FROM o_annotated
         WHERE contains(lower(clnsig), 'benign') AND chrom = '4' AND pos BETWEEN (SELECT start_pos FROM o_padded WHERE symbol = 'BRAND4') AND (SELECT end_pos FROM o_padded WHERE symbol = 'BRAND4')""",
 )
 def query_clinvar_gene(t: Tables) -> DataFrame:
