@@ -315,6 +315,6 @@ def set_concat_chromosomes(t: Tables) -> DataFrame:
 
 @query("set_union_scores", "SELECT prs_id, trait, rsid, weight FROM d_prs")
 def set_union_scores(t: Tables) -> DataFrame:
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    parts = [t.prs.filter(F.col("prs_id") == f"PGS{name}") for name in names]
+    names = sorted(row.prs_id for row in t.prs.select("prs_id").distinct().collect())  # one row a score
+    parts = [t.prs.filter(F.col("prs_id") == name) for name in names]
     return reference_builds.union_all(parts).select("prs_id", "trait", "rsid", "weight")

@@ -86,7 +86,7 @@ def join_clinvar_genotypes(t: Tables) -> DataFrame:
 
 # A newer clinical release, laid out from lineitem: sites that occur there get a new significance.
 _RELEASE = """SELECT chrom, pos, ref, alt, CASE WHEN n % 2 = 0 THEN 'Likely_benign' ELSE clnsig END AS clnsig, cast(n AS string) AS clndn, cast(NULL AS string) AS clnrevstat
-              FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY l_partkey) r JOIN d_sites ON r.k = d_sites.k"""
+              FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) r JOIN d_sites ON r.k = d_sites.k"""
 _OLD = ", ".join(f"a.{name}" for name in _NOTES if name not in CLINICAL_COLUMNS)
 
 
@@ -108,7 +108,7 @@ def join_layer_update(t: Tables) -> DataFrame:
 _NEW_EFFECTS = """SELECT chrom, pos, ref, CASE WHEN n % 3 = 0 THEN 'TTT' ELSE alt END AS alt, CASE WHEN n % 2 = 0 THEN 'rs' || cast(900000 + k AS string) END AS rsid,
               CASE WHEN n % 2 = 0 THEN 'vcf' END AS rsid_source, 'NEW' || cast(n AS string) AS gene, 'new_variant' AS effect, CASE WHEN n % 4 <> 0 THEN 'HIGH' END AS impact,
               'T' AS transcript, 'c' AS hgvs_c, cast(NULL AS string) AS hgvs_p
-              FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 GROUP BY l_partkey) r JOIN d_sites USING (k)"""
+              FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_partkey) r JOIN d_sites USING (k)"""
 _EFFECTS = ["gene", "effect", "impact", "transcript", "hgvs_c", "hgvs_p"]
 _REST = ", ".join(f"a.{name}" for name in ["clnsig", "clndn", "clnrevstat", "af", "af_grpmax"])
 

@@ -61,7 +61,6 @@ def layer_refresh(t: Tables) -> DataFrame:
     store.write("snpeff", t.annotations.select(*key, "rsid", "rsid_source", "gene", "effect", "impact", "transcript", "hgvs_c", "hgvs_p"))
     store.write("clinvar", t.annotations.filter("clnsig IS NOT NULL").select(*key, *CLINICAL_COLUMNS))
     store.write("gnomad", t.annotations.filter("af IS NOT NULL").select(*key, "af", "af_grpmax"))
-    store.clear("clinvar")
     store.write("clinvar", release(t))
     rows = layers.build_annotations(store.read("snpeff"), store.read("clinvar"), store.read("gnomad"))
     return rows.select(*key, "rsid", "gene", *CLINICAL_COLUMNS, "af")
