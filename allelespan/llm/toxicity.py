@@ -155,7 +155,7 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, max_features: int = 4096, swap_penalty: float = 1.0) -> Classifier:
+def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 5_000, max_features: int = 4096, swap_penalty: float = 1.0) -> Classifier:
     """Fit on at most ``max_rows`` labelled texts outside the held-out fifth.
 
     Null labels and null ids are left out. An id with several labels counts as toxic if one of them is. Without labelled
