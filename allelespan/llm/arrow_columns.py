@@ -61,8 +61,8 @@ def append_columns(df: DataFrame, inputs: Sequence[str], added: str, compute: Ca
     return df.mapInArrow(run, StructType([*[StructField(f.name, f.dataType, True) for f in kept], *fields]))
 
 
-#: Widths of the integers that blocks can hold, by code.
-_WIDTHS = {"u1": 1, "u2": 2, "u4": 4, "u5": 5, "u6": 6, "u8": 8}
+#: Widths of the numbers that blocks can hold, by code.
+_WIDTHS = {"u1": 1, "u2": 2, "u4": 4, "u5": 5, "u6": 6, "u8": 8, "f8": 8}
 
 
 def pack(kinds: Sequence[str], arrays: Sequence[np.ndarray]) -> bytes:

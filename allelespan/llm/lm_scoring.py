@@ -3,7 +3,9 @@
 Every word is predicted from the ``window`` words on both sides of it, itself masked, and a document's score is the sum of the
 log-probabilities of its words (its pseudo-log-likelihood). The network is trained with numpy on every word of the corpus:
 
-* the vocabulary is the ``words`` most frequent words, counted over all documents; any other word is one of ``others`` hash classes;
+* the network predicts the ``words`` most frequent words, counted over all documents, and for any other word its hash class, one of ``others``;
+* within its class a rare word has a probability of its own, from its count over all documents (``RareWords``), so that every word of
+  the corpus is scored as itself. A word that was never counted shares the class's part for new words evenly with all other 64-bit hashes;
 * the neighbours' embeddings, each weighted by its place, are added and go through tanh; the output is a two-level softmax, first over
   groups of words, then over the words of the group, so that a probability is normalised without visiting all words;
 * in each pass every task takes gradient steps over its own whole partition from the same start, and the parameters are then
@@ -21,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import append_columns, let_workers_import, partitions
+from allelespan.llm.arrow_columns import append_columns, bucket_of, by_bucket, free_name, joined, let_workers_import, pack, partitions, unpack
+from allelespan.llm.linking import written
 from allelespan.llm.word_hashes import SPACED_FOLDED, Words, cut_words
 
 _STEP_WORDS = 8192
+#: Entries that a task gathers before it sends them off in blocks.
+_HELD = 1 << 20
+_COUNTED, _SEEN, _SUMMED = ("u8", "u8"), ("u8", "u8", "u1"), ("u8", "f8", "u8")
 
 
 @dataclass
@@ -126,10 +132,18 @@ class Vocabulary:
     ids: np.ndarray
     shape: Shape
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, known) of each hash."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(at), dtype=bool)
+
+    def other(self, hashes: np.ndarray) -> np.ndarray:
+        """The class of each hash, were it not known."""
+        return (hashes % np.uint64(self.shape.others)).astype(np.int64)
+
     def read(self, words: Words) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, words.hashes), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == words.hashes if len(self.hashes) else np.zeros(len(at), dtype=bool)
-        other = self.shape.words + (words.hashes % np.uint64(self.shape.others)).astype(np.int64)
+        at, known = self.find(words.hashes)
+        other = self.shape.words + self.other(words.hashes)
         ids = np.where(known, self.ids[at] if len(self.ids) else 0, other)
         # neighbours in rank lie in different groups, so that groups are of like weight
         return ids % self.shape.groups * self.shape.members + ids // self.shape.groups
@@ -145,8 +159,8 @@ class Vocabulary:
         return np.stack(columns, axis=1)
 
 
-def count_vocabulary(documents: DataFrame, shape: Shape, text: str = "text") -> Vocabulary:
-    """The most frequent words over all documents; ties go to the smaller hash."""
+def count_words(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each word, given by its hash, stands in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,19 +168,142 @@ def count_vocabulary(documents: DataFrame, shape: Shape, text: str = "text") ->
                 own, n = np.unique(words.hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    counts = documents.select(F.col(text).cast("string")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return documents.select(F.col(text).cast("string")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def count_vocabulary(documents: DataFrame, shape: Shape, text: str = "text", counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words over all documents; ties go to the smaller hash."""
+    counts = count_words(documents, text) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(shape.words).collect()
     hashes = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Vocabulary(hashes[order], order.astype(np.int64), shape)
 
 
-def train(documents: DataFrame, shape: Shape | None = None, *, text: str = "text", passes: int = 1, rate: float = 2.0) -> tuple[Vocabulary, Network]:
-    """Train on every word of ``documents``; without words the network keeps its first parameters."""
+def _dealt(kinds: tuple[str, ...], arrays: list[np.ndarray], buckets: np.ndarray, count: int, kind: int) -> pa.RecordBatch:
+    """The arrays' entries as one block for each bucket."""
+    order, bounds = by_bucket(buckets, count)
+    filled = np.flatnonzero(np.diff(bounds))
+    blocks = [pack(kinds, [a[order[bounds[b] : bounds[b + 1]]] for a in arrays]) for b in filled]
+    return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([kind] * len(filled), pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "kind", "block"])
+
+
+_BLOCKS = "bucket int, kind int, block binary"
+
+
+class RareWords:
+    """log P(word | class) of the words outside the vocabulary: n / (N + T) for a word counted n times in a class of N words, T of them distinct.
+
+    The T / (N + T) that is left goes to new words, evenly over the hashes of the class. Counts stay in a table and are never gathered:
+    they meet the words of the documents in buckets of hashes, and only the N and T of each class reach the driver.
+    """
+
+    def __init__(self, counts: DataFrame, vocabulary: Vocabulary):
+        self.counts, self.vocabulary = counts, vocabulary
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((2, vocabulary.shape.others), dtype=np.int64)
+            for batch in batches:
+                words = batch.column("word").to_numpy().view(np.uint64)
+                rare = ~vocabulary.find(words)[1]
+                np.add.at(sums[0], vocabulary.other(words[rare]), batch.column("n").to_numpy()[rare])
+                sums[1] += np.bincount(vocabulary.other(words[rare]), minlength=vocabulary.shape.others)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums[0])), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], names=["other", "n", "distinct"])
+
+        totals = counts.mapInArrow(add, "other int, n bigint, distinct bigint").groupBy("other").agg(F.sum("n"), F.sum("distinct")).collect()
+        self.words, self.distinct = np.zeros(vocabulary.shape.others), np.zeros(vocabulary.shape.others)
+        for other, n, distinct in totals:
+            self.words[other], self.distinct[other] = n, distinct
+
+    def logs(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each class, what is added to log n of a counted word, and the log-probability of a new one."""
+        every = np.maximum(self.words + self.distinct, 1)
+        new = np.where(self.words > 0, self.distinct / every, 1)
+        return -np.log(every), np.log(new) - np.log(2.0**64 / self.vocabulary.shape.others)
+
+    def sums(self, documents: DataFrame, key: str, text: str, into: str) -> DataFrame:
+        """(key, into): the sum of log P(word | class) over the rare words of each text that has some; equal texts must have equal keys."""
+        vocabulary, (counted, new), buckets = self.vocabulary, self.logs(), partitions(documents)
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words, n = batch.column("word").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+                rare = ~vocabulary.find(words)[1]
+                yield _dealt(_COUNTED, [words[rare], n[rare].astype(np.uint64)], bucket_of(words[rare], buckets), buckets, 0)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                keys = batch.column(0).to_numpy().view(np.uint64)
+                for words in cut_words(batch.column(1), SPACED_FOLDED):
+                    rare = np.flatnonzero(~vocabulary.find(words.hashes)[1])
+                    owner = np.repeat(np.arange(words.texts), np.diff(words.first))[rare]
+                    # one entry of each text tells that there is a text, so that copies can be counted
+                    first = np.diff(owner, prepend=-1) > 0
+                    held.append((words.hashes[rare], keys[words.row + owner], first.astype(np.uint8)))
+                    n += len(rare)
+                    if n >= _HELD:
+                        parts = [np.concatenate(x) for x in zip(*held)]
+                        yield _dealt(_SEEN, parts, bucket_of(parts[0], buckets), buckets, 1)
+                        held, n = [], 0
+            if n:
+                parts = [np.concatenate(x) for x in zip(*held)]
+                yield _dealt(_SEEN, parts, bucket_of(parts[0], buckets), buckets, 1)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, parts, table, held, n = None, [], None, [], 0
+            for batch in batches:
+                for own, kind, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block"))):
+                    if own != bucket:
+                        bucket, parts, table = own, [], None
+                    if kind == 0:
+                        parts.append(unpack(_COUNTED, block))
+                        continue
+                    if table is None:
+                        words = joined([w for w, _ in parts], "u8")
+                        order = np.argsort(words)
+                        table, parts = (words[order], np.log(joined([c for _, c in parts], "u8")[order].astype(np.float64))), []
+                    words, keys, first = unpack(_SEEN, block)
+                    other = vocabulary.other(words)
+                    at = np.minimum(np.searchsorted(table[0], words), max(len(table[0]) - 1, 0))
+                    known = table[0][at] == words if len(table[0]) else np.zeros(len(words), dtype=bool)
+                    logs = np.where(known, counted[other] + (table[1][at] if len(table[1]) else 0), new[other])
+                    # the entries of a text follow one another
+                    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                    held.append((keys[starts], np.add.reduceat(logs, starts), np.add.reduceat(first.astype(np.uint64), starts)))
+                    n += len(starts)
+                    if n >= _HELD:
+                        sums = [np.concatenate(x) for x in zip(*held)]
+                        yield _dealt(_SUMMED, sums, bucket_of(sums[0], buckets), buckets, 2)
+                        held, n = [], 0
+            if n:
+                sums = [np.concatenate(x) for x in zip(*held)]
+                yield _dealt(_SUMMED, sums, bucket_of(sums[0], buckets), buckets, 2)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, logs, texts = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64)
+            for batch in batches:
+                parts = [unpack(_SUMMED, block) for block in batch.column("block").to_pylist()]
+                for part in parts:
+                    own, place = np.unique(np.concatenate([keys, part[0]]), return_inverse=True)
+                    logs = np.bincount(place, weights=np.concatenate([logs, part[1]]), minlength=len(own))
+                    texts = np.bincount(place, weights=np.concatenate([texts, part[2]]), minlength=len(own))
+                    keys = own
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(logs / texts)], names=["key", "sum"])
+
+        told = self.counts.mapInArrow(tell, _BLOCKS)
+        asked = documents.select(key, F.col(text).cast("string")).mapInArrow(ask, _BLOCKS)
+        met = told.union(asked).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(meet, _BLOCKS)
+        summed = met.repartitionById(buckets, F.col("bucket")).mapInArrow(add, "key bigint, sum double")
+        return summed.select(F.col("key").alias(key), F.col("sum").alias(into))
+
+
+def train(documents: DataFrame, shape: Shape | None = None, *, text: str = "text", passes: int = 1, rate: float = 2.0, counts: DataFrame | None = None) -> tuple[Vocabulary, Network]:
+    """Train on every word of ``documents``; without words the network keeps its first parameters. ``counts`` are those of ``count_words``, if at hand."""
     shape = shape or Shape()
     spark = documents.sparkSession
     let_workers_import(spark)
-    vocabulary, network = count_vocabulary(documents, shape, text), Network(shape)
+    vocabulary, network = count_vocabulary(documents, shape, text, counts), Network(shape)
     slices = partitions(documents)
     for number in range(passes):
         start = spark.sparkContext.broadcast((vocabulary, network.flat))
@@ -204,10 +341,11 @@ def train(documents: DataFrame, shape: Shape | None = None, *, text: str = "text
     return vocabulary, network
 
 
-def score(documents: DataFrame, vocabulary: Vocabulary, network: Network, *, text: str = "text") -> DataFrame:
+def score(documents: DataFrame, vocabulary: Vocabulary, network: Network, *, text: str = "text", rare: RareWords | None = None) -> DataFrame:
     """``documents`` with ``n_words``, ``log_probability`` (the sum over all words of the text) and ``mean_log_probability``.
 
     Columns of these names are replaced, others and repeated rows stay. A text without words (null, empty, blank) has 0 words, sum 0 and a null mean.
+    Without ``rare`` a word outside the vocabulary counts as its class; with it, as itself.
     """
     shared = documents.sparkSession.sparkContext.broadcast((vocabulary, network.flat))
 
@@ -226,10 +364,21 @@ def score(documents: DataFrame, vocabulary: Vocabulary, network: Network, *, tex
             n, total = np.concatenate(counts), np.concatenate(sums)
             yield [pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)]
 
-    return append_columns(documents, [text], "n_words bigint, log_probability double, mean_log_probability double", run)
+    added = "n_words bigint, log_probability double, mean_log_probability double"
+    if rare is None:
+        return append_columns(documents, [text], added, run)
+    key, into = free_name(documents, "text_key"), free_name(documents, "rare_sum")
+    keyed = documents.withColumn(key, F.xxhash64(F.col(text).cast("string")))
+    scored = append_columns(keyed, [text], added, run)
+    total = F.col("log_probability") + F.coalesce(into, F.lit(0.0))
+    names = [c for c in scored.columns if c not in (key, "log_probability", "mean_log_probability")]
+    joined_sums = scored.join(rare.sums(keyed, key, text, into), key, "left")
+    return joined_sums.select(*names, total.alias("log_probability"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))
 
 
 def lm_report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its words and its pseudo-log-likelihood under a network trained on all documents."""
-    vocabulary, network = train(documents, text=text)
-    return score(documents.select(doc_id, text), vocabulary, network, text=text).select(doc_id, "n_words", "log_probability", "mean_log_probability")
+    let_workers_import(documents.sparkSession)
+    counts = written(count_words(documents, text))
+    vocabulary, network = train(documents, text=text, counts=counts)
+    return score(documents.select(doc_id, text), vocabulary, network, text=text, rare=RareWords(counts, vocabulary)).select(doc_id, "n_words", "log_probability", "mean_log_probability")

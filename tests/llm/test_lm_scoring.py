@@ -61,3 +61,42 @@ def test_sums_and_awkward_rows(odd, nothing):
         assert r.n_words == n and (n > 300 or abs(r.log_probability - want) < 1e-2 * max(1, n))
         assert r.mean_log_probability is None if not n else abs(r.mean_log_probability - r.log_probability / n) < 1e-9
     assert lm_scoring.lm_report(nothing).count() == 0
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    rnd = random.Random(3)
+    rare = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(300)]
+    texts = [" ".join(rnd.choice(WORDS[:30]) if rnd.random() < 0.7 else rare[int(300 * rnd.random() ** 3)] for _ in range(60)) for _ in range(200)]
+    made_up = [" ".join("".join(rnd.choice("qwxyz") for _ in range(8)) for _ in range(60)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    counts = lm_scoring.count_words(df).cache()
+    vocabulary, network = lm_scoring.train(df, SMALL, passes=2, counts=counts)
+    own = lm_scoring.RareWords(counts, vocabulary)
+    # copies and rows without words must not change a sum
+    rows = [(k, t) for k, t in enumerate(texts + made_up)] + [(900, texts[0]), (901, texts[0]), (902, made_up[0]), (903, None), (904, "")]
+    test = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r for r in lm_scoring.score(test, vocabulary, network, rare=own).collect()}
+    classes = {r.doc_id: r.log_probability for r in lm_scoring.score(test, vocabulary, network).collect()}
+    n = {np.uint64(r.word % 2**64): r.n for r in counts.collect()}
+    tail = {w: c for w, c in n.items() if not vocabulary.find(np.array([w]))[1][0]}
+    assert len(tail) > 100
+    members = [[c for w, c in tail.items() if int(w) % 4 == k] for k in range(4)]
+    for doc_id, text in rows:
+        want = classes[doc_id]
+        for words in cut_words(lm_scoring.pa.array([text or ""]), SPACED_FOLDED):
+            for w in words.hashes[~vocabulary.find(words.hashes)[1]]:
+                inside = members[int(w) % 4]
+                whole = sum(inside) + len(inside)
+                want += np.log(tail[w] / whole) if w in tail else np.log(len(inside) / whole) - np.log(2.0**62)
+        assert abs(got[doc_id].log_probability - want) < 1e-6 * max(1, abs(want))
+    assert got[903].log_probability == 0 and got[904].mean_log_probability is None
+    assert max(got[200 + k].mean_log_probability for k in range(20)) < min(got[k].mean_log_probability for k in range(200))
+
+
+def test_made_up_words_score_below_prose_in_the_report(spark):
+    rnd = random.Random(4)
+    prose = [" ".join(rnd.choice(WORDS) for _ in range(80)) for _ in range(300)]
+    made_up = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(80)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(prose + made_up)), "doc_id bigint, text string")
+    got = {r.doc_id: r.mean_log_probability for r in lm_scoring.lm_report(df).collect()}
+    assert max(got[300 + k] for k in range(100)) < min(got[k] for k in range(300))
