@@ -3,7 +3,8 @@
 A vector is turned by three rounds of random signs and fast Hadamard transforms. One hash function gives the axis and sign of
 its largest coordinate; a table's cell joins ``functions`` of them, as many as the number of vectors asks for, so that
 unlike vectors seldom meet. A vector lies in its own cell of each of ``tables`` tables and also visits the cells
-in which one function takes its second or third best axis (multiprobe). Two vectors are compared where one of
+in which one function takes its second or third best axis (multiprobe). With more functions a pair meets less often in one table, so
+the number of tables rises until a pair at the least cosine is met with the probability ``recall``, whatever the number of vectors. Two vectors are compared where one of
 them visits the other's own cell, by their exact cosine in double precision.
 
 Equal vectors are one class with a count. A pair that meets several times counts where it meets first. Pairs are counted where they are compared and never
@@ -69,6 +70,24 @@ def cells(vectors: np.ndarray, tables: int, functions: int, probes: int) -> np.n
     return out
 
 
+def tables_for(recall: float, cosine: float, size: int, functions: int, probes: int) -> int:
+    """Tables that let a pair at ``cosine`` meet with probability ``recall``, from how often planted pairs of that size meet in one table; 8 at least.
+
+    Turned at random, all pairs at one cosine are alike, so the planted ones stand for any.
+    """
+    pairs, tables = 500, 16
+    random = np.random.default_rng([_SEED, size])
+    one, other = _unit(random.standard_normal((pairs, size))), random.standard_normal((pairs, size))
+    if size == 1 or cosine >= 1:
+        return 8
+    other = _unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    a, b = cells(one, tables, functions, probes), cells(cosine * one + math.sqrt(1 - cosine * cosine) * other, tables, functions, probes)
+    met = (a[:, :, :1] == b).any(2) | (a == b[:, :, :1]).any(2)
+    share = met.mean()
+    share = max(share - 2 * math.sqrt(share * (1 - share) / met.size), 1 / met.size)  # below by two standard errors
+    return max(8, math.ceil(math.log(1 - recall) / math.log(1 - share)) if share < 1 else 8)
+
+
 def _unit(values: np.ndarray) -> np.ndarray:
     rows = values.astype(np.float64)
     rows /= np.abs(rows).max(axis=1, keepdims=True)
@@ -161,12 +180,15 @@ def _links(members: DataFrame, tables: int, probes: int, least_cosine: float) ->
     return members.mapInArrow(run, "class bigint, n bigint, root bigint")
 
 
-def near_vectors(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least_cosine: float = 0.9, tables: int = 8, probes: int = 5, block: int = 1024) -> DataFrame:
+def near_vectors(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least_cosine: float = 0.9, recall: float = 0.99, functions: int | None = None, tables: int | None = None, probes: int | None = None, block: int = 1024) -> DataFrame:
     """One row per row of ``embeddings``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of different
     lengths don't link. Rows with the same vector link with each other, whatever their ids. A component is named by its smallest
     vec_id; a null id is never the smallest unless all of its component are null. Extra columns are ignored; an empty table gives an empty result.
+
+    A pair at ``least_cosine`` is found with the probability ``recall``, a nearer one more often. ``functions`` follows the number of
+    distinct vectors, ``probes`` are all second and third axes (5 at least), and ``tables`` follow from both, unless they are given.
     """
     let_workers_import(embeddings.sparkSession)
     rows = embeddings.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
@@ -175,7 +197,9 @@ def near_vectors(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: str =
     classes = written(rows.filter("class IS NOT NULL").groupBy("class").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
     top = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     width = 2 * (1 << max(1, ((top[1] or 1) - 1).bit_length()))
-    functions = max(1, math.ceil(math.log(8 * max(top[0], 1)) / math.log(width)))
+    functions = functions or max(1, math.ceil(math.log(8 * max(top[0], 1)) / math.log(width)))
+    probes = max(5, 2 * functions) if probes is None else probes
+    tables = tables or tables_for(recall, least_cosine, max(top[1] or 1, 1), functions, probes)
     hashed = written(_hashed(classes, tables, functions, probes))
     visits = _visits(hashed, tables, probes).distinct()
     met = visits.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).filter("n > 1 AND any_own")

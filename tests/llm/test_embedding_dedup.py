@@ -1,6 +1,7 @@
 """Links of vectors against all pairs."""
 
 import numpy as np
+import pytest
 from llm_fixtures import components
 
 from allelespan.llm import embedding_dedup
@@ -70,3 +71,20 @@ def test_nulls_repeats_and_no_rows(frame, spark):
 def test_hadamard_is_orthogonal():
     h = embedding_dedup.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)
+
+
+@pytest.mark.parametrize("functions", [2, 3, 4, 5])
+def test_recall_holds_with_more_functions(frame, functions):
+    """As many functions as 2 thousand, 262 thousand, 33 million and more vectors get at width 64."""
+    r = np.random.default_rng(functions)
+    vectors = []
+    for c in r.uniform(0.9005, 0.92, 400):
+        base, other = r.standard_normal((2, 64))
+        base /= np.linalg.norm(base)
+        other -= other @ base * base
+        vectors += [base, c * base + np.sqrt(1 - c * c) * other / np.linalg.norm(other)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    degree, _, links = all_pairs(rows)
+    got = linked(frame, rows, functions=functions)
+    assert len(links) >= 400 and all(got[i].n_links <= degree[i] for i in degree)
+    assert sum(x.n_links for x in got.values()) >= 0.98 * 2 * len(links)
