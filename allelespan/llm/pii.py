@@ -20,17 +20,28 @@ from allelespan.llm.arrow_columns import free_name
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 
-_BEFORE = r"(?<![0-9A-Za-z.\-/+@_])"
+# after a mark, too, unless the mark follows a digit: no number is entered in its middle
+_BEFORE = r"(?<![0-9A-Za-z+@_])(?<![0-9][.\-/])"
 _AFTER = r"(?![0-9A-Za-z_@]|[.\-/][0-9])"
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-_PHONE = r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}"
-_ABROAD = r"\+[2-9][0-9]{0,2}(?:[ .-][0-9]{2,8}){1,5}"
-_CARD = r"(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{13,19}"
+_ABROAD = r"\+[2-9][0-9]{0,2}[ .-]?\(0\)(?:[ .-]?[0-9]){6,13}|\+[2-9](?:[ .-]?[0-9]){7,14}"
+#: Country codes of one and of two digits; all others have three.
+_SHORT_CODE = r"^\+(7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+_CARD = r"(?:[0-9]{4}[ -]){4}[0-9]{3}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19}"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
-#: Every candidate; runs are entered at their start only, so long texts without spaces stay linear.
-PATTERN = f"{_BEFORE}(?=[0-9+(])(?:{_DATE}|{_SSN}|{_PHONE}|{_ABROAD}|{_CARD}|{_IP}){_AFTER}|{_EMAIL}"
+
+
+def _phone_form(any_area: bool) -> str:
+    three = "[0-9]{3}" if any_area else "[2-9][0-9]{2}"
+    return rf"\+1{three}{three}[0-9]{{4}}|(?:\+1[ .-]?|1[ .-])?(?:\({three}\)[ .-]?|{three}[ .-]){three}[ .-][0-9]{{4}}"
+
+
+def _pattern(any_area: bool) -> str:
+    """Every candidate; runs are entered at their start only, so long texts without spaces stay linear."""
+    return f"{_BEFORE}(?=[0-9+(])(?:{_DATE}|{_SSN}|{_phone_form(any_area)}|{_ABROAD}|{_CARD}|{_IP}){_AFTER}|{_EMAIL}"
+
 
 _LEAP_YEARS = 49  # 1904, 1908, ... 2096
 
@@ -127,9 +138,12 @@ def _phone(key: str, undo: bool, value: Column) -> Column:
     def use(digits: Column) -> Column:
         size = F.length(digits)
         start = size - 9  # a leading 1 is kept
-        left = (_number(digits, start, 3) - 200) * 800 + _number(digits, start + 3, 3) - 200
-        pair = _permuted(key, "phone", undo, left, _number(digits, start + 6, 4), F.lit(640_000), F.lit(10_000))
-        new = _with(pair, lambda p: F.concat(digits.substr(F.lit(1), size - 10), _padded(F.floor(p["l"] / 800) + 200, 3), _padded(p["l"] % 800 + 200, 3), _padded(p["r"], 4)))
+        area, exchange = _number(digits, start, 3), _number(digits, start + 3, 3)
+        # numbers below 200 stay below 200, the others above, so that those of the numbering plan stay in it
+        low_area, low_exchange = (F.when(x < 200, F.lit(0)).otherwise(F.lit(200)) for x in (area, exchange))
+        areas, exchanges = (F.when(x < 200, F.lit(200)).otherwise(F.lit(800)) for x in (area, exchange))
+        pair = _permuted(key, "phone", undo, (area - low_area) * exchanges + exchange - low_exchange, _number(digits, start + 6, 4), areas * exchanges, F.lit(10_000))
+        new = _with(pair, lambda p: F.concat(digits.substr(F.lit(1), size - 10), _padded(F.floor(p["l"] / exchanges) + low_area, 3), _padded(p["l"] % exchanges + low_exchange, 3), _padded(p["r"], 4)))
         return _in_place(value, new)
 
     return _with(_digits(value), use)
@@ -137,28 +151,29 @@ def _phone(key: str, undo: bool, value: Column) -> Column:
 
 def _abroad(key: str, undo: bool, value: Column) -> Column:
     def use(digits: Column) -> Column:
-        code = F.length(F.regexp_extract(value, r"^\+([0-9]+)", 1))
+        first, short = F.length(F.regexp_extract(value, r"^\+([0-9]+)", 1)), F.length(F.regexp_extract(value, _SHORT_CODE, 1))
+        code = F.when(first <= 3, first).when(short > 0, short).otherwise(3) + value.contains("(0)").cast("int")
         free = F.length(digits) - code
         half = F.floor(free / 2).cast("int")
         a, b = F.pow(F.lit(10.0), half).cast("bigint"), F.pow(F.lit(10.0), free - half).cast("bigint")
         pair = _permuted(key, "abroad", undo, _number(digits, code + 1, half), _number(digits, code + 1 + half, free - half), a, b)
         new = _with(pair, lambda p: F.concat(digits.substr(F.lit(1), code), _padded(p["l"], half), _padded(p["r"], free - half)))
-        return F.when(F.length(digits).between(8, 15), _in_place(value, new))
+        return _in_place(value, new)
 
     return _with(_digits(value), use)
 
 
 def _ip(key: str, undo: bool, value: Column) -> Column:
-    def low(size: Column, first: bool) -> Column:
-        return F.when(size == 1, F.lit(int(first))).when(size == 2, F.lit(10)).otherwise(F.lit(100))
+    def low(size: Column) -> Column:
+        return F.when(size == 1, F.lit(0)).when(size == 2, F.lit(10)).otherwise(F.lit(100))
 
-    def count(size: Column, first: bool) -> Column:
-        return F.when(size == 1, F.lit(10 - first)).when(size == 2, F.lit(90)).otherwise(F.lit(124 if first else 156))
+    def count(size: Column) -> Column:
+        return F.when(size == 1, F.lit(10)).when(size == 2, F.lit(90)).otherwise(F.lit(156))
 
     def use(parts: Column) -> Column:
         number = [F.element_at(parts, k).cast("int") for k in range(1, 5)]
         size = [F.length(F.element_at(parts, k)) for k in range(1, 5)]
-        lows, counts = [low(size[k], k == 0) for k in range(4)], [count(size[k], k == 0) for k in range(4)]
+        lows, counts = [low(x) for x in size], [count(x) for x in size]
         valid = F.lit(True)
         for k in range(4):
             valid = valid & (number[k] >= lows[k]) & (number[k] < lows[k] + counts[k])
@@ -228,7 +243,7 @@ def _email(key: str, undo: bool, value: Column) -> Column:
     return _with(F.aggregate(_turns(undo), start, turn), lambda p: F.concat(p["l"], p["r"], F.lit("@"), domain))
 
 
-def _replacement(key: str, undo: bool, value: Column) -> Column:
+def _replacement(key: str, undo: bool, any_area: bool, value: Column) -> Column:
     """struct(kind, value): the pseudonym of one candidate, or kind null and the candidate itself if it is not valid."""
 
     def exactly(pattern: str) -> Column:
@@ -238,7 +253,7 @@ def _replacement(key: str, undo: bool, value: Column) -> Column:
         ("email", value.contains("@"), _email),
         ("date", exactly(_DATE), _date),
         ("ssn", exactly(_SSN), _ssn),
-        ("phone", exactly(_PHONE), _phone),
+        ("phone", exactly(_phone_form(any_area)), _phone),
         ("phone", exactly(_ABROAD), _abroad),
         ("ip", exactly(_IP), _ip),
     ]
@@ -249,27 +264,29 @@ def _replacement(key: str, undo: bool, value: Column) -> Column:
     return _with(pair, lambda p: F.struct(F.when(p["value"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["value"], value).alias("value")))
 
 
-def pseudonymize(documents: DataFrame, key: str, *, text: str = "text", into: str = "pii", undo: bool = False) -> DataFrame:
+def pseudonymize(documents: DataFrame, key: str, *, text: str = "text", into: str = "pii", undo: bool = False, any_area: bool = False) -> DataFrame:
     """``documents`` with personal data in ``text`` replaced, and the kinds replaced, in order, in ``into``.
 
     Null texts stay null with an empty list; empty texts and texts without personal data stay as they are. Candidates
     that fail the check of their kind stay. An existing column named ``into`` is replaced, all others stay, and so do repeated rows.
+    Without ``any_area`` only phone numbers of the North American plan count (area and exchange begin with 2 to 9); with it any three digits
+    do. ``undo`` needs the same setting.
     """
     names = [c for c in documents.columns if c.lower() != into.lower()]
     hit_name, found_name = free_name(documents, "hits"), free_name(documents, "found")
-    whole = F.col(text)
-    hits = F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    whole, pattern = F.col(text), _pattern(any_area)
+    hits = F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = documents.select(*names, F.coalesce(hits, F.array().cast("array<string>")).alias(hit_name))
-    found = found.select(*names, F.transform(hit_name, lambda h: _replacement(key, undo, h)).alias(found_name))
-    joined = F.array_join(F.zip_with(F.split(whole, PATTERN, -1), found_name, lambda between, f: F.concat(between, F.coalesce(f["value"], F.lit("")))), "")
+    found = found.select(*names, F.transform(hit_name, lambda h: _replacement(key, undo, any_area, h)).alias(found_name))
+    joined = F.array_join(F.zip_with(F.split(whole, pattern, -1), found_name, lambda between, f: F.concat(between, F.coalesce(f["value"], F.lit("")))), "")
     replaced = F.when(F.size(found_name) > 0, joined).otherwise(whole).alias(text)
     kinds = F.filter(F.transform(found_name, lambda f: f["kind"]), lambda k: k.isNotNull()).alias(into)
     return found.select(*[replaced if c == text else F.col(c) for c in names], kinds)
 
 
 def pii_report(documents: DataFrame, key: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its pseudonymised text and how many values of each kind were replaced."""
-    done = pseudonymize(documents.select(doc_id, text), key, text=text)
+    """One row per document: its pseudonymised text and how many values of each kind were replaced; phone numbers of any area."""
+    done = pseudonymize(documents.select(doc_id, text), key, text=text, any_area=True)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("pii", lambda k: k == kind)).cast("bigint").alias(f"n_{kind}")

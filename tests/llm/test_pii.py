@@ -123,3 +123,25 @@ def test_awkward_rows(odd, nothing):
 def test_only_native_operations(odd):
     plan = pii.pii_report(odd, KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+FORMS = {
+    "phone": """+1 (136) 555-7479|(036) 155-7479|+12125550100|+1 212 555 0100|212 555 0100|1-800-555-0100|(212)-555-0100|+491701234567|+35312345678|+44 20 7946 0958
+        |+44 (0)20 7946 0958|+33 6 12 34 56 78|Tel.212-555-0100|/212-555-0100""",
+    "ip": "233.254.104.120|0.0.0.0|255.255.255.255|host-10.0.0.1",
+    "card": "3782 822463 10005|3782-822463-10005|card-4111111111111111|no.4111 1111 1111 1111|/378282246310005",
+}
+
+
+def test_every_written_form_is_replaced_and_restored(frame):
+    values = [(kind, v.strip()) for kind, forms in FORMS.items() for v in forms.split("|")]
+    df = frame([(k, f"see {v} here") for k, (_, v) in enumerate(values)], "doc_id bigint, text string")
+    hidden = pii.pseudonymize(df, KEY, any_area=True)
+    got = {r.doc_id: r for r in hidden.collect()}
+    for k, (kind, value) in enumerate(values):
+        plain = f"see {value} here"
+        assert got[k].pii == [kind] and got[k].text != plain, value
+        assert re.sub("[0-9]", "9", got[k].text) == re.sub("[0-9]", "9", plain), value
+    assert texts_of(pii.pseudonymize(hidden, KEY, undo=True, any_area=True)) == texts_of(df)
+    report = {r.doc_id: r for r in pii.pii_report(df, KEY).collect()}
+    assert all(report[k][f"n_{kind}"] == 1 and report[k].text == got[k].text for k, (kind, _) in enumerate(values))
