@@ -20,12 +20,3 @@ def spark():
 def frame(spark):
     """Small table from rows and a schema string."""
     return lambda rows, schema: spark.createDataFrame(rows, schema)
-
-
-def rows_of(df):
-    """Rows as sorted tuples."""
-    return sorted((tuple(row) for row in df.collect()), key=repr)
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

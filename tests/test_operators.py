@@ -7,7 +7,7 @@ from allelespan import schemas
 from allelespan.operators import aggregates, filters, joins, layers, ranking, reference_builds
 from allelespan.plans import traits, variants
 from allelespan.plans.cohort import ALL_GENOMES, Cohort
-from conftest import rows_of
+from helpers import rows_of
 
 
 def empty_annotation(**known):

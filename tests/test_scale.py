@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from allelespan import schemas
 from allelespan.operators import filters, joins, layers, ranking, sizing
 from allelespan.sources import sinks, tables, vcf
-from conftest import plan_of, rows_of
+from helpers import plan_of, rows_of
 
 SITE = schemas.SITE_KEY
 

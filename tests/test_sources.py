@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from allelespan.functions.contigs import accession_table
 from allelespan.operators.layers import fingerprints
 from allelespan.sources import sinks, tables, vcf
-from conftest import rows_of
+from helpers import rows_of
 
 FAILED = (PySparkException, Py4JJavaError)
 HEADER = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{}\n"

@@ -6,7 +6,7 @@ import shutil
 from allelespan.sources import vcf
 from allelespan.sources.sinks import LayerStore
 from allelespan.streaming import layer_ingest
-from conftest import rows_of
+from helpers import rows_of
 
 
 def line(pos, sig, alt="G"):
