@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelespan.llm import decontamination, embedding_dedup, lm_scoring, ngram_join, pii, sentencepiece_codec, substring_dedup, token_counts, token_shards, toxicity
+from allelespan.llm import decontamination, embedding_dedup, lm_scoring, ngram_join, pii, sentencepiece_codec, substring_dedup, token_counts, token_shards, toxicity, url_filters
 from allelespan.llm.arrow_columns import let_workers_import
 from allelespan.session import shared_folder
 
@@ -73,6 +73,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+#: The rules of the registered query.
+URL_RULES = (
+    url_filters.Rule("net", "/", block=True),
+    url_filters.Rule("example.net", "/en/", block=False),
+    url_filters.Rule("example.com", "/de/", block=True),
+    url_filters.Rule("org", "/fr/", block=False),
+)
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_report(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES |= {
     "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -84,6 +97,7 @@ QUERIES |= {
     "op8_decontamination": op8_decontamination,
     "op9_token_shards": op9_token_shards,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_url_filters": op13_url_filters,
 }
 ORACLES["op8_decontamination"] = r"""
     WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
