@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelespan.llm import decontamination, embedding_dedup, lm_scoring, ngram_join, pii, sentencepiece_codec, substring_dedup, token_counts, token_shards, toxicity, url_filters
+from allelespan.llm import decontamination, embedding_dedup, lm_scoring, ngram_join, periodic_runs, pii, sentencepiece_codec, substring_dedup, token_counts, token_shards, toxicity, url_filters
 from allelespan.llm.arrow_columns import let_workers_import
 from allelespan.session import shared_folder
 
@@ -73,6 +73,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_report(periodic_runs.repeat_tails(table(spark, sf_dir, "documents")))
+
+
 #: The rules of the registered query.
 URL_RULES = (
     url_filters.Rule("net", "/", block=True),
@@ -97,6 +101,7 @@ QUERIES |= {
     "op8_decontamination": op8_decontamination,
     "op9_token_shards": op9_token_shards,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_url_filters": op13_url_filters,
 }
 ORACLES["op8_decontamination"] = r"""
