@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelespan.llm import decontamination, embedding_dedup, lm_scoring, ngram_join, periodic_runs, pii, sentencepiece_codec, substring_dedup, token_counts, token_shards, toxicity, url_filters
+from allelespan.llm import decontamination, embedding_dedup, lm_scoring, ngram_join, periodic_runs, pii, sentencepiece_codec, source_divergence, substring_dedup, token_counts, token_shards, toxicity, url_filters
 from allelespan.llm.arrow_columns import let_workers_import
 from allelespan.session import shared_folder
 
@@ -73,6 +73,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence_report(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_report(periodic_runs.repeat_tails(table(spark, sf_dir, "documents")))
 
@@ -101,6 +105,7 @@ QUERIES |= {
     "op8_decontamination": op8_decontamination,
     "op9_token_shards": op9_token_shards,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_url_filters": op13_url_filters,
 }
@@ -137,3 +142,24 @@ ORACLES["op1_ngram_join"] = r"""
     reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id)
     JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+ORACLES["op11_source_divergence"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    grp AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+    c AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY ALL),
+    n AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM grp g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+    p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+                 CAST(1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (n.n + v.v) AS BIGINT) AS p,
+                 CAST(1 + (1000000000::HUGEINT * (k.total + 1)) // (v.n + v.v) AS BIGINT) AS q
+          FROM n JOIN v ON v.lang = n.lang JOIN kept k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+              FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q)
+    SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+    UNION ALL
+    SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) x WHERE rank <= 200"""

@@ -59,6 +59,8 @@ SPACED = _rule(_SPACES, fold=False)
 SPACED_FOLDED = _rule(_SPACES, fold=True)
 #: Words are runs of ASCII letters and digits and everything beyond ASCII.
 ALNUM_FOLDED = _rule([*range(0x00, 0x30), *range(0x3A, 0x61 - 0x20), *range(0x5B, 0x61), *range(0x7B, 0x80)], fold=True)
+#: Words are runs of ASCII letters and everything beyond ASCII.
+LETTERS_FOLDED = _rule([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)], fold=True)
 
 
 @dataclass
@@ -126,6 +128,13 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total + np.uint64(size))
 
 
+def beginnings(words: Words, chosen: np.ndarray, size: int, rule: WordRule) -> np.ndarray:
+    """Hashes of the first ``size`` bytes of the chosen words, none of which may be shorter."""
+    places = (words.starts[chosen][:, None] + np.arange(size)).ravel()
+    total = (rule.value[words.data[places]].reshape(len(chosen), size) * powers(size)).sum(axis=1, dtype=np.uint64)
+    return mix(total * np.uint64(2) + np.uint64(size))
+
+
 def shingle_runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): text ``i`` has the shingles ``bounds[i]:bounds[i + 1]``, in text order.
 
