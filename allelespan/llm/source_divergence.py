@@ -33,6 +33,8 @@ _SMALL_COUNT = 9_000_000_000
 _FIRST_SIZE, _GROWTH = 4, 4
 _ROWS = 512
 _PAIRS_AT_ONCE = 1 << 20
+#: Rows that a task gathers before it hands on their sums; bounds what a Python worker holds.
+_HELD_ROWS = 1 << 20
 
 
 def _documents(documents: DataFrame, lang: str, source: str, text: str) -> DataFrame:
@@ -77,10 +79,44 @@ def _keys(words: Words, langs: np.ndarray, chosen: np.ndarray, size: int | None)
     return (mix(hashes ^ langs[owner]) & ~np.uint64(1)) | cut.astype(np.uint64)
 
 
+def _sorted_runs(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, rows): the order of the keys, where each distinct key begins in it, and how many rows hold it; owners ascend."""
+    order = np.argsort(keys, kind="stable")  # equal keys stay in order of their rows
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    row = new.copy()
+    row[1:] |= owner[1:] != owner[:-1]
+    starts = np.flatnonzero(new)
+    return order, starts, np.add.reduceat(row, starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+
+
+def _combined(parts: Iterator[tuple[np.ndarray, list[np.ndarray], object]]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list, np.ndarray]]:
+    """Sums of parts (keys, numbers, anything) over many chunks: (keys, sums, the parts' other values, place of one part's row for each key)."""
+    held: list[tuple[np.ndarray, list[np.ndarray], object]] = []
+    size = 0
+
+    def merged():
+        keys = np.concatenate([p[0] for p in held])
+        order, starts, _ = _sorted_runs(keys, np.zeros(len(keys), dtype=np.int8))
+        sums = [np.add.reduceat(np.concatenate(column)[order], starts) for column in zip(*(p[1] for p in held))]
+        return keys[order[starts]], sums, [p[2] for p in held], order[starts]
+
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
+        if size >= _HELD_ROWS:
+            yield merged()
+            held, size = [], 0
+    if held:
+        yield merged()
+
+
 def _prefix_counts(docs: DataFrame, size: int, before: int | None, known) -> DataFrame:
     """(key, docs): rows that hold each term or prefix of ``size`` bytes, of the terms whose shorter prefix survived."""
 
-    def run(batches):
+    def counted(batches):
         for part, words in _chunks(batches):
             langs = _hashes(part.column("lang"))
             chosen = np.arange(len(words.hashes))
@@ -88,15 +124,12 @@ def _prefix_counts(docs: DataFrame, size: int, before: int | None, known) -> Dat
                 chosen = chosen[words.ends - words.starts > before]
                 chosen = chosen[known.value.holds(_keys(words, langs, chosen, before))]
             keys = _keys(words, langs, chosen, size)
-            order = np.argsort(keys, kind="stable")  # equal keys stay in order of their rows
-            keys, owner = keys[order], (np.searchsorted(words.first, chosen, side="right") - 1)[order]
-            new = np.ones(len(keys), dtype=bool)
-            new[1:] = keys[1:] != keys[:-1]
-            row = new.copy()
-            row[1:] |= owner[1:] != owner[:-1]
-            starts = np.flatnonzero(new)
-            rows = np.add.reduceat(row, starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[starts].view(np.int64)), pa.array(rows)], names=["key", "docs"])
+            order, starts, rows = _sorted_runs(keys, np.searchsorted(words.first, chosen, side="right") - 1)
+            yield keys[order[starts]], [rows], None
+
+    def run(batches):
+        for keys, (rows,), _, _ in _combined(counted(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rows)], names=["key", "docs"])
 
     return docs.select("lang", "text").mapInArrow(run, "key bigint, docs bigint").groupBy("key").agg(F.sum("docs").alias("docs"))
 
@@ -129,37 +162,35 @@ def kept_terms(documents: DataFrame, *, least: int = 3, bits: int = 25, lang: st
     let_workers_import(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(surviving_terms(docs, least, bits))
 
-    def run(batches):
+    def counted(batches, codes: dict[tuple[str, str], int]):
         for part, words in _chunks(batches):
             langs, sources = _hashes(part.column("lang")), _hashes(part.column("source"))
+            group = np.array([codes.setdefault(pair, len(codes)) for pair in zip(part.column("lang").to_pylist(), part.column("source").to_pylist())])
             chosen = np.arange(len(words.hashes))
             keys = _keys(words, langs, chosen, None)
             chosen = chosen[known.value.holds(keys)]
             owner = np.searchsorted(words.first, chosen, side="right") - 1
             keys = mix(keys[chosen] ^ mix(sources[owner]))
-            order = np.argsort(keys, kind="stable")
-            keys, owner, chosen = keys[order], owner[order], chosen[order]
-            new = np.ones(len(keys), dtype=bool)
-            new[1:] = keys[1:] != keys[:-1]
-            row = new.copy()
-            row[1:] |= owner[1:] != owner[:-1]
-            starts = np.flatnonzero(new)
-            if not len(starts):
-                continue
-            first = chosen[starts]
+            order, starts, rows = _sorted_runs(keys, owner)
+            first = chosen[order[starts]]
             length = words.ends[first] - words.starts[first]
             letters = words.data[expand(words.starts[first], length)]
             letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint8)
-            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            terms = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes()))
-            where = pa.array(owner[starts])
-            counts = np.diff(np.append(starts, len(keys)))
-            rows = np.add.reduceat(row, starts, dtype=np.int64)
-            columns = [part.column("lang").take(where), part.column("source").take(where), terms, pa.array(rows), pa.array(counts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "docs", "count"])
+            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int64)
+            terms = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes()))
+            yield keys[order[starts]], [rows, np.diff(np.append(starts, len(keys)))], (group[owner[order[starts]]], terms)
+
+    def run(batches):
+        codes: dict[tuple[str, str], int] = {}
+        for _, (rows, counts), others, place in _combined(counted(batches, codes)):
+            group = pa.array(np.concatenate([g for g, _ in others])[place])
+            terms = pa.concat_arrays([t for _, t in others]).take(pa.array(place)).cast(pa.string())
+            names = [pa.array([pair[k] for pair in codes], pa.string()).take(group) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, terms, pa.array(rows), pa.array(counts)], names=["lang", "source", "term", "docs", "count"])
 
     found = docs.mapInArrow(run, "lang string, source string, term string, docs bigint, count bigint")
-    by_source = found.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
+    # tasks have summed already; spread by term, one shuffle serves the sums by source and by language
+    by_source = found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
     by_term = by_source.groupBy("lang", "term").agg(
         F.sum("docs").alias("docs"), F.sum("count").alias("total"), F.collect_list(F.struct("source", "count")).alias("used")
     )
