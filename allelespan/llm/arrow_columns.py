@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
@@ -16,9 +17,57 @@ from pyspark.sql.types import StructField, StructType
 _SLICE_ROWS = 512
 
 
+#: Bytes of one Arrow batch on its way to a Python worker; both sides hold a few of them.
+_BATCH_BYTES = "8m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers find this package where the driver did, unless their own path has been set."""
+    """Python workers find this package where the driver did, unless their own path has been set, and get small batches, unless the session says otherwise."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, _BATCH_BYTES)
+
+
+#: In a Python worker: the module whose function ran last, and what empties the memories that modules keep between tasks.
+_last_owner = ""
+_memories: list[Callable[[], None]] = []
+
+
+def remembers(clear: Callable[[], None]) -> None:
+    """Register what empties a module's memory; called when a worker turns to another module's function."""
+    _memories.append(clear)
+
+
+def begin_task(owner: str) -> None:
+    global _last_owner
+    if _last_owner != owner:
+        for clear in _memories:
+            clear()
+        _last_owner = owner
+
+
+def end_task() -> None:
+    """Give unused memory back to the system, as Spark goes on to use the worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[..., Iterator], owner: str | None = None) -> Callable[..., Iterator]:
+    """``run`` for ``mapInArrow``, so that a reused worker holds nothing of the stages before."""
+    owner = owner or run.__module__
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(owner)
+        try:
+            yield from run(batches)
+        finally:
+            end_task()
+
+    return wrapped
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -58,7 +107,7 @@ def append_columns(df: DataFrame, inputs: Sequence[str], added: str, compute: Ca
             columns = [part.column(i) for i in keeps] + [pa.array(m, t) if not isinstance(m, pa.Array) else m.cast(t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays(columns, names=[kept[i].name for i in places] + [f.name for f in fields])
 
-    return df.mapInArrow(run, StructType([*[StructField(f.name, f.dataType, True) for f in kept], *fields]))
+    return df.mapInArrow(lean(run, compute.__module__), StructType([*[StructField(f.name, f.dataType, True) for f in kept], *fields]))
 
 
 #: Widths of the numbers that blocks can hold, by code.

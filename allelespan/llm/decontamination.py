@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import append_columns
+from allelespan.llm.arrow_columns import append_columns, lean
 from allelespan.llm.word_hashes import ALNUM_FOLDED, Words, cut_words, run_hashes
 
 #: Bits of the filter that most shingles of documents are turned away by.
@@ -95,7 +95,7 @@ def _rarity(documents: DataFrame, text: str, wanted: list[_Shingles]) -> list[np
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), part), pa.int32()), pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["part", "place", "n"])
 
-    counts = documents.select(F.col(text).cast("string")).mapInArrow(count, "part int, place bigint, n bigint").groupBy("part", "place").agg(F.sum("n").alias("n"))
+    counts = documents.select(F.col(text).cast("string")).mapInArrow(lean(count), "part int, place bigint, n bigint").groupBy("part", "place").agg(F.sum("n").alias("n"))
     totals = [np.zeros(len(w.values), dtype=np.int64) for w in wanted]
     for part, place, n in counts.collect():  # at most one row for each wanted shingle of the block
         totals[part][place] = n

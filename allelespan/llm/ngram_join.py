@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import append_columns, bucket_of, by_bucket, expand, free_name, let_workers_import, pack, partitions, unpack
+from allelespan.llm.arrow_columns import append_columns, bucket_of, by_bucket, expand, free_name, lean, let_workers_import, pack, partitions, unpack
 from allelespan.llm.linking import components, run_bounds, whole_runs, written
 from allelespan.llm.word_hashes import SPACED_FOLDED, cut_words, mix, shingle_runs
 
@@ -87,7 +87,7 @@ def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(small, pa.list_(pa.int64()))], names=["id", "n", "set", "small"])
 
     kind = documents.schema["id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"id {kind}, n bigint, set bigint, small array<bigint>")
+    return documents.mapInArrow(lean(run), f"id {kind}, n bigint, set bigint, small array<bigint>")
 
 
 def _boundary(small: DataFrame) -> int:
@@ -112,7 +112,7 @@ def _small_links(small: DataFrame) -> DataFrame:
                 keys, sizes = np.concatenate(keys), np.concatenate(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sizes), pa.array(np.full(len(keys), n)), pa.array(np.full(len(keys), name))], names=["key", "c", "n", "set"])
 
-    subsets = small.select("set", "n", "small").mapInArrow(run, "key bigint, c bigint, n bigint, set bigint")
+    subsets = small.select("set", "n", "small").mapInArrow(lean(run), "key bigint, c bigint, n bigint, set bigint")
     smallest = written(subsets.groupBy("key").agg(F.min(F.struct("n", "set")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("key", "first"))
     met = subsets.join(smallest, "key").filter((4 * (F.col("n") + F.col("first.n")) <= 9 * F.col("c")) & (F.col("set") != F.col("first.set")))
     return met.select(F.col("set").alias("a"), F.col("first.set").alias("b"))
@@ -140,7 +140,7 @@ def _entries(documents: DataFrame, size: int, least: int, buckets: int) -> DataF
                     blocks.append(pack(_ENTRY_KINDS, (shingles[edges[bucket] : edges[bucket + 1]], np.diff(np.append(first, len(own))), names[own[first]], sizes[own[first]])))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
-    return documents.mapInArrow(run, "bucket int, block binary").repartitionById(buckets, F.col("bucket"))
+    return documents.mapInArrow(lean(run), "bucket int, block binary").repartitionById(buckets, F.col("bucket"))
 
 
 def _columns(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...], repeated: dict[int, int]) -> list[np.ndarray] | None:
@@ -193,7 +193,7 @@ def _shared(entries: DataFrame, buckets: int) -> DataFrame:
             block = pack(_SHARED_KINDS, (own[first], np.diff(np.append(first, len(own))), size[rows[span]][first], label[span], rank[span]))
             yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
 
-    return entries.mapInArrow(run, "bucket int, block binary").repartitionById(buckets, F.col("bucket"))
+    return entries.mapInArrow(lean(run), "bucket int, block binary").repartitionById(buckets, F.col("bucket"))
 
 
 def _candidate_sets(shared: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _candidate_sets(shared: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held[keep])).astype(np.int32)), pa.array(values))
         yield pa.RecordBatch.from_arrays([pa.array(name[first[keep]].view(np.int64)), pa.array(size[first[keep]]), lists, pa.array(prefix[keep])], names=["set", "n", "shingles", "prefix"])
 
-    return shared.mapInArrow(run, "set bigint, n bigint, shingles array<bigint>, prefix bigint")
+    return shared.mapInArrow(lean(run), "set bigint, n bigint, shingles array<bigint>, prefix bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def _links_inside(members: DataFrame, sets: DataFrame) -> DataFrame:
                 one, two = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
 
-    return whole.mapInArrow(run, "a bigint, b bigint")
+    return whole.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _groups(texts: DataFrame, rows: DataFrame, size: int, rounds: int) -> DataFrame:

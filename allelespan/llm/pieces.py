@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
+from allelespan.llm.arrow_columns import remembers
+
 #: The symbol that stands for a space.
 SPACE = "▁"
 _BPE, _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 2, 1, 2, 3, 6
@@ -60,6 +62,9 @@ def vocabulary(model: bytes) -> PieceVocabulary:
     return PieceVocabulary(model)
 
 
+remembers(vocabulary.cache_clear)
+
+
 def ship_model(spark: SparkSession, model_path: str):
     """The model file as a broadcast value: half a megabyte for 32,000 pieces."""
     with open(model_path, "rb") as file:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import append_columns
+from allelespan.llm.arrow_columns import append_columns, remembers
 from allelespan.llm.pieces import PieceVocabulary, Remembered, ship_model, vocabulary
 
 codecs.register_error("one-mark-per-byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -106,6 +106,9 @@ def _encoder(model: bytes) -> tuple[PieceVocabulary, Remembered]:
     return vocab, Remembered(lambda part: np.array(encoder.encode(part), dtype=np.int32).tobytes(), 250_000)
 
 
+remembers(_encoder.cache_clear)
+
+
 def _id_lists(texts: pa.Array, model: bytes) -> pa.ListArray:
     vocab, known = _encoder(model)
     rows = [b"".join(map(known.__getitem__, vocab.parts(t))) for t in pc.fill_null(texts, "").to_pylist()]

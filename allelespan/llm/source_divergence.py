@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import expand, let_workers_import
+from allelespan.llm.arrow_columns import expand, lean, let_workers_import
 from allelespan.llm.linking import written
 from allelespan.llm.word_hashes import LETTERS_FOLDED, Words, beginnings, cut_words, mix
 from allelespan.operators.sizing import top_per_group
@@ -35,6 +35,7 @@ _ROWS = 512
 _PAIRS_AT_ONCE = 1 << 20
 #: Rows that a task gathers before it hands on their sums; bounds what a Python worker holds.
 _HELD_ROWS = 1 << 20
+_SENT_ROWS = 1 << 16
 
 
 def _documents(documents: DataFrame, lang: str, source: str, text: str) -> DataFrame:
@@ -129,9 +130,10 @@ def _prefix_counts(docs: DataFrame, size: int, before: int | None, known) -> Dat
 
     def run(batches):
         for keys, (rows,), _, _ in _combined(counted(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rows)], names=["key", "docs"])
+            made = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rows)], names=["key", "docs"])
+            yield from (made.slice(start, _SENT_ROWS) for start in range(0, len(rows), _SENT_ROWS))
 
-    return docs.select("lang", "text").mapInArrow(run, "key bigint, docs bigint").groupBy("key").agg(F.sum("docs").alias("docs"))
+    return docs.select("lang", "text").mapInArrow(lean(run), "key bigint, docs bigint").groupBy("key").agg(F.sum("docs").alias("docs"))
 
 
 def surviving_terms(docs: DataFrame, least: int, bits: int) -> Survivors:
@@ -186,9 +188,10 @@ def kept_terms(documents: DataFrame, *, least: int = 3, bits: int = 25, lang: st
             group = pa.array(np.concatenate([g for g, _ in others])[place])
             terms = pa.concat_arrays([t for _, t in others]).take(pa.array(place)).cast(pa.string())
             names = [pa.array([pair[k] for pair in codes], pa.string()).take(group) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*names, terms, pa.array(rows), pa.array(counts)], names=["lang", "source", "term", "docs", "count"])
+            made = pa.RecordBatch.from_arrays([*names, terms, pa.array(rows), pa.array(counts)], names=["lang", "source", "term", "docs", "count"])
+            yield from (made.slice(start, _SENT_ROWS) for start in range(0, len(rows), _SENT_ROWS))
 
-    found = docs.mapInArrow(run, "lang string, source string, term string, docs bigint, count bigint")
+    found = docs.mapInArrow(lean(run), "lang string, source string, term string, docs bigint, count bigint")
     # tasks have summed already; spread by term, one shuffle serves the sums by source and by language
     by_source = found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
     by_term = by_source.groupBy("lang", "term").agg(
@@ -286,7 +289,7 @@ def _partial_sums(kept: DataFrame, groups: list) -> DataFrame:
         columns = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(values), pa.array(np.full(len(values), joint))]
         return pa.RecordBatch.from_arrays(columns, names=["a", "b", "value", "joint"])
 
-    sums = kept.select("lang", "used").mapInArrow(run, "a bigint, b bigint, value bigint, joint boolean")
+    sums = kept.select("lang", "used").mapInArrow(lean(run), "a bigint, b bigint, value bigint, joint boolean")
     return written(sums.groupBy("a", "b", "joint").agg(F.sum("value").alias("value")))
 
 

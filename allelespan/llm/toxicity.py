@@ -5,8 +5,8 @@ text that names a group gets a counterfactual in which each group term is swappe
 list, and training penalises the squared change of the score between the two. A neutral mention of a group that the labels happen
 to pair with toxicity then doesn't raise the score.
 
-The classifier is fitted on at most ``max_rows`` labelled texts, those with the smallest hashes of their ids; scoring
-is one map over whole texts.
+The classifier is fitted on at most ``max_rows`` labelled texts, those with the smallest hashes of their ids. Their features are counted by Spark, and
+only the numbers of at most ``max_features`` chosen ones reach the driver, however long the texts are; scoring is one map over whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import append_columns
+from allelespan.llm.arrow_columns import append_columns, lean, let_workers_import
+from allelespan.llm.linking import written
 from allelespan.llm.word_hashes import ALNUM_FOLDED, Words, cut_words, mix, powers
 
 #: Group terms by list; a term is swapped for another of its own list.
@@ -101,53 +102,43 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30)))
 
 
-def _matrix(rows: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the features that each row has."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    values = np.concatenate([np.zeros(0, dtype=np.uint64), *rows])
-    place = np.minimum(np.searchsorted(features, values), max(len(features) - 1, 0))
-    same = features[place] == values if len(features) else np.zeros(len(values), dtype=bool)
-    return owner[same], place[same]
-
-
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.ndarray]], *, max_features: int, swap_penalty: float, l2: float = 1e-5, rounds: int = 300) -> Classifier:
-    """Fit by full-batch gradient steps. ``swapped`` pairs a row's number with its counterfactual's features."""
-    labels = labels.astype(np.float64)
-    n, positives = len(rows), labels.sum()
-    if not n or positives in (0, n):
-        return Classifier(np.zeros(0, dtype=np.uint64), np.zeros(0), 4.0 if n and positives else -4.0)
-    values = np.concatenate(rows)
-    weight = np.repeat(labels, [len(r) for r in rows])
-    unique, place = np.unique(values, return_inverse=True)
-    seen = np.bincount(place)
-    toxic = np.bincount(place, weights=weight)
-    rate = positives / n
-    deviation = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 0.25)
-    deviation[seen < 2] = 0
-    chosen = np.argsort(-np.abs(deviation), kind="stable")[:max_features]
-    features = np.sort(unique[chosen[np.abs(deviation[chosen]) > 2]])
-    groups = np.concatenate([np.zeros(0, dtype=np.uint64), *(x for _, x in swapped)])
-    features = np.unique(np.concatenate([features, np.intersect1d(unique, groups)])) if swapped else features
-    row, column = _matrix(rows, features)
-    pair_row, pair_column = _matrix([x for _, x in swapped], features)
-    own_row, own_column = _matrix([rows[i] for i, _ in swapped], features)
+def _columns_of(rows: list[np.ndarray], features: np.ndarray) -> list[np.ndarray]:
+    """The places in the sorted ``features`` of those that each row has."""
+    found = []
+    for values in rows:
+        place = np.minimum(np.searchsorted(features, values), max(len(features) - 1, 0))
+        found.append(place[features[place] == values] if len(features) else place[:0])
+    return found
+
+
+def _cells(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of a sparse 0/1 matrix from the columns of each row."""
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, dtype=np.int64), *rows])
+
+
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.ndarray]], width: int, *, swap_penalty: float, l2: float = 1e-5, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """(weights, bias) of ``width`` columns by full-batch gradient steps. ``swapped`` pairs a row's number with its counterfactual's columns."""
+    n, rate = len(rows), labels.mean()
+    row, column = _cells(rows)
+    pair_row, pair_column = _cells([x for _, x in swapped])
+    own_row, own_column = _cells([rows[i] for i, _ in swapped])
     d_row, d_column = np.concatenate([own_row, pair_row]), np.concatenate([own_column, pair_column])
     d_sign = np.concatenate([np.ones(len(own_row)), -np.ones(len(pair_row))])
-    w, bias = np.zeros(len(features)), float(np.log(rate / (1 - rate)))
-    moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, bias = np.zeros(width), float(np.log(rate / (1 - rate)))
+    moment, square = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weights=w[column], minlength=n), -30, 30)))
         gap = (p - labels) / n
-        slope = np.bincount(column, weights=gap[row], minlength=len(w)) + l2 * w
+        slope = np.bincount(column, weights=gap[row], minlength=width) + l2 * w
         if len(swapped):
             change = np.bincount(d_row, weights=d_sign * w[d_column], minlength=len(swapped))
-            slope += 2 * swap_penalty / n * np.bincount(d_column, weights=d_sign * change[d_row], minlength=len(w))
+            slope += 2 * swap_penalty / n * np.bincount(d_column, weights=d_sign * change[d_row], minlength=width)
         step = np.append(slope, gap.sum())
         moment = 0.9 * moment + 0.1 * step
         square = 0.999 * square + 0.001 * step**2
         move = 0.1 * moment / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Classifier(features, w, float(bias))
+    return w, float(bias)
 
 
 def held_out(doc_id: str):
@@ -155,33 +146,72 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 5_000, max_features: int = 4096, swap_penalty: float = 1.0) -> Classifier:
+def _both_features(whole: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    """Features of each text, and of its counterfactual if it names a group."""
+    swaps = [swap_groups(t) for t in whole.fill_null("").to_pylist()]
+    named = iter(_features_of(pa.array([s for s in swaps if s is not None], pa.string())))
+    return _features_of(whole), [None if s is None else next(named) for s in swaps]
+
+
+def _feature_counts(texts: DataFrame) -> DataFrame:
+    """(feature, seen, toxic, named): texts that have each feature, the toxic ones among them, and whether a swap of groups changes it."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                rows, swaps = _both_features(part.column("text"))
+                changed = [np.setxor1d(a, b) for a, b in zip(rows, swaps) if b is not None]
+                values = np.concatenate([np.zeros(0, dtype=np.uint64), *rows])
+                weights = np.repeat(part.column("toxic").to_numpy(), [len(r) for r in rows])
+                feature, place = np.unique(values, return_inverse=True)
+                named = np.isin(feature, np.concatenate([np.zeros(0, dtype=np.uint64), *changed]))
+                columns = [feature.view(np.int64), np.bincount(place, minlength=len(feature)), np.bincount(place, weights, len(feature)).astype(np.int64), named]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "seen", "toxic", "named"])
+
+    counts = texts.select("text", "toxic").mapInArrow(lean(run), "feature bigint, seen bigint, toxic bigint, named boolean")
+    return counts.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"), F.max("named").alias("named"))
+
+
+def _chosen_features(texts: DataFrame, rows: int, positives: int, most: int) -> np.ndarray:
+    """The ``most`` features that lean most to one label, seen twice or more, and those that a swap of groups changes, ``most`` at most."""
+    rate = positives / rows
+    lean = F.abs((F.col("toxic") - F.col("seen") * rate) / F.sqrt(F.col("seen") * rate * (1 - rate) + 0.25))
+    counts = written(_feature_counts(texts).withColumn("lean", lean).filter("named OR (seen > 1 AND lean > 2)"))
+    leaning = counts.filter("seen > 1 AND lean > 2").orderBy(F.col("lean").desc(), "feature").limit(most)
+    named = counts.filter("named").orderBy(F.col("seen").desc(), "feature").limit(most)
+    return np.unique(leaning.select("feature").union(named.select("feature")).toArrow()["feature"].to_numpy().view(np.uint64))
+
+
+def fit(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, max_features: int = 4096, swap_penalty: float = 1.0) -> Classifier:
     """Fit on at most ``max_rows`` labelled texts outside the held-out fifth.
 
-    Null labels and null ids are left out. An id with several labels counts as toxic if one of them is. Without labelled
-    texts, or with labels of one kind only, the classifier gives every text the same score.
+    Null labels and null ids are left out. An id with several labels counts as toxic if one of them is; of several texts of an id the
+    smallest one counts. Without labelled texts, or with labels of one kind only, the classifier gives every text the same score. The driver
+    holds the columns of at most twice ``max_features`` features for each of ``max_rows`` texts; how long the texts are doesn't matter to it.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).filter(~held_out("id") & F.col("id").isNotNull() & F.col("toxic").isNotNull())
     sample = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id")
-
-    def features(batches):
+    joined = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    let_workers_import(documents.sparkSession)
+    texts = written(joined.groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")))
+    rows, positives = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if positives in (0, rows):
+        return Classifier(np.zeros(0, dtype=np.uint64), np.zeros(0), 4.0 if positives else -4.0)
+    features = _chosen_features(texts, rows, positives, max_features)
+    shared = documents.sparkSession.sparkContext.broadcast(features)
+
+    def columns(batches):
         for (whole,) in batches:
-            swaps = [swap_groups(t) for t in whole.fill_null("").to_pylist()]
-            named = iter(_features_of(pa.array([s for s in swaps if s is not None], pa.string())))
-            lists = _features_of(whole)
-            yield [
-                pa.array([x.tobytes() for x in lists], pa.binary()),
-                pa.array([None if s is None else next(named).tobytes() for s in swaps], pa.binary()),
-            ]
-
-    found = append_columns(texts, ["text"], "own binary, swapped binary", features).select("id", "toxic", "own", "swapped").toArrow()
-    order = np.lexsort((found["own"].to_numpy(), found["id"].to_numpy())) if len(found) else np.zeros(0, dtype=int)
-    own = found["own"].to_pylist()
-    rows = [np.frombuffer(own[i], dtype=np.uint64) for i in order]
-    swaps = found["swapped"].to_pylist()
-    pairs = [(k, np.frombuffer(swaps[i], dtype=np.uint64)) for k, i in enumerate(order) if swaps[i] is not None]
-    return fit_rows(rows, np.array(found["toxic"].to_pylist())[order] if len(found) else np.zeros(0), pairs, max_features=max_features, swap_penalty=swap_penalty)
+            own, swaps = _both_features(whole)
+            other = [None if s is None else _columns_of([s], shared.value)[0].tolist() for s in swaps]
+            yield [pa.array([c.tolist() for c in _columns_of(own, shared.value)], pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))]
+
+    found = append_columns(texts, ["text"], "own array<int>, swapped array<int>", columns).select("id", "toxic", "own", "swapped").toArrow().sort_by("id")
+    lists = {name: [None if x is None else np.array(x, dtype=np.int64) for x in found[name].to_pylist()] for name in ("own", "swapped")}
+    pairs = [(k, x) for k, x in enumerate(lists["swapped"]) if x is not None]
+    weights, bias = fit_weights(lists["own"], found["toxic"].to_numpy().astype(float), pairs, len(features), swap_penalty=swap_penalty)
+    return Classifier(features, weights, bias)
 
 
 def score(documents: DataFrame, classifier: Classifier, *, text: str = "text", into: str = "score") -> DataFrame:
