@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from allelespan.functions.clinical import is_suppressed, matches_significance, spaced
 from allelespan.functions.contigs import RSID_PATTERN, bare_chrom, check_rsid, parse_region
 from allelespan.operators.intervals import inside_any, within_intervals
-from allelespan.operators.sizing import left_join_nullable
+from allelespan.operators.sizing import left_join_nullable, pin_if_small, range_predicate
 from allelespan.schemas import GENOME_BUCKETS
 from allelespan.session import local_table
 
@@ -30,10 +30,22 @@ def in_region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     return df.filter((F.col("chrom") == bare_chrom(chrom)) & F.col("pos").between(start, end))
 
 
-def overlapping_region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    """Rows whose reference allele touches the interval, as an indexed file fetch returns them."""
+def overlapping_region(df: DataFrame, chrom: str, start: int, end: int, spans: DataFrame | None = None) -> DataFrame:
+    """Rows whose reference allele touches the interval, as an indexed file fetch returns them.
+
+    ``spans`` is the table's summary (``intervals.longest_spans``). With it only the stretches from which a record can reach the interval are
+    scanned; without it everything of the chromosome up to the interval's end. The rows are the same.
+    """
     last = F.col("pos") + F.length("ref") - 1
-    return df.filter((F.col("chrom") == bare_chrom(chrom)) & (F.col("pos") <= end) & (last >= start))
+    rows = df.filter((F.col("chrom") == bare_chrom(chrom)) & (F.col("pos") <= end) & (last >= start))
+    if spans is None:
+        return rows
+    reaching = (F.col("first_pos") <= end) & (F.col("last_pos") + F.col("longest") > start)
+    pinned = pin_if_small(spans.filter((F.col("chrom") == bare_chrom(chrom)) & reaching))
+    if pinned is None:
+        return rows
+    stretches = [(max(bin.first_pos, start - bin.longest + 1), min(bin.last_pos, end)) for bin in pinned.rows]
+    return rows.filter(range_predicate([(low, high) for low, high in stretches if low <= high]))
 
 
 def in_regions(df: DataFrame, regions: Sequence[str], labelled: bool = False) -> DataFrame:

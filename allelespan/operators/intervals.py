@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENE_PADDING = 2_000
@@ -16,28 +16,70 @@ def padded_genes(genes: DataFrame, padding: int = GENE_PADDING) -> DataFrame:
 
 
 def _bin(position: Column, size: int) -> Column:
-    return F.floor(position / size)
+    return F.call_function("div", position, F.lit(size).cast("bigint"))
 
 
-def _listed(intervals: DataFrame, size: int) -> DataFrame:
-    """Intervals, once for each position bin they touch."""
-    return intervals.withColumn("_bin", F.explode(F.sequence(_bin(F.col("start_pos"), size), _bin(F.col("end_pos"), size))))
+def _level_sizes(smallest: int) -> list[int]:
+    """Bin sizes of the levels, each eight times the one before; the last level is one bin for every position."""
+    return [*(smallest * 8**k for k in range(8)), 2**62]
+
+
+def _placed(intervals: DataFrame, smallest: int) -> DataFrame:
+    """Intervals with the one bin of the smallest level that holds them whole; reversed ones are left out."""
+    sizes = _level_sizes(smallest)
+    level = F.coalesce(*[F.when(_bin(F.col("start_pos"), size) == _bin(F.col("end_pos"), size), k) for k, size in enumerate(sizes)])
+    placed = intervals.filter("start_pos <= end_pos").withColumn("_level", level)
+    bins = F.coalesce(*[F.when(F.col("_level") == k, _bin(F.col("start_pos"), size)) for k, size in enumerate(sizes)])
+    return placed.withColumn("_bin", bins)
+
+
+def _asking(variants: DataFrame, placed: DataFrame, smallest: int) -> DataFrame:
+    """Variants, once for each level that some interval lies on, with their bin there."""
+    used = sorted(row[0] for row in placed.select("_level").distinct().collect())  # at most nine levels
+    sizes = _level_sizes(smallest)
+    bins = [F.struct(F.lit(k).alias("_level"), _bin(F.col("pos"), sizes[k]).alias("_bin")) for k in used]
+    if len(bins) == 1:
+        return variants.withColumn("_level", bins[0]["_level"]).withColumn("_bin", bins[0]["_bin"])
+    asked = variants.withColumn("_ask", F.explode(F.array(*bins) if bins else F.lit(None).cast("array<struct<_level:int,_bin:bigint>>")))
+    return asked.withColumn("_level", F.col("_ask._level")).withColumn("_bin", F.col("_ask._bin")).drop("_ask")
 
 
 def within_intervals(variants: DataFrame, intervals: DataFrame, bin_size: int = INTERVAL_BIN) -> DataFrame:
     """Each variant with every interval of ``intervals(..., chrom, start_pos, end_pos)`` that contains it.
 
-    A position has one bin, so the join is an equality on (chrom, bin) and gives each pair once.
+    Bins form levels, the smallest of ``bin_size`` positions and each next one eight times as large. An interval, of whatever length, lies in one bin of
+    one level and is never repeated; a position asks one bin on each level in use. The join is an equality on (chrom, level, bin)
+    and gives each pair once.
     """
-    placed = variants.withColumn("_bin", _bin(F.col("pos"), bin_size))
-    pairs = placed.join(_listed(intervals, bin_size), ["chrom", "_bin"])
-    return pairs.filter(F.col("pos").between(F.col("start_pos"), F.col("end_pos"))).drop("_bin")
+    placed = _placed(intervals, bin_size)
+    pairs = _asking(variants, placed, bin_size).join(placed, ["chrom", "_level", "_bin"])
+    return pairs.filter(F.col("pos").between(F.col("start_pos"), F.col("end_pos"))).drop("_level", "_bin")
+
+
+def merged_intervals(intervals: DataFrame) -> DataFrame:
+    """(chrom, start_pos, end_pos) of disjoint intervals that cover the same positions; sorted by chromosome, so meant for lookups."""
+    by_start = Window.partitionBy("chrom").orderBy("start_pos", "end_pos")
+    before = F.max("end_pos").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    rows = intervals.filter("start_pos <= end_pos").select("chrom", "start_pos", "end_pos")
+    marked = rows.withColumn("_opens", (F.coalesce(before, F.lit(-1)) < F.col("start_pos")).cast("int"))
+    grouped = marked.withColumn("_group", F.sum("_opens").over(by_start))
+    return grouped.groupBy("chrom", "_group").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_group")
 
 
 def inside_any(variants: DataFrame, intervals: DataFrame, bin_size: int = INTERVAL_BIN) -> DataFrame:
     """Variants that lie in at least one interval, each as often as it occurs."""
-    placed = variants.withColumn("_bin", _bin(F.col("pos"), bin_size)).alias("v")
-    listed = _listed(intervals.select("chrom", "start_pos", "end_pos"), bin_size).alias("i")
-    same_bin = (F.col("v.chrom") == F.col("i.chrom")) & (F.col("v._bin") == F.col("i._bin"))
-    inside = F.col("v.pos").between(F.col("i.start_pos"), F.col("i.end_pos"))
-    return placed.join(listed, same_bin & inside, "left_semi").drop("_bin")
+    return within_intervals(variants, merged_intervals(intervals), bin_size).drop("start_pos", "end_pos").select(variants.columns)
+
+
+# Positions of one row of a span summary.
+SPAN_BIN = 1 << 20
+
+
+def longest_spans(sites: DataFrame, bin_size: int = SPAN_BIN) -> DataFrame:
+    """(chrom, first_pos, last_pos, longest): the longest reference allele among the records of each position bin.
+
+    A genome has a few thousand bins, whatever the number of records and genomes.
+    """
+    binned = sites.groupBy("chrom", _bin(F.col("pos"), bin_size).alias("_bin")).agg(F.max(F.length("ref")).cast("bigint").alias("longest"))
+    first = F.col("_bin") * bin_size
+    return binned.select("chrom", first.alias("first_pos"), (first + bin_size - 1).alias("last_pos"), "longest")

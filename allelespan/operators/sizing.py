@@ -56,6 +56,26 @@ def site_predicate(rows: list[Row], ranges: int = 64) -> Column:
     return reduce(lambda left, right: left | right, tests)
 
 
+def range_predicate(ranges: list[tuple[int, int]], most: int = 64) -> Column:
+    """Filter for ``pos`` in any of the ranges; beyond ``most`` of them the smallest gaps are closed."""
+    joined: list[list[int]] = []
+    for low, high in sorted(ranges):
+        if joined and low <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    if not joined:
+        return F.lit(False)
+    gaps = sorted(((b[0] - a[1], k) for k, (a, b) in enumerate(zip(joined, joined[1:]))), reverse=True)
+    opened = {k for _, k in gaps[: most - 1]}
+    tests, start = [], 0
+    for k in range(len(joined)):
+        if k + 1 == len(joined) or k in opened:
+            tests.append(F.col("pos").between(joined[start][0], joined[k][1]))
+            start = k + 1
+    return reduce(lambda left, right: left | right, tests)
+
+
 def interval_predicate(rows: list[Row]) -> Column:
     """Filter for the ``chrom, start_pos, end_pos`` intervals of pinned rows, pushed to the scan."""
     tests = [(F.col("chrom") == row.chrom) & F.col("pos").between(row.start_pos, row.end_pos) for row in rows]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from allelespan.operators.filters import genome_bucket
+from allelespan.operators.intervals import longest_spans
 from allelespan.schemas import LAYERS, SITE_KEY
 
 
@@ -32,6 +33,19 @@ def write_sites(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _site_writer(df).mode(mode).parquet(path)
 
 
+# A summary beside the data files of a site table; readers of the table skip names that begin with an underscore.
+SPANS = "_spans"
+
+
+def write_spans(spark: SparkSession, path: str) -> None:
+    """Store the span summary of the site table at ``path``, from one pass over two of its columns.
+
+    It belongs to the rows as they are now: write it again whenever they change.
+    """
+    sites = spark.read.parquet(path).select(F.col("chrom").cast("string").alias("chrom"), "pos", "ref")
+    longest_spans(sites).coalesce(1).write.mode("overwrite").parquet(f"{path}/{SPANS}")
+
+
 def replace_chromosomes(df: DataFrame, path: str) -> None:
     """Overwrite only the chromosomes present in ``df``."""
     _site_writer(df).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

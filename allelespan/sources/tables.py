@@ -207,3 +207,8 @@ def read_sites(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return rows.withColumn("chrom", F.col("chrom").cast("string")).select(
         *[name for name in SITE_KEY if name in rows.columns], *[name for name in rows.columns if name not in SITE_KEY]
     )
+
+
+def read_spans(spark: SparkSession, path: str) -> DataFrame:
+    """The span summary that ``sinks.write_spans`` stored beside a site table."""
+    return spark.read.parquet(f"{path}/_spans")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import accession_table
 from allelespan.operators import filters, reference_builds
+from allelespan.operators.intervals import within_intervals
 from allelespan.sources import sinks, tables, vcf
 from testbed import texts
 from testbed.registry import Tables, query
@@ -38,7 +39,27 @@ def scan_region(t: Tables) -> DataFrame:
     "SELECT genome, chrom, pos, ref, alt FROM d_calls WHERE chrom = '10' AND pos <= 400000 AND pos + length(ref) - 1 >= 1336",
 )
 def scan_region_overlap(t: Tables) -> DataFrame:
-    return filters.overlapping_region(t.calls, "chr10", 1336, 400000).select("genome", "chrom", "pos", "ref", "alt")
+    path = t.folder()
+    sinks.write_sites(t.calls, path)
+    sinks.write_spans(t.spark, path)
+    calls, spans = tables.read_sites(t.spark, path), tables.read_spans(t.spark, path)
+    return filters.overlapping_region(calls, "chr10", 1336, 400000, spans).select("genome", "chrom", "pos", "ref", "alt")
+
+
+@query(
+    "scan_regions_any_length",
+    """SELECT r.k AS region, c.genome, c.chrom, c.pos, c.ref, c.alt FROM d_calls c
+       JOIN (SELECT l_orderkey * 10 + l_linenumber AS k, cast(1 + l_orderkey % 22 AS varchar) AS chrom, 1 + l_partkey * 37 AS a,
+                    1 + l_partkey * 37 + cast(power(10, 1 + l_linenumber) AS bigint) AS b FROM lineitem WHERE l_quantity > 49) r
+       ON c.chrom = r.chrom AND c.pos BETWEEN r.a AND r.b""",
+)
+def scan_regions_any_length(t: Tables) -> DataFrame:
+    """Intervals from a hundred bases to a hundred million, one row each on the interval side."""
+    spans = t.sql(
+        """SELECT l_orderkey * 10 + l_linenumber AS region, cast(1 + l_orderkey % 22 AS string) AS chrom, cast(1 + l_partkey * 37 AS bigint) AS start_pos,
+                  cast(1 + l_partkey * 37 + power(10, 1 + l_linenumber) AS bigint) AS end_pos FROM lineitem WHERE l_quantity > 49"""
+    )
+    return within_intervals(t.calls, spans).select("region", "genome", "chrom", "pos", "ref", "alt")
 
 
 _REGIONS = ["chr1:1-40000", "chrX:1000-60000", "chrMT:1-900000", "chr1:30000-80000"]

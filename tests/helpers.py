@@ -9,3 +9,19 @@ def rows_of(df):
 def plan_of(df) -> str:
     """The executed plan as text."""
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scanned_rows(df) -> int:
+    """Rows that the file scans of a query put out; runs the query."""
+    df.collect()
+    nodes, output = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if "Scan" in node.nodeName() and "numOutputRows" in str(node.metrics()):
+            output += node.metrics().apply("numOutputRows").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+    return output
