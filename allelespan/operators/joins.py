@@ -84,9 +84,22 @@ def annotate_inner(calls: DataFrame, sites: DataFrame) -> DataFrame:
     return calls.drop("id").join(sites, SITE_KEY)
 
 
-def calls_for_rsids(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str]) -> DataFrame:
+def sites_for_rsids(annotations: DataFrame, rsids: Sequence[str], index: DataFrame | None = None) -> DataFrame:
+    """Annotated sites that carry one of the identifiers.
+
+    ``index(rsid, chrom, pos, ref, alt)`` is sorted by identifier (``sinks.write_identifiers``), so it gives up the places from a few row groups;
+    few places then prune the scan of the position-sorted annotations. Without it, every row group has to be tested.
+    """
+    if index is not None:
+        pinned = pin_if_small(with_rsids(index, rsids).select(*SITE_KEY))
+        if pinned is not None:
+            annotations = annotations.filter(site_predicate(pinned.rows))
+    return with_rsids(annotations, rsids)
+
+
+def calls_for_rsids(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str], index: DataFrame | None = None) -> DataFrame:
     """Annotated calls of the sites that carry one of the identifiers."""
-    return calls_at_sites(calls, with_rsids(annotations, rsids))
+    return calls_at_sites(calls, sites_for_rsids(annotations, rsids, index))
 
 
 def requested_rsids(spark, rsids: Sequence[str]) -> DataFrame:
@@ -95,14 +108,16 @@ def requested_rsids(spark, rsids: Sequence[str]) -> DataFrame:
     return local_table(spark, list(enumerate(unique, 1)), "request_order long, rsid string")
 
 
-def rsid_batch(calls: DataFrame, annotations: DataFrame, rsids: Sequence[str], genomes: Sequence[str] | None = None) -> DataFrame:
+def rsid_batch(
+    calls: DataFrame, annotations: DataFrame, rsids: Sequence[str], genomes: Sequence[str] | None = None, index: DataFrame | None = None
+) -> DataFrame:
     """Every requested identifier with its annotated calls; identifiers without a call give one row of NULLs.
 
     With ``genomes``, every one of them gets a row for each identifier, found or not. The calls of an identifier are
     on the side of the join that can be split, so one identifier over all genomes is no single task.
     """
     request = requested_rsids(calls.sparkSession, rsids)
-    hits = calls_for_rsids(calls, annotations, rsids).join(request, "rsid")
+    hits = calls_for_rsids(calls, annotations, rsids, index).join(request, "rsid")
     keys = ["rsid"]
     if genomes is not None:
         keys = ["rsid", "genome"]
@@ -181,11 +196,7 @@ def star_allele_genotypes(positions: DataFrame, calls: DataFrame, genomes: Seque
     A position without a call keeps its row. Calls are cut to the listed positions before one is chosen
     per position; few positions also prune the scan.
     """
-    places = positions.filter("chrom IS NOT NULL AND pos IS NOT NULL").select("chrom", "pos").distinct()
-    pinned = pin_if_small(places)
-    if pinned is not None:
-        calls, places = calls.filter(site_predicate(pinned.rows)), F.broadcast(pinned.table)
-    at_places = first_calls_at(calls, places)
+    at_places = first_calls_at(calls, positions.filter("chrom IS NOT NULL AND pos IS NOT NULL"))
     called = with_genotype(at_places).select("genome", "chrom", "pos", "genotype")
     report = positions.withColumn("genome", F.explode(F.array(*[F.lit(genome) for genome in genomes])))
     joined = report.join(called, ["genome", "chrom", "pos"], "left")
@@ -207,10 +218,13 @@ def first_calls(calls: DataFrame) -> DataFrame:
 def first_calls_at(calls: DataFrame, places: DataFrame) -> DataFrame:
     """One call per genome at the positions of ``places(chrom, pos)``.
 
-    The rows are spread by genome and position before the choice. Without that, the choice would ride on
-    the join's own spread by position, and a position called in every genome would stay in one task.
+    Few places are pinned: they prune the scan of ``calls`` and are broadcast at a known size. The rows are spread by genome and position before
+    the choice. Without that, the choice would ride on the join's own spread by position, and a position called in every genome would stay in one task.
     """
     wanted = places.select("chrom", "pos").distinct()
+    pinned = pin_if_small(wanted)
+    if pinned is not None:
+        calls, wanted = calls.filter(site_predicate(pinned.rows)), F.broadcast(pinned.table)
     return first_calls(calls.join(wanted, ["chrom", "pos"], "left_semi").repartition("genome", "chrom", "pos"))
 
 

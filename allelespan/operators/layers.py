@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelespan.operators.sizing import top_per_group
+from allelespan.operators.sizing import pin_if_small, top_per_group
 from allelespan.schemas import ANNOTATIONS, CLINICAL_COLUMNS, EFFECT_COLUMNS, FREQUENCY_COLUMNS, LAYERS, SITE_KEY
 
 
@@ -98,13 +98,40 @@ def build_annotations(
     )
 
 
+DIGEST_BIN = 1 << 20
+
+
+def _binned(df: DataFrame) -> DataFrame:
+    return df.withColumn("_place", F.xxhash64("chrom", F.floor(F.col("pos") / DIGEST_BIN)))
+
+
+def bin_digests(df: DataFrame) -> DataFrame:
+    """(place, rows, total, mixed) of each position bin: digests of its rows that don't depend on their order."""
+    row = F.xxhash64(*df.columns)
+    grouped = _binned(df).groupBy("_place")
+    return grouped.agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64(row)).alias("mixed"))
+
+
+def differing_bins(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Bins whose digests differ or that only one table has; nothing but digests is shuffled."""
+    both = bin_digests(left).withColumn("_side", F.lit(1)).unionByName(bin_digests(right.select(*left.columns)).withColumn("_side", F.lit(2)))
+    same = (F.count("*") == 2) & (F.min(F.struct("rows", "total", "mixed")) == F.max(F.struct("rows", "total", "mixed")))
+    return both.groupBy("_place").agg(same.alias("_same")).filter(~F.col("_same")).select("_place")
+
+
 def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows found on one side only, with the side's name; empty if both tables hold the same rows.
 
-    Counts copies per side in one grouped pass instead of two set differences.
+    Tables of sites are compared by the digests of their position bins first, and only the rows of differing bins are grouped. Copies are counted per
+    side in one grouped pass instead of two set differences.
     """
     columns = left.columns
-    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*columns).withColumn("_side", F.lit(-1)))
+    right = right.select(*columns)
+    if {"chrom", "pos"} <= set(columns):
+        bins = pin_if_small(differing_bins(left, right))
+        if bins is not None:
+            left, right = (_binned(side).join(F.broadcast(bins.table), "_place", "left_semi").select(*columns) for side in (left, right))
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))
     counted = both.groupBy(*columns).agg(F.sum("_side").alias("_balance")).filter(F.col("_balance") != 0)
     side = F.when(F.col("_balance") > 0, "left").otherwise("right")
     return counted.select(*columns, side.alias("side"), F.abs("_balance").alias("copies"))

@@ -14,7 +14,7 @@ class Cohort:
     """Calls of any number of genomes, their shared annotation table and the lookup tables.
 
     ``genomes`` are the labels a query may name. They are a parameter of the caller, never read off the
-    calls; without them any label is accepted but one has to be given.
+    calls; without them any label is accepted but one has to be given. ``rsid_index`` is the identifier index of the annotations, if there is one.
     """
 
     calls: DataFrame
@@ -26,6 +26,7 @@ class Cohort:
     gwas: DataFrame | None = None
     warning_genes: DataFrame | None = None
     genomes: tuple[str, ...] = field(default=())
+    rsid_index: DataFrame | None = None
 
     def check(self, genome: str | None) -> str:
         """The genome to use; raises ValueError for an unknown or missing choice."""

@@ -25,7 +25,7 @@ def query_variant(
         raise ValueError("give an identifier or a position")
     calls = cohort.calls_of(genome, genome2)
     if rsid:
-        rows = joins.calls_for_rsids(calls, cohort.annotations, [rsid])
+        rows = joins.calls_for_rsids(calls, cohort.annotations, [rsid], cohort.rsid_index)
     else:
         rows = joins.annotate(filters.at_position(calls, position), filters.at_position(cohort.annotations, position))
     flat = joins.flatten_records(joins.variant_records(rows))
@@ -36,7 +36,7 @@ def query_variants(cohort: Cohort, rsids: Sequence[str], genome: str | None = No
     """Every requested identifier, found or not, for one genome or for each of a pair; any number of them."""
     asked = _asked(rsids)
     names = cohort.named(genome, genome2)
-    batch = joins.rsid_batch(cohort.calls_of(genome, genome2), cohort.annotations, asked, None if filters.ALL_GENOMES in names else names)
+    batch = joins.rsid_batch(cohort.calls_of(genome, genome2), cohort.annotations, asked, None if filters.ALL_GENOMES in names else names, cohort.rsid_index)
     shown = with_genotype(batch).select(
         "request_order",
         "rsid",

@@ -46,6 +46,17 @@ def write_spans(spark: SparkSession, path: str) -> None:
     longest_spans(sites).coalesce(1).write.mode("overwrite").parquet(f"{path}/{SPANS}")
 
 
+# The identifier index of a version, beside its data files.
+IDENTIFIERS = "_identifiers"
+
+
+def write_identifiers(annotations: DataFrame, path: str) -> None:
+    """Sites sorted by identifier, so that a lookup reads the row groups of its identifiers only. Rows without one are left out."""
+    rows = annotations.filter(F.col("rsid").isNotNull()).select("rsid", *SITE_KEY)
+    spread = rows.repartitionByRange("rsid", "chrom", "pos").sortWithinPartitions("rsid", "chrom", "pos")
+    spread.write.mode("overwrite").option("parquet.bloom.filter.enabled#rsid", "true").parquet(path)
+
+
 def replace_chromosomes(df: DataFrame, path: str) -> None:
     """Overwrite only the chromosomes present in ``df``."""
     _site_writer(df).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
@@ -82,8 +93,9 @@ def write_tsv(df: DataFrame, path: str, order: list[Column | str]) -> None:
 class LayerStore:
     """Each annotation layer as its own dataset of numbered versions below one folder.
 
-    A version counts only once Spark has committed it (``_SUCCESS``), so a failed refresh leaves
-    readers on the version before. Refreshing or clearing one layer never rewrites another.
+    A writer first claims its number by creating a file that must not exist, so two writers never share a version. A version counts only once Spark has
+    committed it (``_SUCCESS``), so a failed refresh leaves readers on the version before. Refreshing or clearing one layer never
+    rewrites another. A layer with identifiers gets its index in the same version, written before the version counts.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -95,37 +107,73 @@ class LayerStore:
             raise ValueError(f"unknown annotation layer: {layer!r}")
         return layer
 
+    def _path(self, *names: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *names)))
+
     def _folder(self, layer: str):
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{layer}")
+        folder = self._path(layer)
         return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self, layer: str) -> list[int]:
-        """Committed versions, oldest first."""
+    def _claimed(self, layer: str) -> list[int]:
         folder, files = self._folder(self._check(layer))
         if not files.exists(folder):
             return []
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         names = [status.getPath().getName() for status in files.listStatus(folder)]
-        numbers = sorted(int(name.removeprefix("v=")) for name in names if name.startswith("v="))
-        return [number for number in numbers if files.exists(path(f"{self.root}/{layer}/v={number}/_SUCCESS"))]
+        return sorted(int(name.removeprefix("v=")) for name in names if name.startswith("v="))
 
-    def write(self, layer: str, df: DataFrame) -> int:
-        """Write the next version and return its number."""
-        done = self.versions(layer)
-        number = (done[-1] + 1) if done else 1
-        write_sites(df, f"{self.root}/{layer}/v={number}")
+    def versions(self, layer: str) -> list[int]:
+        """Committed versions, oldest first."""
+        _, files = self._folder(layer)
+        return [number for number in self._claimed(layer) if files.exists(self._path(layer, f"v={number}", "_SUCCESS"))]
+
+    def claim(self, layer: str) -> int:
+        """A version number of one's own: the claim file is created only if nobody has it, otherwise the next number is tried."""
+        taken = self._claimed(layer)
+        number, (_, files) = (taken[-1] if taken else 0) + 1, self._folder(layer)
+        while not files.createNewFile(self._path(layer, f"v={number}", "_claim")):
+            number += 1
         return number
 
-    def read(self, layer: str) -> DataFrame | None:
-        """Latest committed version; None for a layer that was never written or has been cleared."""
+    def write(self, layer: str, df: DataFrame, number: int | None = None, keep: int | None = None) -> int:
+        """Write the next version, or a claimed one, and return its number; with ``keep`` only that many committed versions stay."""
+        if keep is not None and keep < 1:
+            raise ValueError("at least one version has to be kept")
+        number = self.claim(layer) if number is None else number
+        path, (_, files) = f"{self.root}/{layer}/v={number}", self._folder(layer)
+        try:
+            if "rsid" in df.columns:
+                write_identifiers(df, f"{path}/{IDENTIFIERS}")
+            write_sites(df, path, mode="append")
+        except Exception:
+            files.delete(self._path(layer, f"v={number}"), True)  # its own claim, never committed
+            raise
+        if keep is not None:
+            for old in self.versions(layer)[:-keep]:
+                files.delete(self._path(layer, f"v={old}"), True)
+        return number
+
+    def _version(self, layer: str, version: int | None) -> str | None:
         done = self.versions(layer)
-        if not done:
+        if version is not None and version not in done:
+            raise ValueError(f"version {version} of {layer!r} has not been committed")
+        return f"{self.root}/{layer}/v={version or done[-1]}" if done else None
+
+    def read(self, layer: str, version: int | None = None) -> DataFrame | None:
+        """Latest committed version, or the named one; None for a layer that was never written or has been cleared."""
+        path = self._version(layer, version)
+        if path is None:
             return None
-        rows = self.spark.read.parquet(f"{self.root}/{layer}/v={done[-1]}")
+        rows = self.spark.read.parquet(path)
         others = [name for name in rows.columns if name not in SITE_KEY]
         return rows.select(F.col("chrom").cast("string").alias("chrom"), *SITE_KEY[1:], *others)
 
+    def identifiers(self, layer: str, version: int | None = None) -> DataFrame | None:
+        """The identifier index of that version; None if the layer has no version or no identifiers."""
+        path = self._version(layer, version)
+        if path is None or "rsid" not in self.spark.read.parquet(path).columns:
+            return None
+        return self.spark.read.parquet(f"{path}/{IDENTIFIERS}")
+
     def clear(self, layer: str) -> None:
         """Drop a layer; the site table itself cannot be cleared."""
         if layer not in LAYERS:

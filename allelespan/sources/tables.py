@@ -34,6 +34,7 @@ GWAS_PLACES = {
     "study_accession": 36,
 }
 GWAS_MIN_COLUMNS = 35
+QUOTED_CELL = '\t("(?:[^"]++|"")*+"(?=\t|$)|[^\t]*+)'
 
 
 def read_seed(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -54,9 +55,11 @@ def read_seed(spark: SparkSession, path: str, table: str) -> DataFrame:
 def read_gwas_rows(spark: SparkSession, path: str) -> DataFrame:
     """Raw association rows as text cells, with a ``loaded`` mark that is false for malformed ones.
 
-    The catalogue's header repeats no names but is addressed by place, so the rows are split as text.
+    The catalogue's header repeats no names but is addressed by place, so the rows are split as text. A tab inside a quoted cell
+    belongs to the cell; a quote that is never closed is an ordinary character.
     """
-    cells = F.split("value", "\t")
+    # every cell begins with the tab before it, so that no match is empty
+    cells = F.regexp_extract_all(F.concat(F.lit("\t"), F.col("value")), F.lit(QUOTED_CELL), 1)
     rows = spark.read.text(path).filter(~F.col("value").startswith("DATE ADDED TO CATALOG\t")).select(cells.alias("cells"))
     trait = F.trim(F.get("cells", F.lit(GWAS_PLACES["trait"])))
     return rows.withColumn("loaded", (F.size("cells") >= GWAS_MIN_COLUMNS) & (F.coalesce(trait, F.lit("")) != ""))

@@ -27,6 +27,16 @@ def _record_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.col("value").startswith("#"))
 
 
+def _has_place(cells: Column) -> Column:
+    return F.coalesce(_column(cells, 1).try_cast("bigint").isNotNull(), F.lit(False))
+
+
+def mark_records(lines: DataFrame) -> DataFrame:
+    """Record lines with ``loaded``: false for lines of fewer than eight columns or whose position is no number, which the parsers leave out."""
+    cells = F.split("value", "\t", 9)
+    return _record_lines(lines).withColumn("loaded", (F.size(cells) >= 8) & _has_place(cells))
+
+
 def _column(cells: Column, index: int) -> Column:
     return F.get(cells, F.lit(index))
 
@@ -34,7 +44,7 @@ def _column(cells: Column, index: int) -> Column:
 def parse_vcf(lines: DataFrame, info_fields: list[str] = (), contig_names: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Records with typed key, identifier and the asked INFO fields.
 
-    Headers and lines with fewer than eight columns are skipped, ``.`` as identifier is NULL.
+    Headers, lines with fewer than eight columns and lines whose position is no number are skipped, ``.`` as identifier is NULL.
     ``contig_names(contig, new_name)`` maps accessions to chromosome names. Sample columns are
     not split at all. Columns of ``lines`` in ``keep`` stay with their records.
     """
@@ -46,9 +56,11 @@ def parse_vcf(lines: DataFrame, info_fields: list[str] = (), contig_names: DataF
             contig_names.select(F.col("contig").alias("_contig"), "new_name"), "_contig", "left"
         )
         contig = F.coalesce("new_name", "_contig")
+    # a position that is no number makes no record; ``mark_records`` tells them
+    records = records.filter(_has_place(cells))
     return records.select(
         normalize_chrom(contig).alias("chrom"),
-        _column(cells, 1).cast("bigint").alias("pos"),
+        _column(cells, 1).try_cast("bigint").alias("pos"),
         _column(cells, 3).alias("ref"),
         _column(cells, 4).alias("alt"),
         F.nullif(_column(cells, 2), F.lit(".")).alias("rsid"),
@@ -74,7 +86,7 @@ def _small_names(names: DataFrame) -> DataFrame:
 def _typed_call(cells: Column, sample_cell: Column) -> list[Column]:
     return [
         normalize_chrom(_column(cells, 0)).alias("chrom"),
-        _column(cells, 1).cast("bigint").alias("pos"),
+        _column(cells, 1).try_cast("bigint").alias("pos"),
         F.nullif(_column(cells, 2), F.lit(".")).alias("id"),
         _column(cells, 3).alias("ref"),
         _column(cells, 4).alias("alt"),
@@ -82,6 +94,11 @@ def _typed_call(cells: Column, sample_cell: Column) -> list[Column]:
     ]
 
 
+def _sample_cells() -> Column:
+    """The cells after the ninth; none on a short line, whose length Spark may ask for before it drops the line."""
+    return F.slice("cells", F.lit(10), F.greatest(F.size("cells") - 9, F.lit(0)))
+
+
 def parse_calls(lines: DataFrame) -> DataFrame:
     """All samples: one row per (genome, site). The genome is the sample name in the file's header.
 
@@ -89,19 +106,30 @@ def parse_calls(lines: DataFrame) -> DataFrame:
     (file, place), so no record ever holds the list of names.
     """
     cells = F.split("value", "\t")
-    records = _record_lines(lines).filter(F.size(cells) >= 10).select("file", cells.alias("cells"))
+    records = _record_lines(lines).filter((F.size(cells) >= 10) & _has_place(cells)).select("file", cells.alias("cells"))
     exploded = records.select(
-        "file", "cells", F.posexplode(F.slice("cells", F.lit(10), F.size("cells") - 9)).alias("sample_index", "sample_cell")
+        "file", "cells", F.posexplode(_sample_cells()).alias("sample_index", "sample_cell")
     ).select("file", "sample_index", *_typed_call(F.col("cells"), F.col("sample_cell")))
     named = exploded.join(_small_names(sample_names(lines)), ["file", "sample_index"])
     return named.select(F.col("sample").alias("genome"), "chrom", "pos", "id", "ref", "alt", "gt")
 
 
+def parse_packed(lines: DataFrame) -> DataFrame:
+    """One row per record: its site and the genotypes of all samples as an array in header order.
+
+    ``sample_names`` gives the names by file and place. A table of this kind stays one row per site however many genomes there are.
+    """
+    cells = F.split("value", "\t")
+    records = _record_lines(lines).filter((F.size(cells) >= 10) & _has_place(cells)).select("file", cells.alias("cells"))
+    genotypes = F.transform(_sample_cells(), lambda cell: F.substring_index(cell, ":", 1))
+    return records.select("file", *_typed_call(F.col("cells"), F.lit(""))[:-1], genotypes.alias("gts"))
+
+
 def parse_one_sample(lines: DataFrame, sample: str | None = None) -> DataFrame:
     """One sample per file: the named one, or the first. A file without that sample is an error."""
     cells = F.split("value", "\t")
     picked = _small_names(sample_names(lines).filter(F.col("sample_index") == 0 if sample is None else F.col("sample") == sample))
-    records = _record_lines(lines).filter(F.size(cells) >= 10)
+    records = _record_lines(lines).filter((F.size(cells) >= 10) & _has_place(cells))
     joined = records.join(picked, "file", "left")
     place = F.coalesce("sample_index", F.raise_error(F.lit(f"sample {sample!r} is not in the file")).cast("int"))
     rows = joined.select(F.col("sample").alias("genome"), *_typed_call(cells, F.get(cells, place + F.lit(9))))

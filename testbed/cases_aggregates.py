@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.functions.genotypes import with_genotype
-from allelespan.operators import aggregates, filters, joins, layers, ranking, reference_builds
-from allelespan.sources import tables
+from allelespan.operators import aggregates, filters, joins, layers, packed, ranking, reference_builds
+from allelespan.sources import sinks, tables, vcf
 from testbed import texts
 from testbed.cases_joins import O_STARS, release, _RELEASE
-from testbed.cases_sources import O_PATHOGENIC, O_SEVERE, cpic, gene_names, phenotypes, variant_summary
+from testbed.cases_sources import _SAMPLES, O_PATHOGENIC, O_SEVERE, cpic, gene_names, phenotypes, variant_summary
 from testbed.registry import GENOME_RANK, Tables, query
 
 _KEY = "chrom, pos, ref, alt"
@@ -58,6 +58,24 @@ def agg_prs_score(t: Tables) -> DataFrame:
     return aggregates.polygenic_scores(joins.score_contributions(t.prs, t.calls), t.prs).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "agg_prs_score_packed",
+    f"""WITH first AS (SELECT * FROM ({_SAMPLES}) v QUALIFY row_number() OVER (PARTITION BY genome, chrom, pos ORDER BY ref, alt, gt) = 1),
+        listed AS (SELECT *, list_transform(string_split_regex(gt, '[/|]'), lambda x: coalesce(list_concat([ref], string_split(alt, ','))[try_cast(x AS integer) + 1], '?')) AS alleles FROM first),
+        scored AS (SELECT genome, prs_id, weight, contains(gt, '.') AS missing, CASE WHEN contains(gt, '.') THEN 0 ELSE len(list_filter(alleles, lambda a: a = effect_allele)) END AS dosage
+                   FROM listed JOIN d_prs USING (chrom, pos))
+        SELECT s.genome, s.prs_id, w.trait, round(s.score, 6) AS score, s.found, s.no_call, w.total FROM
+            (SELECT genome, prs_id, sum(dosage * weight) AS score, count(*) AS found, count(*) FILTER (WHERE missing) AS no_call FROM scored GROUP BY genome, prs_id) s
+        JOIN (SELECT prs_id, min(trait) AS trait, count(*) AS total FROM d_prs GROUP BY prs_id) w ON s.prs_id = w.prs_id""",
+)
+def agg_prs_score_packed(t: Tables) -> DataFrame:
+    """Scores from a table with one row per site, for the samples of the three-sample files."""
+    lines, path = vcf.read_vcf_lines(t.spark, texts.sample_files(t)), t.folder()
+    sinks.write_sites(vcf.parse_packed(lines), path)
+    scores = packed.packed_scores(t.prs, tables.read_sites(t.spark, path), vcf.sample_names(lines))
+    return scores.withColumn("score", F.round("score", 6))
+
+
 @query(
     "agg_pathogenic_summary",
     "SELECT genome, count(*) AS calls, count(DISTINCT gene) AS genes FROM o_annotated WHERE contains(lower(clnsig), 'athogenic') GROUP BY genome",

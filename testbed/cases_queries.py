@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.plans import overview, traits, variants
 from allelespan.plans.cohort import ALL_GENOMES
+from allelespan.sources import sinks
 from testbed.cases_joins import _STATUS
 from testbed.registry import GENOME_RANK, Tables, query
 
@@ -33,17 +36,29 @@ _IDS = ["rs50", "rs7", "rs13", "rs100", "rs21", "rs999999999"]
 _IDS_SQL = ", ".join(f"({i}, '{rsid}')" for i, rsid in enumerate(_IDS, 1))
 
 
-@query(
-    "query_variants",
-    f"""SELECT cast(r.o AS bigint) AS request_order, r.rsid, c.genome IS NOT NULL AS found, g.genome, c.chrom, c.pos, c.ref, c.alt, c.display,
+_VARIANTS = f"""SELECT cast(r.o AS bigint) AS request_order, r.rsid, c.genome IS NOT NULL AS found, g.genome, c.chrom, c.pos, c.ref, c.alt, c.display,
                c.gene, c.effect, c.impact, replace(c.clnsig, '_', ' ') AS significance, c.af, coalesce(c.gene IN (SELECT symbol FROM d_warning_genes), false) AS sensitive
         FROM (VALUES {_IDS_SQL}) r(o, rsid) CROSS JOIN (VALUES ('g1'), ('g2')) g(genome)
-        LEFT JOIN (SELECT * FROM o_annotated WHERE ({_KEY}) IN (SELECT {_KEY} FROM d_annotations)) c ON c.rsid = r.rsid AND c.genome = g.genome""",
+        LEFT JOIN (SELECT * FROM o_annotated WHERE ({_KEY}) IN (SELECT {_KEY} FROM d_annotations)) c ON c.rsid = r.rsid AND c.genome = g.genome"""
+
+
+@query(
+    "query_variants",
+    _VARIANTS,
 )
 def query_variants(t: Tables) -> DataFrame:
     return variants.query_variants(t.cohort("g1", "g2"), _IDS, "g1", "g2")
 
 
+@query("query_variants_indexed", _VARIANTS)
+def query_variants_indexed(t: Tables) -> DataFrame:
+    """The same from a stored version of the annotations and the identifier index written with it."""
+    store = sinks.LayerStore(t.spark, t.folder())
+    store.write("sites", t.annotations)
+    cohort = replace(t.cohort("g1", "g2"), annotations=store.read("sites"), rsid_index=store.identifiers("sites"))
+    return variants.query_variants(cohort, _IDS, "g1", "g2")
+
+
 _GENE_COLUMNS = f"genome, symbol, {_KEY}, rsid, display, effect, impact, {_SIG}, af"
 _KEEP = "(impact IS NULL OR impact IN ('HIGH', 'MODERATE')) AND (impact IS NOT NULL OR clnsig IS NOT NULL OR rsid IS NOT NULL)"
 

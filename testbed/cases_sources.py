@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import accession_table
-from allelespan.operators import filters, reference_builds
+from allelespan.operators import filters, packed, reference_builds
 from allelespan.operators.intervals import within_intervals
 from allelespan.sources import sinks, tables, vcf
 from testbed import texts
@@ -86,6 +86,14 @@ def scan_samples(t: Tables) -> DataFrame:
     return vcf.parse_calls(vcf.read_vcf_lines(t.spark, texts.sample_files(t)))
 
 
+@query("scan_samples_packed", _SAMPLES)
+def scan_samples_packed(t: Tables) -> DataFrame:
+    """Stored packed, one row per site, and unpacked again."""
+    lines, path = vcf.read_vcf_lines(t.spark, texts.sample_files(t)), t.folder()
+    sinks.write_sites(vcf.parse_packed(lines), path)
+    return packed.unpack_calls(tables.read_sites(t.spark, path), vcf.sample_names(lines))
+
+
 @query("scan_one_sample", f"SELECT * FROM ({_SAMPLES}) samples WHERE genome = 'S1'")
 def scan_one_sample(t: Tables) -> DataFrame:
     return vcf.parse_one_sample(vcf.read_vcf_lines(t.spark, texts.sample_files(t)), "S1")

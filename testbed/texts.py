@@ -28,8 +28,8 @@ FREQUENCY_INFO = """
 
 
 def with_headers(t: Tables, lines: DataFrame, *extra: str) -> DataFrame:
-    """Lines plus file headers and a record that is too short to count."""
-    head = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO", "1\t17\t.\tA\tC", *extra]
+    """Lines plus file headers a record that is too short to count, and one whose position is no number."""
+    head = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO", "1\t17\t.\tA\tC", "1\tx12\trs1\tA\tC\t.\tPASS\tCLNSIG=x;AF=0.5;ANN=C|x|HIGH|X", *extra]
     return lines.unionByName(local_table(t.spark, [(line,) for line in head], "value string"))
 
 
@@ -76,7 +76,7 @@ def gwas_lines(t: Tables) -> DataFrame:
     """Catalogue rows of 37 columns; every order gives one, and some give a malformed one besides."""
     chrom = "CASE WHEN chrom IN ('X', 'Y', 'MT') THEN chrom ELSE ' ' || chrom END"
     cells = {
-        0: "'2020-01-01'", 1: "pubmed_id", 2: "' ' || first_author", 7: "trait || ' '", 11: chrom, 12: "cast(pos AS string)",
+        0: "'2020-01-01'", 1: "pubmed_id", 2: "' ' || first_author", 7: "trait || ' '", 9: "CASE WHEN k % 7 = 0 THEN '\"two\tcells\"' ELSE '-' END", 11: chrom, 12: "cast(pos AS string)",
         14: "coalesce(mapped_gene, '')", 20: "coalesce(rsid, 'x') || '-' || coalesce(risk_allele, '?')",
         21: "CASE WHEN rsid IS NULL THEN 'chr1:55; kgp7' WHEN k % 3 = 0 THEN 'kgp1; ' || rsid || '-A' ELSE rsid || '; rs0' END",
         26: "coalesce(cast(risk_allele_freq AS string), 'NR')", 27: "coalesce(cast(p_value AS string), 'NS')",
