@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from allelespan.functions.contigs import chrom_rank
 from allelespan.operators.sizing import top_per_group
+from allelespan.session import local_table, shared_folder
 
 
 def significance_order(tie: list[str]) -> list[Column]:
@@ -51,6 +52,30 @@ def sort_by_genome(df: DataFrame, position: str = "start_pos", tie: list[str] =
     return df.orderBy(chrom_rank(F.col("chrom")), position, *tie)
 
 
+def numbered(df: DataFrame, order: list[Column | str], into: str = "place") -> DataFrame:
+    """All rows with their place (from 1) in a stated order, for tables of any size.
+
+    The rows are range-partitioned, sorted and written once, each with its part and its place there; the parts' row counts, one number each, give the
+    offsets. No window gathers the table in one task. ``order`` must leave no ties, or tied rows come in any order.
+    """
+    path = shared_folder(df.sparkSession)
+    placed = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    stored = df.sparkSession.read.schema(placed.schema).parquet(path)
+    counts = sorted(tuple(row) for row in stored.groupBy("_part").agg(F.min("_row"), F.count("*")).collect())  # one row per part
+    offsets, before = [], 0
+    for part, first, rows in counts:
+        offsets.append((part, before - first + 1))
+        before += rows
+    table = F.broadcast(local_table(df.sparkSession, offsets, "_part int, _offset long"))
+    return stored.join(table, "_part").withColumn(into, F.col("_row") + F.col("_offset")).select(*df.columns, into)
+
+
+def star_allele_order() -> list[Column]:
+    """Gene, identifier, star allele, then the place."""
+    return [F.col(name).asc_nulls_first() for name in ("gene", "rsid", "star_allele", "chrom", "pos", "ref", "alt")]
+
+
 def top_weights(weights: DataFrame, n: int) -> DataFrame:
     """The ``n`` largest weights of each score by absolute value."""
     return top_per_group(weights, ["prs_id"], [F.abs("weight").desc(), "chrom", "pos", "rsid", "effect_allele"], n)

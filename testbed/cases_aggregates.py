@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelespan.functions.contigs import chrom_rank
 from allelespan.functions.genotypes import with_genotype
 from allelespan.operators import aggregates, filters, joins, layers, packed, ranking, reference_builds
 from allelespan.sources import sinks, tables, vcf
@@ -277,14 +278,23 @@ def topk_prs_contributions(t: Tables) -> DataFrame:
     return rows.select("genome", "prs_id", "rsid", "dosage", F.round("contribution", 6).alias("contribution"), "rank")
 
 
-@query("sort_genome_order", "SELECT symbol, chrom, start_pos, end_pos FROM d_genes")
+@query(
+    "sort_genome_order",
+    f"""SELECT symbol, chrom, start_pos, end_pos, row_number() OVER (ORDER BY {GENOME_RANK.format('chrom')}, start_pos, symbol) AS place FROM d_genes""",
+)
 def sort_genome_order(t: Tables) -> DataFrame:
-    return ranking.sort_by_genome(t.genes.select("symbol", "chrom", "start_pos", "end_pos"), tie=["symbol"])
+    """Global order, proved by each row's place in the sorted part files."""
+    genes = t.genes.select("symbol", "chrom", "start_pos", "end_pos")
+    return ranking.numbered(genes, [chrom_rank(F.col("chrom")), "start_pos", "symbol"])
 
 
-@query("sort_pgx", "SELECT gene, rsid, star_allele, chrom, pos, function_impact FROM d_pgx_variants")
+@query(
+    "sort_pgx",
+    """SELECT gene, rsid, star_allele, chrom, pos, function_impact, row_number() OVER (
+           ORDER BY gene NULLS FIRST, rsid NULLS FIRST, star_allele NULLS FIRST, chrom NULLS FIRST, pos NULLS FIRST, ref, alt) AS place FROM d_pgx_variants""",
+)
 def sort_pgx(t: Tables) -> DataFrame:
-    return t.pgx_variants.select("gene", "rsid", "star_allele", "chrom", "pos", "function_impact").orderBy("gene", "rsid", "star_allele")
+    return ranking.numbered(t.pgx_variants, ranking.star_allele_order()).select("gene", "rsid", "star_allele", "chrom", "pos", "function_impact", "place")
 
 
 @query(

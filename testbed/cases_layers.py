@@ -126,3 +126,22 @@ def stream_layer_ingest(t: Tables) -> DataFrame:
         deliveries.filter(F.col("priority") == priority).select("value").write.mode("append").text(f"{folder}/landing")
         layer_ingest.start_layer_stream(t.spark, f"{folder}/landing", f"{folder}/store", f"{folder}/checkpoint", vcf.clinical_layer).awaitTermination()
     return layer_ingest.current_layer(t.spark, f"{folder}/store")
+
+
+@query(
+    "stream_layer_compacted",
+    f"""SELECT chrom, pos, ref, alt, 'sig_' || cast(o AS string) AS clnsig, 'batch ' || priority AS clndn, cast(NULL AS string) AS clnrevstat
+        FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority DESC) AS n FROM ({_ARRIVALS}) a) b JOIN d_sites USING (k) WHERE n = 1""",
+)
+def stream_layer_compacted(t: Tables) -> DataFrame:
+    """The same deliveries with a compaction after each; the published version comes from the merged runs and the last increment."""
+    folder = t.folder()
+    info = "'CLNSIG=sig_' || cast(o AS string) || ';CLNDN=batch ' || priority"
+    line = f"concat_ws('\t', 'chr' || chrom, cast(pos AS string), '.', ref, alt, '.', '.', {info})"
+    deliveries = t.sql(f"SELECT {line} AS value, priority FROM ({_ARRIVALS}) a JOIN d_sites USING (k)")
+    layers_store = sinks.LayerStore(t.spark, f"{folder}/layers")
+    for priority in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        deliveries.filter(F.col("priority") == priority).select("value").write.mode("append").text(f"{folder}/landing")
+        layer_ingest.start_layer_stream(t.spark, f"{folder}/landing", f"{folder}/store", f"{folder}/checkpoint", vcf.clinical_layer).awaitTermination()
+        layer_ingest.publish(t.spark, f"{folder}/store", layers_store, "clinvar", fan=2)
+    return layers_store.read("clinvar")

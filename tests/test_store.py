@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from allelespan.operators import joins, layers, packed
+from allelespan.operators import joins, layers, packed, ranking
 from allelespan.sources import sinks, tables, vcf
 from helpers import plan_of, rows_of, scanned_rows
 
@@ -108,3 +108,11 @@ def test_equal_tables_shuffle_digests_only(spark):
     assert got == sorted([("1", 4000, "left", 1), ("1", 7, "right", 2), (None, None, "right", 1)], key=repr)
     assert layers.differing_bins(rows, other).count() == 2  # the null place and the first bin of chromosome 1
     assert layers.differing_rows(rows.limit(0), rows).count() == 50_000
+
+
+def test_places_in_a_sorted_table(spark):
+    rows = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("k"), F.lit("x").alias("place_")).repartition(7)
+    got = ranking.numbered(rows, [F.col("k").desc()])
+    assert got.columns == ["k", "place_", "place"] and all(r.place == 5_000 - r.k for r in got.collect())
+    assert "Window" not in plan_of(got)
+    assert ranking.numbered(rows.limit(0), ["k"]).collect() == []

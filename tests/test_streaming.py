@@ -68,3 +68,43 @@ def test_batches_do_not_change_the_answer(spark, tmp_path):
         assert rows_of(ingest(spark, base, 3)) == results[-1]
     assert results[0] == results[1] == results[2]
     assert results[0][0] == (1, "G", "drug_response") and (3, "G", "last_4") in results[0] and len(results[0]) == 7
+
+
+def increments(spark, store, numbers, sites=40):
+    """Increments as batches write them: each brings newer rows of half of the sites."""
+    for n in numbers:
+        rows = [("1", k, "A", "G", f"s{n}", None, None, n, f"f{n}", 0, k) for k in range(sites) if (k + n) % 2 == 0]
+        schema = "chrom string, pos long, ref string, alt string, clnsig string, clndn string, clnrevstat string, file_time int, file_name string, split_start long, line long"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{store}/increment=q-{n:08d}")
+
+
+def test_levels_keep_what_has_to_be_read_small(spark, tmp_path):
+    store = str(tmp_path / "store")
+    increments(spark, store, range(4))
+    assert layer_ingest.compact(spark, store, fan=4) == 1
+    read = []
+    for n in range(4, 21):
+        increments(spark, store, [n])
+        layer_ingest.compact(spark, store, fan=4)
+        read.append(sum(spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/{name}").count() for name, _ in layer_ingest.Runs(spark, store).live()))
+    assert max(read) <= 4 * 40 + 3 * 20 and len(layer_ingest.Runs(spark, store).live()) <= 6  # 21 increments hold 420 rows
+    want = [(k, f"s{20 if k % 2 == 0 else 19}") for k in range(40)]
+    assert rows_of(layer_ingest.current_layer(spark, store).select("pos", "clnsig")) == sorted(want, key=repr)
+    # a batch that runs again, also as another stream after its checkpoint was lost, changes nothing
+    increments(spark, store, [2, 19])
+    shutil.copytree(f"{store}/increment=q-00000003", f"{store}/increment=other-00000000")
+    layer_ingest.compact(spark, store, fan=2)
+    assert rows_of(layer_ingest.current_layer(spark, store).select("pos", "clnsig")) == sorted(want, key=repr)
+
+
+def test_a_lost_compaction_leaves_nothing_to_readers(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    increments(spark, store, range(3))
+    before = rows_of(layer_ingest.current_layer(spark, store))
+    runs = layer_ingest.Runs(spark, store)
+    monkeypatch.setattr(layer_ingest.json, "dumps", lambda entry: '{"number": 0')  # the entry is cut off
+    runs.merge([name for name, _ in runs.live()], 1)
+    monkeypatch.undo()
+    assert len(runs.live()) == 3 and rows_of(layer_ingest.current_layer(spark, store)) == before
+    assert layer_ingest.compact(spark, store, fan=3) == 1 and len(runs.live()) == 1
+    assert rows_of(layer_ingest.current_layer(spark, store)) == before
