@@ -11,6 +11,7 @@ from allelespan.functions.clinical import spaced
 from allelespan.functions.genotypes import with_genotype
 from allelespan.operators import filters, joins, ranking
 from allelespan.plans.cohort import Cohort
+from allelespan.session import local_table
 
 
 def _annotated(cohort: Cohort, calls: DataFrame) -> DataFrame:
@@ -123,16 +124,33 @@ def query_genes(
     impact_filter: str = "HIGH,MODERATE",
     max_results_per_gene: int = 20,
     genome: str | None = None,
+    report_unknown: bool = False,
 ) -> DataFrame:
     """Variants of any number of genes, without the smart filter; the first ``max_results_per_gene`` per genome and gene.
 
-    ``truncated`` tells whether a gene had more in that genome.
+    ``truncated`` tells whether a gene had more in that genome. With ``report_unknown`` a symbol that the gene table doesn't know gives a
+    row of its own, in upper case and with ``known`` false; all other rows have it true.
     """
     symbols = _asked(genes)
     filters.impact_levels(impact_filter)
     rows = _gene_rows(cohort, cohort.calls_of(genome), symbols)
     rows = filters.informative(filters.with_impact(rows, impact_filter))
-    return _gene_columns(cohort, ranking.capped(rows, max_results_per_gene, ["genome", "symbol"]))
+    shown = _gene_columns(cohort, ranking.capped(rows, max_results_per_gene, ["genome", "symbol"]))
+    if not report_unknown:
+        return shown
+    listed = local_table(cohort.genes.sparkSession, [(s,) for s in dict.fromkeys(symbol.upper() for symbol in symbols)], "symbol string")
+    unknown = _marked(cohort, joins.missing_symbols(cohort.genes, listed), "symbol")
+    return shown.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)), allowMissingColumns=True)
+
+
+def gene_overview(cohort: Cohort, gene: str, impact_filter: str = "HIGH,MODERATE", genome: str | None = None, genome2: str | None = None) -> DataFrame:
+    """What ``query_gene`` leaves unsaid, per genome: variants before the smart filter, those it hides, and whether any has a frequency."""
+    filters.impact_levels(impact_filter)
+    rows = _gene_rows(cohort, cohort.calls_of(genome, genome2), [gene])
+    marked = filters.mark_suppressed(filters.informative(filters.with_impact(rows, impact_filter)), cohort.pgx_variants, gene)
+    return marked.groupBy("genome").agg(
+        F.count("*").alias("variants"), F.count_if("suppressed").alias("suppressed"), F.bool_or(F.col("af").isNotNull()).alias("has_af")
+    )
 
 
 def query_clinvar(

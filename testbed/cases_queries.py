@@ -92,6 +92,30 @@ def query_genes(t: Tables) -> DataFrame:
     return variants.query_genes(t.cohort(), ["BRAND1", "brand3", "BRAND5", "BRAND8", "BRAND10", "brand24", "NOGENE"], genome=ALL_GENOMES)
 
 
+_ASKED_GENES = "'BRAND1', 'BRAND3', 'BRAND5', 'BRAND8', 'BRAND10', 'BRAND24'"
+_UNKNOWN_GENES = "UNION ALL SELECT {nulls}, v.symbol, {more}, false AS sensitive, NULL::boolean AS truncated, false AS known FROM (VALUES ('NOGENE'), ('NONE-2')) v(symbol)".format(
+    nulls="NULL::varchar AS genome", more="NULL::varchar AS chrom, NULL::bigint AS pos, NULL::varchar AS ref, NULL::varchar AS alt, NULL::varchar AS rsid, NULL::varchar AS display, "
+    "NULL::varchar AS effect, NULL::varchar AS impact, NULL::varchar AS significance, NULL::double AS af",
+)
+
+
+@query("query_genes_unknown", f"SELECT *, true AS known FROM ({_gene_rows(_ASKED_GENES, _KEEP, 'genome, symbol', 20, 'o_annotated')}) k {_UNKNOWN_GENES}")
+def query_genes_unknown(t: Tables) -> DataFrame:
+    asked = ["BRAND1", "brand3", "BRAND5", "BRAND8", "BRAND10", "brand24", "NoGene", "NOGENE", "none-2"]
+    return variants.query_genes(t.cohort(), asked, genome=ALL_GENOMES, report_unknown=True)
+
+
+@query(
+    "query_gene_overview",
+    f"""SELECT v.genome, count(*) AS variants, count(*) - count(s.k) AS suppressed, bool_or(v.af IS NOT NULL) AS has_af
+        FROM o_annotated v JOIN o_padded g ON v.chrom = g.chrom AND v.pos BETWEEN g.start_pos AND g.end_pos
+        LEFT JOIN {_GENE_SMART} s ON s.genome = v.genome AND s.chrom = v.chrom AND s.pos = v.pos AND s.ref = v.ref AND s.alt = v.alt
+        WHERE g.symbol = 'BRAND2' AND {_KEEP.replace("impact", "v.impact").replace("clnsig", "v.clnsig").replace("rsid", "v.rsid")} GROUP BY v.genome""",
+)
+def query_gene_overview(t: Tables) -> DataFrame:
+    return variants.gene_overview(t.cohort(), "brand2", genome=ALL_GENOMES)
+
+
 @query(
     "query_clinvar",
     f"""SELECT {_CALL}, rsid, coalesce(gene, 'Unknown') AS gene, display, {_SIG}, CASE WHEN clndn <> '.' THEN replace(clndn, '_', ' ') END AS condition, total > 50 AS truncated, coalesce(gene IN (SELECT symbol FROM d_warning_genes), false) AS sensitive FROM (
