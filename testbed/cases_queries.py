@@ -93,10 +93,11 @@ def query_genes(t: Tables) -> DataFrame:
 
 
 _ASKED_GENES = "'BRAND1', 'BRAND3', 'BRAND5', 'BRAND8', 'BRAND10', 'BRAND24'"
-_UNKNOWN_GENES = "UNION ALL SELECT {nulls}, v.symbol, {more}, false AS sensitive, NULL::boolean AS truncated, false AS known FROM (VALUES ('NOGENE'), ('NONE-2')) v(symbol)".format(
-    nulls="NULL::varchar AS genome", more="NULL::varchar AS chrom, NULL::bigint AS pos, NULL::varchar AS ref, NULL::varchar AS alt, NULL::varchar AS rsid, NULL::varchar AS display, "
-    "NULL::varchar AS effect, NULL::varchar AS impact, NULL::varchar AS significance, NULL::double AS af",
-)
+# which of the asked symbols are unknown depends on the gene table
+_UNKNOWN_GENES = """UNION ALL SELECT NULL::varchar AS genome, v.symbol, NULL::varchar AS chrom, NULL::bigint AS pos, NULL::varchar AS ref, NULL::varchar AS alt, NULL::varchar AS rsid,
+    NULL::varchar AS display, NULL::varchar AS effect, NULL::varchar AS impact, NULL::varchar AS significance, NULL::double AS af,
+    v.symbol IN (SELECT symbol FROM d_warning_genes) AS sensitive, NULL::boolean AS truncated, false AS known
+    FROM (VALUES ('BRAND1'), ('BRAND3'), ('BRAND5'), ('BRAND8'), ('BRAND10'), ('BRAND24'), ('NOGENE'), ('NONE-2')) v(symbol) WHERE v.symbol NOT IN (SELECT symbol FROM d_genes)"""
 
 
 @query("query_genes_unknown", f"SELECT *, true AS known FROM ({_gene_rows(_ASKED_GENES, _KEEP, 'genome, symbol', 20, 'o_annotated')}) k {_UNKNOWN_GENES}")
