@@ -1,7 +1,7 @@
 """Domain tables derived from the driver's Parquet tables.
 
 Each view is one SELECT that Spark and DuckDB read alike, so both sides of a check start from the same
-input. A view covers the whole of the table it comes from. The views only lay out input data; what is
+input. A view covers the whole of the table it comes from, but for ``d_pgx_variants``, which holds some part sizes. The views only lay out input data; what is
 checked (parsers, joins, filters, aggregates) is written twice, as DataFrame code and as oracle SQL.
 """
 
