@@ -147,6 +147,12 @@ def changed_files(current: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def fingerprints(spark, paths: str | list[str]) -> DataFrame:
-    """Size and modification time of every input file, from the scan's own metadata."""
-    meta = spark.read.format("binaryFile").load(paths)  # the content column is pruned, files are only listed
-    return meta.select(F.col("path").alias("file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
+    """(file, path, size, modified) of every input file, from the listing alone.
+
+    ``file`` is spelled as the readers' ``_metadata.file_path`` spells it, ``path`` as readers take it.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")  # folder names mean nothing here
+    meta = reader.load(paths)  # the content column is pruned, files are only listed
+    return meta.select(
+        F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from allelespan.functions.contigs import accession_table
 from allelespan.operators import layers
 from allelespan.schemas import CLINICAL_COLUMNS
-from allelespan.sources import sinks, vcf
+from allelespan.sources import followed, sinks, vcf
 from allelespan.streaming import layer_ingest
 from testbed import texts
 from testbed.cases_joins import _RELEASE, release
@@ -84,6 +84,32 @@ def layer_fingerprint(t: Tables) -> DataFrame:
     return layers.changed_files(now, before)
 
 
+# Chromosomes 7 and X come anew, 9 is withdrawn, the rest stays.
+_RENEWED = "chrom IN ('7', 'X')"
+
+
+@query(
+    "layer_change_refresh",
+    f"""SELECT {_KEY}, clnsig, clndn, false AS rewritten FROM d_sites WHERE clnsig IS NOT NULL AND NOT ({_RENEWED}) AND chrom <> '9'
+        UNION ALL SELECT {_KEY}, clnsig, clndn, true FROM ({_RELEASE}) r WHERE clnsig IS NOT NULL AND {_RENEWED}""",
+)
+def layer_change_refresh(t: Tables) -> DataFrame:
+    """A layer that follows its files: one a chromosome, of which two are replaced and one is withdrawn; which data files are new tells what was rewritten."""
+    site = "concat_ws('\t', 'chr' || chrom, cast(pos AS string), '.', ref, alt, '.', '.', {}) AS value, chrom AS file_key"
+    old = texts.write_files(t, t.sql(f"SELECT {site.format(texts.CLINICAL_INFO)} FROM d_sites"), ["##old"])
+    info = "concat_ws(';', 'CLNSIG=' || clnsig, 'CLNDN=' || clndn)"
+    new = texts.write_files(t, t.sql(f"SELECT {site.format(info)} FROM ({_RELEASE}) r WHERE {_RENEWED}"), ["##new"])
+    path, chroms = t.folder(), [row.chrom for row in t.sites.select("chrom").distinct().collect()]  # 25 of them
+    followed.FollowedLayer(t.spark, path, [f"{old}/file_key={chrom}" for chrom in chroms], vcf.clinical_layer).refresh()
+    names = t.folder()
+    t.spark.read.parquet(path).select(F.col("_metadata.file_name").alias("name")).distinct().write.parquet(names)
+    kept = [f"{old}/file_key={chrom}" for chrom in chroms if chrom not in ("7", "9", "X")]
+    followed.FollowedLayer(t.spark, path, [*kept, new], vcf.clinical_layer).refresh()
+    before = F.broadcast(t.spark.read.parquet(names)).withColumn("rewritten", F.lit(False))  # a name for each file of 25 folders
+    rows = t.spark.read.parquet(path).withColumn("name", F.col("_metadata.file_name")).join(before, "name", "left")
+    return rows.select(F.col("chrom").cast("string").alias("chrom"), "pos", "ref", "alt", "clnsig", "clndn", F.coalesce("rewritten", F.lit(True)).alias("rewritten"))
+
+
 @query("layer_parity", "SELECT count(*) AS rows, 0::bigint AS differing FROM d_annotations")
 def layer_parity(t: Tables) -> DataFrame:
     """A build chromosome by chromosome group and out of order equals the build in one go."""
