@@ -253,16 +253,17 @@ CPIC_SOURCES = {
     "gene": "SELECT DISTINCT brand AS symbol, CASE WHEN brand <> 'BRAND5' THEN 'chr' || replace(brand, 'BRAND', '') END AS chr FROM d_sites",
     "allele": """SELECT DISTINCT brand AS genesymbol, '*' || cast(k % 7 AS string) AS name,
                         CASE k % 7 WHEN 0 THEN 'Normal function' WHEN 1 THEN 'No function' WHEN 2 THEN '' END AS clinicalfunctionalstatus
-                 FROM d_sites WHERE p_size > 40""",
-    "allele_definition": "SELECT DISTINCT cast(replace(brand, 'BRAND', '') AS bigint) * 10 + k % 7 AS id, brand AS genesymbol, '*' || cast(k % 7 AS string) AS name FROM d_sites",
+                 FROM d_sites""",
+    # definitions have one name more than the alleles
+    "allele_definition": "SELECT DISTINCT cast(replace(brand, 'BRAND', '') AS bigint) * 10 + k % 8 AS id, brand AS genesymbol, '*' || cast(k % 8 AS string) AS name FROM d_sites",
     "sequence_location": """SELECT k + 1 AS id, brand AS genesymbol, dbsnp_id AS dbsnpid,
                                    CASE k % 4 WHEN 0 THEN 'g.' || cast(pos AS string) || 'A>G' WHEN 1 THEN 'g.' || cast(pos AS string) || 'del'
                                         WHEN 2 THEN 'g.' || cast(pos AS string) || 'delAC' ELSE 'g.' || cast(pos AS string) || '_5ins' END AS chromosomelocation,
                                    pos AS position FROM d_sites""",
     "allele_location_value": """SELECT cast(replace(brand, 'BRAND', '') AS bigint) * 10 + k % 7 AS alleledefinitionid, k + 1 AS locationid, alt AS variantallele
-                                FROM d_sites WHERE p_size > 10
+                                FROM d_sites
                                 UNION ALL
-                                SELECT cast(replace(brand, 'BRAND', '') AS bigint) * 10 + (k + 2) % 7, k + 1, alt FROM d_sites WHERE p_size > 25""",
+                                SELECT cast(replace(brand, 'BRAND', '') AS bigint) * 10 + (k + 2) % 8, k + 1, alt FROM d_sites""",
 }
 
 
@@ -288,7 +289,7 @@ def scan_cpic(t: Tables) -> DataFrame:
 def sink_layer(t: Tables) -> DataFrame:
     store = sinks.LayerStore(t.spark, t.folder())
     layer = t.sites.filter("clnsig IS NOT NULL").select("chrom", "pos", "ref", "alt", "clnsig", "clndn", "clnrevstat")
-    store.write("clinvar", layer.limit(0))
+    store.write("clinvar", layer.withColumn("clnsig", F.lit("superseded")))
     store.write("clinvar", layer)
     return store.read("clinvar")
 

@@ -1,7 +1,7 @@
 """Domain tables derived from the driver's Parquet tables.
 
 Each view is one SELECT that Spark and DuckDB read alike, so both sides of a check start from the same
-input. A view covers the whole of the table it comes from, but for ``d_pgx_variants``, which holds some part sizes. The views only lay out input data; what is
+input. A view covers the whole of the table it comes from. The views only lay out input data; what is
 checked (parsers, joins, filters, aggregates) is written twice, as DataFrame code and as oracle SQL.
 """
 
@@ -79,11 +79,12 @@ VIEWS = {
                'summary of ' || n_name AS clinical_summary, CASE WHEN n_nationkey % 4 = 3 THEN 'B' ELSE 'A' END AS cpic_level,
                CASE n_regionkey WHEN 0 THEN 'Actionable PGx' WHEN 1 THEN 'Testing required' END AS pgx_testing
         FROM nation""",
-    # small parts stand for the star-allele positions
+    # each supplier stands for an allele that two sites define
     "d_pgx_variants": """
-        SELECT brand AS gene, coalesce(vcf_id, dbsnp_id) AS rsid, chrom, pos, ref, alt, '*' || cast(1 + k % 7 AS string) AS star_allele,
-               CASE k % 3 WHEN 0 THEN 'No function' WHEN 1 THEN 'Decreased function' END AS function_impact, cast(NULL AS string) AS notes
-        FROM d_sites WHERE p_size <= 5""",
+        SELECT brand AS gene, coalesce(vcf_id, dbsnp_id) AS rsid, chrom, pos, ref, alt, '*' || cast(1 + d_sites.k % 7 AS string) AS star_allele,
+               CASE d_sites.k % 3 WHEN 0 THEN 'No function' WHEN 1 THEN 'Decreased function' END AS function_impact, cast(NULL AS string) AS notes
+        FROM (SELECT s_suppkey * 19 AS k FROM supplier UNION SELECT s_suppkey * 13 + 2 FROM supplier) defining
+        JOIN d_sites ON defining.k = d_sites.k""",
     "d_prs": f"""
         SELECT 'PGS' || c_mktsegment AS prs_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'Shared trait' ELSE lower(c_mktsegment) || ' trait' END AS trait,
                'rs' || cast(c_custkey AS string) AS rsid, {_chrom('c_custkey')} AS chrom, 1000 + c_custkey * 37 AS pos,
