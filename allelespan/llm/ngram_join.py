@@ -34,10 +34,10 @@ from allelespan.llm.word_hashes import SPACED_FOLDED, cut_words, mix, shingle_ru
 
 #: Largest set that may be small, whatever the costs say.
 SMALL_LIMIT = 20
-#: list entries of a chunk: shingles (low bits), entries per set, set, set size
-_ENTRY_KINDS = ("u5", "u4", "u8", "u4")
+#: list entries of a chunk: shingles, entries per set, set, set size
+_ENTRY_KINDS = ("u8", "u4", "u8", "u4")
 #: shared shingles on the way back to their sets: set, shingles, set size, shingle, class of its document frequency
-_SHARED_KINDS = ("u8", "u4", "u4", "u5", "u1")
+_SHARED_KINDS = ("u8", "u4", "u4", "u8", "u1")
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -146,16 +146,14 @@ def _entries(documents: DataFrame, size: int, least: int, buckets: int) -> DataF
 def _columns(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...], repeated: dict[int, int]) -> list[np.ndarray] | None:
     """All blocks of a partition, joined; columns in ``repeated`` are spread by the counts in the column it names."""
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    buckets = []
     for batch in batches:
-        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+        for block in batch.column("block").to_pylist():
             arrays = unpack(kinds, block)
             for k, counts in repeated.items():
                 arrays[k] = np.repeat(arrays[k], arrays[counts])
             for part, array in zip(parts, arrays):
                 part.append(array)
-            buckets.append(bucket)
-    return [np.concatenate(p) for p in parts] + [np.array(buckets[:1])] if buckets else None
+    return [np.concatenate(p) for p in parts] if parts[0] else None
 
 
 def _shared(entries: DataFrame, buckets: int) -> DataFrame:
@@ -165,7 +163,7 @@ def _shared(entries: DataFrame, buckets: int) -> DataFrame:
         columns = _columns(batches, _ENTRY_KINDS, {2: 1, 3: 1})
         if columns is None:
             return
-        shingle, _, name, size, bucket = columns
+        shingle, _, name, size = columns
         order = np.argsort(shingle, kind="stable")
         same = shingle[order][1:] == shingle[order][:-1]
         more = np.zeros(len(order), dtype=bool)
@@ -180,7 +178,7 @@ def _shared(entries: DataFrame, buckets: int) -> DataFrame:
         frequency = np.diff(np.append(first, len(rows)))
         frequency = np.repeat(frequency, frequency)
         rows, frequency = rows[frequency > 1], frequency[frequency > 1]
-        label = mix(shingle[rows] + (bucket[0].astype(np.uint64) << np.uint64(40)))
+        label = shingle[rows]
         rank = np.minimum(np.round(16 * np.log2(np.maximum(frequency, 1))), 255)
         order = np.argsort(name[rows], kind="stable")
         rows, label, rank = rows[order], label[order], rank[order]
@@ -203,7 +201,7 @@ def _candidate_sets(shared: DataFrame) -> DataFrame:
         columns = _columns(batches, _SHARED_KINDS, {0: 1, 2: 1})
         if columns is None:
             return
-        name, _, size, label, rank, _ = columns
+        name, _, size, label, rank = columns
         order = np.lexsort((label, rank, name))
         name, size, label = name[order], size[order].astype(np.int64), label[order]
         first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))

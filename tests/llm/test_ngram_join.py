@@ -3,10 +3,12 @@
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pytest
 from llm_fixtures import WORDS, awkward, components, edited, folded, prose, spaced
 
 from allelespan.llm import ngram_join
+from allelespan.llm.arrow_columns import pack
 
 
 def shingles(text, size=5):
@@ -75,3 +77,14 @@ def test_boundary_follows_the_costs():
     few, many = ngram_join.choose_boundary({n: 100 for n in range(1, 21)}, 1.0), ngram_join.choose_boundary({n: 100 for n in range(1, 21)}, 50.0)
     assert 4 <= few < many < 20
     assert sum(comb(20, c) for c in ngram_join.subset_sizes(20)) > 5000
+
+
+def test_shingles_are_compared_by_all_their_bits(spark):
+    """Two sets whose shingles differ in the highest bits only share nothing but the one shingle that is the same."""
+    low = np.arange(1, 11, dtype=np.uint64)
+    one, two = np.append(low, np.uint64(99)), np.append(low + (np.uint64(1) << np.uint64(63)), np.uint64(99))
+    block = pack(ngram_join._ENTRY_KINDS, (np.append(one, two), np.array([11, 11]), np.array([1, 2], dtype=np.uint64), np.array([11, 11])))
+    entries = spark.createDataFrame([(0, bytearray(block))], "bucket int, block binary")
+    shared = ngram_join._shared(entries, 2).collect()
+    held = [ngram_join.unpack(ngram_join._SHARED_KINDS, row.block) for row in shared]
+    assert sorted(int(v) for columns in held for v in columns[3]) == [99, 99]
