@@ -16,7 +16,7 @@ from allelespan.operators.filters import LISTED_VALUES, of_genomes, with_rsids,
 from allelespan.operators.intervals import GENE_PADDING, INTERVAL_BIN, padded_genes, within_intervals
 from allelespan.operators.sizing import interval_predicate, left_join_nullable, pin_if_small, salted_join, site_predicate, top_per_group
 from allelespan.schemas import EFFECT_COLUMNS, SITE_KEY
-from allelespan.session import local_table
+from allelespan.session import local_table, written
 
 
 def annotate(calls: DataFrame, annotations: DataFrame, salted: bool = False) -> DataFrame:
@@ -166,7 +166,11 @@ def gene_region(genes: DataFrame, symbols: Sequence[str], padding: int = GENE_PA
     Few intervals are pinned: their filter prunes scans and their table is a broadcast of known size. Many take the
     ordinary interval join, with a filter that lets everything through.
     """
-    intervals = padded_genes(named_genes(genes, symbols), padding)
+    return region_of(padded_genes(named_genes(genes, symbols), padding))
+
+
+def region_of(intervals: DataFrame) -> GeneRegion:
+    """The region that padded intervals make up."""
     pinned = pin_if_small(intervals)
     if pinned is None:
         return GeneRegion(F.lit(True), intervals, False)
@@ -245,7 +249,8 @@ def association_genotypes(associations: DataFrame, calls: DataFrame, annotations
     """Associations with the genotype of the first call that carries their identifier.
 
     Identifiers lead to sites, sites to calls; only identifiers that occur in the associations are
-    followed. ``associations`` may repeat an identifier any number of times.
+    followed. ``associations`` may repeat an identifier any number of times. Those with a call are found by an inner join, whose
+    sides can both be split, so one identifier over all genomes is no single task; the others get a row of NULLs.
     """
     wanted = associations.filter(F.col("rsid").rlike(r"^rs\d+$")).select("rsid").distinct()
     sites = annotations.select(*SITE_KEY, "rsid").join(wanted, "rsid", "left_semi")
@@ -253,8 +258,12 @@ def association_genotypes(associations: DataFrame, calls: DataFrame, annotations
     order = ["chrom", "pos", "ref", "alt", F.col("gt").asc_nulls_last()]
     by = ["genome", "rsid"]
     first = top_per_group(hits, by, order, 1)
-    called = with_genotype(first).select("genome", "rsid", "genotype")
-    return left_join_nullable(associations, called, {"rsid": F.col("rsid")})
+    called = written(with_genotype(first).select("genome", "rsid", "genotype"))
+    named, nameless = associations.filter("rsid IS NOT NULL"), associations.filter("rsid IS NULL")
+    uncalled = named.join(called.select("rsid").distinct(), "rsid", "left_anti")
+    rows = [rows.select(associations.columns) for rows in (uncalled, nameless)]
+    met = named.join(called, "rsid").select(*associations.columns, "genome", "genotype")
+    return met.unionByName(rows[0].unionByName(rows[1]), allowMissingColumns=True)
 
 
 def pair_genomes(calls: DataFrame, first: str, second: str) -> DataFrame:
@@ -288,6 +297,14 @@ def mark_warning(df: DataFrame, gene_column: str, warning_genes: DataFrame) -> D
     return marked.withColumn("sensitive", F.coalesce("_listed", F.lit(False))).drop("_listed")
 
 
+def mark_any_warning(df: DataFrame, symbols: Column, warning_genes: DataFrame) -> DataFrame:
+    """Adds ``sensitive``: one of the row's gene ``symbols`` (an array) is on the warning list. Rows must differ from each other."""
+    listed = warning_genes.select(F.upper("symbol").alias("_symbol")).distinct().withColumn("_listed", F.lit(True))
+    spread = df.withColumn("_symbol", F.explode_outer(F.transform(symbols, lambda symbol: F.upper(symbol))))
+    marked = left_join_nullable(spread, listed, {"_symbol": F.col("_symbol")})
+    return marked.groupBy(*df.columns).agg(F.coalesce(F.bool_or("_listed"), F.lit(False)).alias("sensitive"))
+
+
 def gene_coordinates(symbols: DataFrame, records: DataFrame) -> DataFrame:
     """Symbol list joined with coordinate records; symbols without a record keep NULL coordinates."""
     return symbols.join(records, "symbol", "left")

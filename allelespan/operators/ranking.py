@@ -23,13 +23,18 @@ def best_per_rsid(associations: DataFrame, tie: list[str]) -> DataFrame:
 
 
 def top_associations(associations: DataFrame, tie: list[str], n: int = 30, deduplicate: bool = True) -> DataFrame:
-    """The ``n`` most significant associations (at least one), after keeping the best per identifier.
+    """The ``n`` most significant associations (at least one), after keeping the best per identifier; ``rank`` from 1.
 
-    Ties beyond the ``tie`` columns are broken by all other columns, so the rows are always the same ones.
+    Ties beyond the ``tie`` columns are broken by all other columns, so the rows are always the same ones. ``truncated`` tells
+    whether there were more.
     """
+    n = max(1, n)
     rows = best_per_rsid(associations, tie) if deduplicate else associations
-    others = [F.col(name).asc_nulls_last() for name in associations.columns if name not in ("p_value", *tie)]
-    return rows.orderBy(*significance_order(tie), *others).limit(max(1, n))
+    order = [*significance_order(tie), *[F.col(name).asc_nulls_last() for name in associations.columns if name not in ("p_value", *tie)]]
+    # only the rows that the limit leaves, one more than asked for, meet in one task
+    first, together = rows.orderBy(*order).limit(n + 1), Window.partitionBy(F.lit(0))
+    placed = first.withColumn("rank", F.row_number().over(together.orderBy(*order)))
+    return placed.withColumn("truncated", F.count("*").over(together) > n).filter(F.col("rank") <= n)
 
 
 def top_per_gene(df: DataFrame, n: int = 20, by: list[str] = ("genome", "symbol")) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from allelespan.functions.associations import gene_symbols
 from allelespan.functions.genotypes import with_genotype, zygosity_label
 from allelespan.operators import aggregates, filters, joins, ranking
+from allelespan.operators.intervals import padded_genes, within_intervals
 from allelespan.plans.cohort import Cohort
 
 
@@ -19,16 +20,43 @@ def _drug_rows(cohort: Cohort, drug: str | None, gene: str | None) -> DataFrame:
 
 
 def query_pgx(
-    cohort: Cohort, drug: str | None = None, gene: str | None = None, genome: str | None = None, genome2: str | None = None
+    cohort: Cohort,
+    drug: str | None = None,
+    gene: str | None = None,
+    genome: str | None = None,
+    genome2: str | None = None,
+    include_all_variants: bool = False,
+    max_results: int = 20,
 ) -> DataFrame:
-    """Star-allele positions of a drug's (or gene's) entries with the genotypes of one genome, a pair, or every listed genome."""
+    """Star-allele positions of a drug's (or gene's) entries with the genotypes of one genome, a pair, or every listed genome.
+
+    ``sensitive`` marks genes on the cohort's warning list, if it has one. With ``include_all_variants`` there are rows of two kinds, told
+    apart by ``part``: ``star_alleles``, and ``region`` for the first ``max_results`` non-reference calls of each genome in each of the
+    entries' genes; ``truncated`` tells whether there were more. Region rows name no drug and come once per gene and genome.
+    """
     genomes = cohort.named(genome, genome2)
     if filters.ALL_GENOMES in genomes:
         if not cohort.genomes:
             raise ValueError("a report over all genomes needs the cohort's list of genomes")
         genomes = list(cohort.genomes)
-    rows = joins.pgx_genotypes(_drug_rows(cohort, drug, gene), cohort.pgx_variants, cohort.calls, genomes)
-    return rows.select("genome", "drug_name", "gene", "cpic_level", "rsid", "star_allele", "chrom", "pos", "function_impact", "status")
+    entries = _drug_rows(cohort, drug, gene)
+    rows = joins.pgx_genotypes(entries, cohort.pgx_variants, cohort.calls, genomes)
+    rows = rows.select("genome", "drug_name", "gene", "cpic_level", "rsid", "star_allele", "chrom", "pos", "function_impact", "status")
+    if include_all_variants:
+        calls = filters.of_genomes(cohort.calls, *genomes)
+        rows = rows.withColumn("part", F.lit("star_alleles")).unionByName(_region_rows(cohort, entries, calls, max_results), allowMissingColumns=True)
+    return rows if cohort.warning_genes is None else joins.mark_warning(rows, "gene", cohort.warning_genes)
+
+
+def _region_rows(cohort: Cohort, entries: DataFrame, calls: DataFrame, n: int) -> DataFrame:
+    """First ``n`` non-reference calls of each genome in the region of each gene that ``entries`` name."""
+    named = entries.select(F.upper("gene").alias("_gene")).distinct()
+    region = joins.region_of(padded_genes(cohort.genes.join(named, F.upper("symbol") == F.col("_gene"), "left_semi")))
+    inside = within_intervals(filters.non_reference(with_genotype(calls.filter(region.near))), region.table)
+    # cut before the annotation is looked up
+    rows = joins.annotate(ranking.capped(inside, n, ["genome", "symbol"]), cohort.annotations.filter(region.near))
+    shown = [F.col("symbol").alias("gene"), F.col("genotype.display").alias("status")]
+    return rows.select(F.lit("region").alias("part"), "genome", "rsid", "chrom", "pos", "ref", "alt", "effect", "truncated", *shown)
 
 
 def query_pgx_region(cohort: Cohort, gene: str, genome: str | None = None, max_results: int = 20) -> DataFrame:
@@ -51,9 +79,15 @@ def query_gwas(
     genome: str | None = None,
     tie: tuple[str, ...] = ("rsid", "trait", "study_accession"),
 ) -> DataFrame:
-    """Most significant associations, optionally with a genome's genotype; ``sensitive_associations`` gives the warning genes."""
+    """Most significant associations by ``rank``, optionally with a genome's genotype; ``truncated`` tells whether there were more.
+
+    Where the cohort has a list of warning genes, ``sensitive`` marks associations with one among their mapped genes;
+    ``sensitive_associations`` gives these genes.
+    """
     found = filters.associations_matching(cohort.gwas, trait, gene, rsid)
     rows = ranking.top_associations(found, list(tie), max_results, deduplicate)
+    if cohort.warning_genes is not None:
+        rows = joins.mark_any_warning(rows, gene_symbols(F.col("mapped_gene")), cohort.warning_genes).orderBy("rank")
     if check_calls:
         # only the identifiers of the rows that are left are looked up
         calls = cohort.calls_of(cohort.check(genome))

@@ -49,6 +49,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/allelespan-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, for results that several branches of a plan read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | StructType) -> DataFrame:
     """A small table held in the plan itself.
 

@@ -117,19 +117,28 @@ def read_scoring_files(spark: SparkSession, paths: str | list[str]) -> DataFrame
     return reduce(DataFrame.unionByName, found)
 
 
+def _score_file_stem() -> Column:
+    return F.substring_index(F.substring_index("file", "/", -1), "_hmPOS_", 1)
+
+
+def unlisted_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """(file_stem, weights): scoring files that ``scores(file_stem, ...)`` doesn't list, which ``score_weights`` leaves out, with their rows."""
+    found = rows.groupBy(_score_file_stem().alias("file_stem")).agg(F.count("*").alias("weights"))
+    return found.join(scores.select("file_stem").distinct(), "file_stem", "left_anti")
+
+
 def score_weights(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """Weights of the scores in ``scores(file_stem, prs_id, trait)``.
 
     Harmonised columns win over the original ones; rows that are incomplete, off the standard
-    chromosomes or not numeric are dropped.
+    chromosomes or not numeric are dropped. ``unlisted_scores`` tells which files are left out as a whole.
     """
 
     def either(harmonised: str, original: str):
         return F.coalesce(blank_to_null(F.col(harmonised)), blank_to_null(F.col(original)))
 
-    stem = F.substring_index(F.substring_index("file", "/", -1), "_hmPOS_", 1)
     picked = rows.select(
-        stem.alias("file_stem"),
+        _score_file_stem().alias("file_stem"),
         either("hm_rsID", "rsID").alias("rsid"),
         either("hm_chr", "chr_name").alias("chrom"),
         to_long(either("hm_pos", "chr_position")).alias("pos"),

@@ -260,8 +260,9 @@ def win_cap_truncated(t: Tables) -> DataFrame:
 
 @query(
     "topk_gwas",
-    """SELECT rsid, trait, p_value, k FROM (SELECT * FROM d_gwas WHERE contains(lower(trait), 'high') QUALIFY rsid IS NULL OR row_number() OVER (PARTITION BY rsid ORDER BY p_value NULLS LAST, k) = 1) d
-       ORDER BY p_value NULLS LAST, k LIMIT 30""",
+    """SELECT rsid, trait, p_value, k, cast(row_number() OVER (ORDER BY p_value NULLS LAST, k) AS int) AS rank, count(*) OVER () > 30 AS truncated
+       FROM (SELECT * FROM d_gwas WHERE contains(lower(trait), 'high') QUALIFY rsid IS NULL OR row_number() OVER (PARTITION BY rsid ORDER BY p_value NULLS LAST, k) = 1) d
+       QUALIFY row_number() OVER (ORDER BY p_value NULLS LAST, k) <= 30""",
 )
 def topk_gwas(t: Tables) -> DataFrame:
     found = filters.associations_matching(t.view("d_gwas"), trait="HIGH")

@@ -138,7 +138,8 @@ def query_clinvar_gene(t: Tables) -> DataFrame:
 
 @query(
     "query_pgx",
-    f"""SELECT 'g1' AS genome, d.drug_name, d.gene, d.cpic_level, v.rsid, v.star_allele, v.chrom, v.pos, v.function_impact, {_STATUS}
+    f"""SELECT 'g1' AS genome, d.drug_name, d.gene, d.cpic_level, v.rsid, v.star_allele, v.chrom, v.pos, v.function_impact, {_STATUS},
+               coalesce(d.gene IN (SELECT symbol FROM d_warning_genes), false) AS sensitive
         FROM d_pgx_drugs d JOIN d_pgx_variants v ON d.gene = v.gene LEFT JOIN (SELECT * FROM o_first_calls WHERE genome = 'g1') c ON v.chrom = c.chrom AND v.pos = c.pos
         WHERE d.drug_name = 'nation_3'""",
 )
@@ -146,6 +147,24 @@ def query_pgx(t: Tables) -> DataFrame:
     return traits.query_pgx(t.cohort("g1"), drug="NATION_3", genome="g1")
 
 
+@query(
+    "query_pgx_all",
+    f"""SELECT *, coalesce(gene IN (SELECT symbol FROM d_warning_genes), false) AS sensitive FROM (
+            SELECT 'star_alleles' AS part, 'g1' AS genome, d.drug_name, d.gene, d.cpic_level, v.rsid, v.star_allele, v.chrom, v.pos, v.function_impact, {_STATUS},
+                   NULL::varchar AS ref, NULL::varchar AS alt, NULL::varchar AS effect, NULL::boolean AS truncated
+            FROM d_pgx_drugs d JOIN d_pgx_variants v ON d.gene = v.gene LEFT JOIN (SELECT * FROM o_first_calls WHERE genome = 'g1') c ON v.chrom = c.chrom AND v.pos = c.pos
+            WHERE d.drug_name = 'nation_3'
+            UNION ALL
+            SELECT 'region', genome, NULL, symbol, NULL, rsid, NULL, chrom, pos, NULL, display, ref, alt, effect, total > 2 FROM (
+                SELECT v.*, g.symbol, count(*) OVER (PARTITION BY v.genome, g.symbol) AS total,
+                       row_number() OVER (PARTITION BY v.genome, g.symbol ORDER BY {GENOME_RANK.format('v.chrom')}, v.pos, v.ref, v.alt) AS n
+                FROM o_annotated v JOIN o_padded g ON v.chrom = g.chrom AND v.pos BETWEEN g.start_pos AND g.end_pos
+                WHERE v.genome = 'g1' AND v.zygosity <> 'homozygous_ref' AND g.symbol IN (SELECT gene FROM d_pgx_drugs WHERE drug_name = 'nation_3')) r WHERE n <= 2) p""",
+)
+def query_pgx_all(t: Tables) -> DataFrame:
+    return traits.query_pgx(t.cohort("g1"), drug="nation_3", genome="g1", include_all_variants=True, max_results=2)
+
+
 @query(
     "query_pgx_region",
     f"""SELECT {_CALL}, rsid, display, effect, total > 20 AS truncated FROM (SELECT v.*, count(*) OVER (PARTITION BY genome) AS total, row_number() OVER (PARTITION BY genome ORDER BY {GENOME_RANK.format('v.chrom')}, v.pos, v.ref, v.alt) AS n
@@ -159,10 +178,18 @@ _GWAS_TOP = """SELECT * FROM (SELECT * FROM d_gwas WHERE contains(mapped_gene, '
     QUALIFY rsid IS NULL OR row_number() OVER (PARTITION BY rsid ORDER BY p_value NULLS LAST, rsid, trait, study_accession) = 1) d ORDER BY p_value NULLS LAST, rsid NULLS LAST, trait, study_accession LIMIT 30"""
 
 
-@query("query_gwas", f"SELECT rsid, trait, mapped_gene, p_value, or_beta, first_author, study_accession FROM ({_GWAS_TOP}) w")
+_GWAS_ALL = _GWAS_TOP.removesuffix(" LIMIT 30")
+
+
+@query(
+    "query_gwas",
+    f"""SELECT rsid, trait, mapped_gene, p_value, or_beta, first_author, study_accession, (SELECT count(*) FROM ({_GWAS_ALL}) a) > 30 AS truncated,
+               cast(row_number() OVER (ORDER BY p_value NULLS LAST, rsid NULLS LAST, trait, study_accession) AS int) AS rank,
+               len(list_intersect([trim(x) FOR x IN string_split(mapped_gene, ' - ')], (SELECT list(symbol) FROM d_warning_genes))) > 0 AS sensitive FROM ({_GWAS_TOP}) w""",
+)
 def query_gwas(t: Tables) -> DataFrame:
     rows = traits.query_gwas(t.cohort(), trait="Low", gene="brand3")
-    return rows.select("rsid", "trait", "mapped_gene", "p_value", "or_beta", "first_author", "study_accession")
+    return rows.select("rsid", "trait", "mapped_gene", "p_value", "or_beta", "first_author", "study_accession", "rank", "truncated", "sensitive")
 
 
 @query(

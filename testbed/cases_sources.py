@@ -151,6 +151,18 @@ def scan_seed_tsv(t: Tables) -> DataFrame:
     "SELECT prs_id, trait, rsid, chrom, pos, effect_allele, weight FROM d_prs WHERE rsid NOT LIKE '%7'",
 )
 def scan_pgs_scores(t: Tables) -> DataFrame:
+    scores = t.prs.select("prs_id", "trait").distinct()
+    return tables.score_weights(_scoring_rows(t), scores.withColumn("file_stem", F.col("prs_id")))
+
+
+@query("scan_pgs_unlisted", "SELECT prs_id AS file_stem, count(*) AS weights FROM d_prs WHERE trait <> 'Shared trait' GROUP BY prs_id")
+def scan_pgs_unlisted(t: Tables) -> DataFrame:
+    """Files of scores that are not on the list; unusable rows count too."""
+    listed = t.prs.filter("trait = 'Shared trait'").select(F.col("prs_id").alias("file_stem")).distinct()
+    return tables.unlisted_scores(_scoring_rows(t), listed)
+
+
+def _scoring_rows(t: Tables) -> DataFrame:
     # identifiers ending in 7 get an unusable row: no weight, a scaffold, or a position that is no number
     bad = "rsid LIKE '%7'"
     columns = {
@@ -164,13 +176,11 @@ def scan_pgs_scores(t: Tables) -> DataFrame:
     }
     named = ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
     folder = t.folder()
-    scores = t.prs.select("prs_id", "trait").distinct()
     keyed = t.sql(f"SELECT {named}, prs_id FROM d_prs")
     keyed.write.partitionBy("prs_id").csv(folder, sep="\t", header=True)
     raw = tables.read_scoring_files(t.spark, [folder])
     # published names are <score>_hmPOS_<build>.txt.gz; the writer's folders carry the score here
-    named_files = raw.withColumn("file", F.concat(F.regexp_extract("file", "prs_id=([^/]+)/", 1), F.lit("_hmPOS_GRCh38.txt")))
-    return tables.score_weights(named_files, scores.withColumn("file_stem", F.col("prs_id")))
+    return raw.withColumn("file", F.concat(F.regexp_extract("file", "prs_id=([^/]+)/", 1), F.lit("_hmPOS_GRCh38.txt")))
 
 
 _SUMMARY = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'GRCh38' ELSE 'GRCh37' END AS Assembly,

@@ -1,5 +1,7 @@
 """Operators and query functions on small tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,30 @@ def test_query_pgx(cohort):
     assert rows_of(traits.query_pgx_region(cohort, "SLCO1B1", "g2").select("pos")) == []
 
 
+def test_query_pgx_with_all_variants(cohort):
+    got = traits.query_pgx(cohort, drug="simvastatin", genome=ALL_GENOMES, include_all_variants=True, max_results=2)
+    region = got.filter("part = 'region'").select("genome", "gene", "pos", "status", "effect", "truncated", "drug_name", "sensitive")
+    # the second genome has reference calls only
+    assert rows_of(region) == [
+        ("g1", "SLCO1B1", 21178615, "T/C", "missense_variant", True, None, False), ("g1", "SLCO1B1", 21178700, "G/G", "missense_variant", True, None, False)
+    ]
+    assert got.filter("part = 'star_alleles'").count() == traits.query_pgx(cohort, drug="simvastatin", genome=ALL_GENOMES).count() == 6
+
+
+def test_query_gwas_marks_warning_genes_and_tells_of_more(cohort, frame):
+    gwas = frame(
+        [("rs1", "t", "A - Cftr", 1e-9, "S1"), ("rs2", "t", None, 1e-8, "S2"), (None, "t", "CFTR", 1e-7, "S3"), (None, "t", "CFTR", 1e-7, "S3"), ("rs4149056", "t", "SLCO1B1", 1e-3, "S4")],
+        "rsid string, trait string, mapped_gene string, p_value double, study_accession string",
+    )
+    cohort = replace(cohort, gwas=gwas.withColumn("mapped_trait", F.col("trait")))
+    columns = ["rank", "rsid", "sensitive", "truncated"]
+    got = traits.query_gwas(cohort, trait="T", max_results=4).select(columns)
+    assert [tuple(row) for row in got.collect()] == [(1, "rs1", True, True), (2, "rs2", False, True), (3, None, True, True), (4, None, True, True)]
+    called = traits.query_gwas(cohort, trait="T", max_results=5, check_calls=True, genome=ALL_GENOMES).select("rank", "rsid", "genome", "genotype", "truncated")
+    assert rows_of(called)[:4] == [(k, rsid, None, None, False) for k, rsid in ((1, "rs1"), (2, "rs2"), (3, None), (4, None))]
+    assert rows_of(called)[4:] == [(5, "rs4149056", "g1", "T/C (het)", False), (5, "rs4149056", "g2", "T/T (ref)", False)]
+
+
 def test_scores_sharing_a_trait_stay_apart(cohort):
     got = traits.calculate_prs(cohort, trait="shared", genome=ALL_GENOMES).select("genome", "prs_id", "score", "found", "no_call", "total")
     assert rows_of(got) == [("g1", "P1", 0.5, 1, 0, 1), ("g1", "P2", -0.5, 1, 0, 2), ("g2", "P1", 0.0, 1, 0, 1), ("g2", "P2", 0.0, 0, 0, 2)]

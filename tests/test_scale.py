@@ -161,6 +161,16 @@ def test_long_region_lists_become_a_join(spark):
     assert filters.in_regions(rows, []).count() == 0
 
 
+def test_identifier_of_every_genome_joins_by_sides_that_can_be_split(spark, no_broadcast):
+    """One identifier over all genomes: the join that meets its calls is an inner one, and associations without a call keep one row."""
+    calls, notes = hot_calls(spark, 900), site_notes(spark)
+    wanted = spark.createDataFrame([("rs500", 1), ("rs500", 2), ("rs1999", 3), (None, 4)], "rsid string, k int")
+    got = joins.association_genotypes(wanted, calls, notes)
+    assert "LeftOuter" not in plan_of(got)
+    counts = {row.k: (row.n, row.genomes) for row in got.groupBy("k").agg(F.count("*").alias("n"), F.count("genome").alias("genomes")).collect()}
+    assert counts == {1: (300, 300), 2: (300, 300), 3: (1, 0), 4: (1, 0)}
+
+
 def test_one_call_per_position_is_spread_by_genome(spark, no_broadcast):
     plan = plan_of(joins.first_calls_at(hot_calls(spark), site_notes(spark)))
     window = plan.index("Window")
