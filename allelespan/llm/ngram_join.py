@@ -11,7 +11,8 @@ Two sets of a and b shingles are similar when they share at least c(a, b) = ceil
   shared shingles has no partner. Small sets that a large set may match are listed too.
 * The boundary between the two is the set size at which the total of the subsets written and of the list entries expected is least.
 
-Equal sets are one class. Lists are scanned in rounds that never pair up a group: in each round every list has one
+Equal sets are one class. Of a class that holds at least one in ``HOT_CLASSES`` of the rows, only the rows with its smallest id send their shingles
+to the lists, once a task; of the others a copy more does no harm. Lists are scanned in rounds that never pair up a group: in each round every list has one
 leader, its members are verified against it by exact overlap, and the links found become components. What has become
 one component needs no more comparing. After the rounds, members of different components that still share a list are all compared: inside the
 list's task, which returns links only, where a list is long, and as distinct pairs where lists are short or sets large.
@@ -34,6 +35,8 @@ from allelespan.llm.word_hashes import SPACED_FOLDED, cut_words, mix, shingle_ru
 
 #: Largest set that may be small, whatever the costs say.
 SMALL_LIMIT = 20
+#: Classes that hold at least one row in this many are hot, so there are never more than that.
+HOT_CLASSES = 10_000
 #: list entries of a chunk: shingles, entries per set, set, set size
 _ENTRY_KINDS = ("u8", "u4", "u8", "u4")
 #: shared shingles on the way back to their sets: set, shingles, set size, shingle, class of its document frequency
@@ -118,13 +121,31 @@ def _small_links(small: DataFrame) -> DataFrame:
     return met.select(F.col("set").alias("a"), F.col("first.set").alias("b"))
 
 
-def _entries(documents: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
-    """(bucket, block): every shingle of the sets of at least ``least`` shingles, dealt out by shingle."""
+def hot_classes(classes: DataFrame, most: int = HOT_CLASSES) -> dict[int, int]:
+    """Names of the classes (set, least, k) that hold at least one in ``most`` of all rows, at most ``most``, with the hash of their smallest id."""
+    total = classes.agg(F.sum("k")).first()[0] or 0
+    hot = classes.filter((F.col("k") > 1) & (F.col("k") * most >= total))
+    return {r["set"]: r["key"] for r in hot.select("set", F.xxhash64("least").alias("key")).collect()}
+
+
+def _entries(documents: DataFrame, hot: dict[int, int], size: int, least: int, buckets: int) -> DataFrame:
+    """(bucket, block): every shingle of the sets of at least ``least`` shingles, dealt out by shingle.
+
+    ``documents`` are (text, key), the key being the hash of the id. Sets named in ``hot`` are sent by the rows of that key only, and once a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            for _, every in _sets(batch.column("text"), size):
-                sets = list({_name(s): s for s in every if len(s) >= least}.items())
+            keys = batch.column("key").to_pylist()
+            for row, every in _sets(batch.column("text"), size):
+                named = {}
+                for s, key in zip(every, keys[row : row + len(every)]):
+                    name = _name(s) if len(s) >= least else None
+                    if name is not None and (name not in hot or (hot[name] == key and name not in sent)):
+                        named[name] = s
+                sent.update(named.keys() & hot.keys())
+                sets = list(named.items())
                 if not sets:
                     continue
                 names = np.array([name for name, _ in sets], dtype=np.int64).view(np.uint64)
@@ -318,12 +339,13 @@ def _links_inside(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _groups(texts: DataFrame, rows: DataFrame, size: int, rounds: int) -> DataFrame:
     """(set, component_id, leads): the smallest id of each class's component, and whether the class holds it."""
     buckets = partitions(texts)
-    classes = rows.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
+    classes = written(rows.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"), F.count("*").alias("k")))
     small = written(rows.filter("small IS NOT NULL").groupBy("set").agg(F.first("n").alias("n"), F.first("small").alias("small")))
     boundary = _boundary(small)
     links = written(_small_links(small.filter(F.col("n") <= boundary)))
     least = -(-4 * (boundary + 1) // 5)
-    sets = written(_candidate_sets(_shared(_entries(texts.select("text"), size, least, buckets), buckets)))
+    entries = _entries(texts.select("text", F.xxhash64("id").alias("key")), hot_classes(classes), size, least, buckets)
+    sets = written(_candidate_sets(_shared(entries, buckets)))
     links = _large_links(sets, links, rounds)
     groups = components(links).select(F.col("node").alias("set"), "component")
     named = written(classes.join(groups, "set", "left").select("set", "least", F.coalesce("component", "set").alias("component")))

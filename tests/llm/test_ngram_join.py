@@ -5,6 +5,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from llm_fixtures import WORDS, awkward, components, edited, folded, prose, spaced
 
 from allelespan.llm import ngram_join
@@ -88,3 +89,31 @@ def test_shingles_are_compared_by_all_their_bits(spark):
     shared = ngram_join._shared(entries, 2).collect()
     held = [ngram_join.unpack(ngram_join._SHARED_KINDS, row.block) for row in shared]
     assert sorted(int(v) for columns in held for v in columns[3]) == [99, 99]
+
+
+def sent_by_set(texts, hot, size=5):
+    """How often each set is sent to the lists."""
+    entries = ngram_join._entries(texts.select("text", F.xxhash64("id").alias("key")), hot, size, 1, 4).collect()
+    held = [ngram_join.unpack(ngram_join._ENTRY_KINDS, row.block) for row in entries]
+    shingles = {}
+    for _, counts, names, sizes in held:
+        for count, name, n in zip(counts.tolist(), names.view(np.int64).tolist(), sizes.tolist()):
+            shingles[name] = shingles.get(name, 0) + count / n
+    return {name: round(times) for name, times in shingles.items()}
+
+
+def test_one_row_of_a_class_sends_its_shingles(spark, frame):
+    """10,000 copies over 16 partitions, some of them with the smallest id or no id at all, and a pair below the share that makes a class hot."""
+    copies = spark.range(10_000).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 5000).alias("id"), F.lit(prose(1, 60)).alias("text"))
+    others = frame([(20_000, prose(2, 60)), (20_001, prose(2, 60)), (None, prose(3, 60)), (None, prose(3, 60)), (20_002, edited(prose(1, 60), 5, 1))], "id bigint, text string")
+    texts = copies.repartition(16).unionByName(others.repartition(5))
+    rows = ngram_join.shingle_sets(texts, 5)
+    classes = rows.groupBy("set").agg(F.min("id").alias("least"), F.count("*").alias("k"))
+    assert len(ngram_join.hot_classes(classes)) == 3
+    some = ngram_join.hot_classes(classes, 2)
+    assert len(some) == 1
+    sent = sent_by_set(texts, some)
+    hot_name = next(iter(some))
+    assert 1 <= sent[hot_name] <= 2 and sorted(sent.values())[0] >= 1 and len(sent) == 4
+    found = ngram_join.similar_documents(texts.withColumnRenamed("id", "doc_id")).groupBy("component_id").count().collect()
+    assert {(r.component_id, r["count"]) for r in found} == {(0, 10_001), (20_000, 2), (None, 2)}  # id 5000 became 0
