@@ -66,3 +66,22 @@ def test_ranges_are_merged():
     assert str(sizing.range_predicate([(5, 9), (1, 4), (20, 30)])).count("pos") == 4
     assert str(sizing.range_predicate([(k * 10, k * 10 + 1) for k in range(500)])).count(">=") == 64
     assert joins.INTERVAL_BIN == 65_536
+
+
+def test_positions_tested_stay_near_the_matches(spark):
+    """A short interval across a large bin's border stays on the smallest level, and a long one meets few positions outside itself."""
+    step, last = 100, 200_000
+    short = [(k, "1", 4_194_304 * k - 50, 4_194_304 * k + 49) for k in range(1, 5)]
+    long = [(10 + k, "1", 1_000_000 * k + 7, 1_000_000 * k + 9_000_000) for k in range(8)]
+    listed = spark.createDataFrame(short + long, "id int, chrom string, start_pos long, end_pos long")
+    variants = spark.range(last).select(F.lit("1").alias("chrom"), (F.col("id") * step).alias("pos"))
+    placed = intervals._placed(listed, intervals.INTERVAL_BIN)
+    assert {row._level for row in placed.filter("id < 10").collect()} == {0}
+    tested = intervals._asking(variants, placed, intervals.INTERVAL_BIN).join(intervals._in_bins(placed), ["chrom", "_level", "_bin"]).groupBy("id").count()
+    met = {row["id"]: row["count"] for row in tested.collect()}
+    for k, _, start, end in short + long:
+        assert met[k] * step <= 1.3 * (end - start) + 2 * intervals.INTERVAL_BIN + step
+    assert intervals._in_bins(placed).groupBy("id").count().agg(F.max("count")).first()[0] <= 65
+    whole = spark.createDataFrame([(1, "1", 0, 2**63 - 2)], "id int, chrom string, start_pos long, end_pos long")
+    assert intervals._in_bins(intervals._placed(whole, intervals.INTERVAL_BIN)).count() <= 65
+    assert intervals.within_intervals(variants, whole).count() == last
