@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Compressed bytes that adaptive execution may merge into one task after a shuffle. Of rows of calls these unfold to twenty times as much in sorts and hash tables.
+TASK_BYTES = "16m"
+_TASK_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """Shuffled tasks stay small, unless the session says otherwise.
+
+    Left to itself, adaptive execution merges the partitions of a shuffle until there are only as many as cores, or until one holds 64 MB.
+    """
+    if _TASK_SETTING not in spark.conf.getAll:
+        spark.conf.set(_TASK_SETTING, TASK_BYTES)
+
+
 def build_session(app_name: str = "allelespan", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators are designed for.
 
@@ -23,6 +37,7 @@ def build_session(app_name: str = "allelespan", master: str | None = None, shuff
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # split a hot join key even where a later step asks for the join's own partitioning
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config(_TASK_SETTING, TASK_BYTES)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.compression.codec", "zstd")
         # chromosome names are text: '1' must not come back as a number from a folder name

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from allelespan import schemas
 from allelespan.plans.cohort import Cohort
-from allelespan.session import shared_folder
+from allelespan.session import bound_tasks, shared_folder
 from testbed import domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        bound_tasks(spark)
 
     def sql(self, query: str) -> DataFrame:
         return domain.spark_sql(self.spark, self.sf_dir, query)

@@ -228,3 +228,17 @@ def test_scattered_positions_prune_row_groups(spark, tmp_path):
     assert output and max(output) < 200_000
     merged = str(sizing.site_predicate(wanted, ranges=5))
     assert merged.count("chrom") == 5
+
+
+def test_shuffled_tasks_stay_small(spark):
+    """Calls unfold in sorts and hash tables, so a session without a setting merges only little of a shuffle into one task."""
+    from allelespan.session import TASK_BYTES
+    from testbed.registry import Tables
+
+    setting, session = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.newSession()
+    session.conf.unset(setting)
+    Tables(session, "/root/testdata/sf0.001")
+    assert session.conf.get(setting) == TASK_BYTES == "16m"
+    session.conf.set(setting, "1g")
+    Tables(session, "/root/testdata/sf0.001")
+    assert session.conf.get(setting) == "1g"
