@@ -10,6 +10,7 @@ text, whatever its length, and nothing is merged in the text itself.
 from __future__ import annotations
 
 import codecs
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -28,73 +29,85 @@ codecs.register_error("one-mark-per-byte", lambda e: ("�" * (e.end - e.start),
 class PrefixEncoder:
     """Encodes independent parts of texts."""
 
-    def __init__(self, vocab: PieceVocabulary, remembered_pairs: int = 200_000):
+    def __init__(self, vocab: PieceVocabulary, remembered_pairs: int = 400_000):
         self.vocab, self.limit = vocab, remembered_pairs
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: by number of the left token times ``self.base`` plus that of the right one; such a key takes a third of a pair of texts
+        self.pairs: dict[int, bool] = {}
+        self.base = max(vocab.ids.values(), default=0) + 1
+        self.texts = {number: piece for piece, number in vocab.ids.items()}
+        self.lengths = [len(self.texts.get(number, "")) for number in range(self.base)]
         self.automaton = ahocorasick.Automaton()
-        for piece in vocab.ids:
+        for piece, number in vocab.ids.items():
             if len(piece) == 1 or self._merges_to(piece, len(piece)) == [piece]:  # others no encoding can hold
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
 
     def _merges_to(self, text: str, border: int) -> list[str] | None:
         """The merged symbols of a short text; None as soon as a merge crosses the border."""
-        ranks, symbols = self.vocab.ranks, list(text)
-        while len(symbols) > 1:
-            best, place = None, -1
-            for k in range(len(symbols) - 1):
-                rank = ranks.get(symbols[k] + symbols[k + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, place = rank, k
-            if best is None:
-                break
-            symbols[place : place + 2] = [symbols[place] + symbols[place + 1]]
-            start = sum(map(len, symbols[:place]))
-            if start < border < start + len(symbols[place]):
+        ranks, never, symbols, before = self.vocab.ranks, len(self.vocab.ranks), list(text), border
+        found = [ranks.get(a + b, never) for a, b in zip(symbols, symbols[1:])]  # of each symbol with the next
+        while found and (best := min(found)) < never:
+            place = found.index(best)
+            if place == before - 1:
                 return None
+            if place < before:
+                before -= 1  # symbols left of the border
+            merged = symbols[place] = symbols[place] + symbols.pop(place + 1)
+            del found[place]
+            if place:
+                found[place - 1] = ranks.get(symbols[place - 1] + merged, never)
+            if place < len(found):
+                found[place] = ranks.get(merged + symbols[place + 1], never)
         return symbols
 
-    def compatible(self, left: str, right: str) -> bool:
+    def _apart(self, left: str, right: str) -> bool:
         """Whether two tokens side by side are their own encoding."""
-        key = (left, right)
+        return self._merges_to(left + right, len(left)) == [left, right]
+
+    def compatible(self, left: int, right: int) -> bool:
+        """``_apart`` of two pieces by their numbers, remembered."""
+        key = left * self.base + right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= self.limit:
                 self.pairs.clear()
-            found = self.pairs[key] = self._merges_to(left + right, len(left)) == [left, right]
+            found = self.pairs[key] = self._apart(self.texts[left], self.texts[right])
         return found
 
     def encode(self, part: str) -> list[int]:
-        size, pairs = len(part), self.pairs
-        last: list[str | None] = [None] * (size + 1)
+        size, known, base, lengths = len(part), self.pairs.get, self.base, self.lengths
+        last = [-1] * (size + 1)  # number of each prefix's last token; -1: none yet, -2: a character that is no piece
         filled = 0  # prefixes up to this length have their last token
-        for place, piece in self.automaton.iter(part):
+        for place, number in self.automaton.iter(part):
             while filled < place:
                 filled += 1
-                if last[filled] is None:
-                    last[filled] = part[filled - 1]  # a character that is no piece
+                if last[filled] == -1:
+                    last[filled] = -2
             end = place + 1
-            if last[end] is None:
-                begin = end - len(piece)
+            if last[end] == -1:
+                begin = end - lengths[number]
                 if begin == 0:
-                    last[end] = piece
+                    last[end] = number
+                    continue
+                left = last[begin]
+                if left < 0:
+                    fits = self._apart(part[begin - 1], part[begin:end])
                 else:
-                    fits = pairs.get((last[begin], piece))
-                    if self.compatible(last[begin], piece) if fits is None else fits:
-                        last[end] = piece
-        for end in range(filled + 1, size + 1):
-            if last[end] is None:
-                last[end] = part[end - 1]
+                    fits = known(left * base + number)
+                    if fits is None:
+                        fits = self.compatible(left, number)
+                if fits:
+                    last[end] = number
         ids: list[int] = []
-        numbers, end = self.vocab.ids, size
+        end = size
         while end:
-            token = last[end]
-            number = numbers.get(token)
-            if number is None:
-                ids.extend(reversed(self.vocab.fallback(token)))
+            number = last[end]
+            if number < 0:
+                end -= 1
+                ids.extend(reversed(self.vocab.fallback(part[end])))
             else:
                 ids.append(number)
-            end -= len(token)
+                end -= lengths[number]
         ids.reverse()
         return ids
 
@@ -103,7 +116,7 @@ class PrefixEncoder:
 def _encoder(model: bytes) -> tuple[PieceVocabulary, Remembered]:
     vocab = vocabulary(model)
     encoder = PrefixEncoder(vocab)
-    return vocab, Remembered(lambda part: np.array(encoder.encode(part), dtype=np.int32).tobytes(), 250_000)
+    return vocab, Remembered(lambda part: array("i", encoder.encode(part)).tobytes(), 250_000)
 
 
 remembers(_encoder.cache_clear)

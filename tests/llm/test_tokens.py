@@ -50,6 +50,28 @@ def test_columns_equal_the_library(odd, nothing):
     assert token_counts.count_tokens(nothing, MODEL).count() == sentencepiece_codec.round_trip(nothing, MODEL).count() == 0
 
 
+def test_pair_tests_look_up_each_neighbour_once():
+    """The merges of two tokens' characters look up a pair when it comes up, not all pairs again after each merge."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    with open(MODEL, "rb") as file:
+        encoder = sentencepiece_codec.PrefixEncoder(vocabulary(file.read()))
+    words = [piece for piece in encoder.vocab.ids if len(piece) >= 8][:200]
+    own, encoder.vocab.ranks = encoder.vocab.ranks, Counted(encoder.vocab.ranks)
+    try:
+        got = [encoder._merges_to(word + "s", len(word) + 1) for word in words]
+    finally:
+        encoder.vocab.ranks = own
+    assert Counted.asked <= sum(3 * len(word) + 3 for word in words)
+    assert ["".join(symbols) for symbols in got] == [word + "s" for word in words]
+
+
 def test_any_ids_decode_as_the_library_does(frame):
     rnd = random.Random(4)
     lists = [[rnd.randrange(3, 32000) for _ in range(12)] for _ in range(60)] + [[rnd.randrange(3, 259) for _ in range(6)] for _ in range(60)]
