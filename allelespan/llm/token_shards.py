@@ -1,13 +1,10 @@
 """Token ids in training order: fixed-stride binary shards that a trainer reads from any slot on.
 
-Texts are tokenised with a byte-level BPE vocabulary, joined with an end mark after each, and cut into sequences of ``length`` ids,
-partition by partition. A first pass counts what every partition of the input gives, so that a second pass can number all
+Texts are tokenised once, with a byte-level BPE vocabulary, joined with an end mark after each, and cut into sequences of ``length``
+ids, partition by partition. They go to the shared folder as compressed blocks, so that the blocks' row counts can number all
 sequences 0 .. N-1 without gathering them. A keyed Feistel network over the next power of four, walked until the number is
 below N again, permutes [0, N): each sequence's slot. Slots are dealt out by range, one range a shard, and the task of a
 range writes each sequence at (slot - first slot) * stride, under a name of its own that becomes the shard's on completion.
-
-Both passes must see the same partitions. That holds for tables read from files; a partition whose ids differ from those
-counted stops the job instead of writing a wrong order.
 """
 
 from __future__ import annotations
@@ -15,6 +12,7 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelespan.llm.arrow_columns import let_workers_import
+from allelespan.llm.arrow_columns import by_bucket, let_workers_import, pack, unpack
 from allelespan.llm.word_hashes import mix
+from allelespan.session import shared_folder
 
 _ROUNDS = 6
+#: Bytes of ids in a block before the shuffle, and of those that a task holds to deal them to shards.
+_BLOCK_BYTES, _HELD_BYTES = 1 << 20, 32 << 20
+#: Bytes of a row group of blocks; Spark's reader holds a whole one.
+_GROUP_BYTES = 16 << 20
+_DEALT = ("u8", "u4", "u2")
 
 
 def slots(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
@@ -65,11 +69,12 @@ class _Packer:
 
     def sequences(self, texts: pa.Array) -> np.ndarray:
         """Full sequences, one a row; the rest waits for the next texts. Null and empty texts give nothing."""
-        parts = [self.rest]
+        ids = array("H", self.rest.tobytes())
         for text in pc.fill_null(texts, "").to_pylist():
             if text:
-                parts.append(np.array([*self.encoding.encode_ordinary(text), self.end], dtype=np.uint16))
-        ids = np.concatenate(parts)
+                ids.fromlist(self.encoding.encode_ordinary(text))
+                ids.append(self.end)
+        ids = np.frombuffer(ids, dtype=np.uint16)
         full = len(ids) // self.length
         self.rest = ids[full * self.length :]
         return ids[: full * self.length].reshape(full, self.length)
@@ -91,6 +96,10 @@ def _packed(batches: Iterator[pa.RecordBatch], packer: _Packer, rows: int = 512)
     yield packer.last()
 
 
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def write_shards(documents: DataFrame, folder: str, ranks_path: str, pattern: str, *, key: int = 1, text: str = "text", length: int = 512, per_shard: int = 16_384) -> DataFrame:
     """Write the ids of every whole text to ``folder`` and return one row per sequence, written to ``folder`` too.
 
@@ -104,52 +113,73 @@ def write_shards(documents: DataFrame, folder: str, ranks_path: str, pattern: st
     with open(ranks_path, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())  # the vocabulary, below a megabyte
     texts = documents.select(F.col(text).cast("string").alias("text"))
+    stride = 2 * length
+    most = max(1, _BLOCK_BYTES // stride)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, check = 0, 0
-        for rows, _ in _packed(batches, _Packer(ranks.value, pattern, length)):
-            n, check = n + len(rows), zlib.crc32(rows.tobytes(), check)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([check], pa.int64())], names=["part", "n", "check"])
-
-    counted = sorted(texts.mapInArrow(count, "part int, n bigint, check bigint").collect())  # a row per partition of the input
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, zstd = TaskContext.get().partitionId(), 0, _zstd()
+        for rows, real in _packed(batches, _Packer(ranks.value, pattern, length)):
+            for start in range(0, len(rows), most):
+                block = rows[start : start + most]
+                values = [part, at, len(block), real, zstd.compress(block.astype("<u2", copy=False).tobytes(), asbytes=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "at", "n", "real", "block"])
+                at += len(block)
+
+    path = shared_folder(spark)
+    schema = "part int, at bigint, n int, real int, block binary"
+    texts.mapInArrow(encode, schema).write.option("parquet.block.size", _GROUP_BYTES).parquet(path)
+    encoded = spark.read.schema(schema).parquet(path)
+    counted = sorted(encoded.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row per partition of the input
     total = sum(r.n for r in counted)
-    starts = dict(zip([r.part for r in counted], np.cumsum([0, *[r.n for r in counted]]).tolist()))
-    expected = spark.sparkContext.broadcast({r.part: (starts[r.part], r.check) for r in counted})
+    starts = spark.sparkContext.broadcast(dict(zip([r.part for r in counted], np.cumsum([0, *[r.n for r in counted]]).tolist())))
     shards = max(1, -(-total // per_shard))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at, wanted = expected.value.get(part, (0, 0))
-        check = 0
-        for rows, real in _packed(batches, _Packer(ranks.value, pattern, length)):
-            check = zlib.crc32(rows.tobytes(), check)
-            slot = slots(np.arange(at, at + len(rows)), total, key)
-            at += len(rows)
-            values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(rows), [None, pa.py_buffer(rows.astype("<u2").tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(np.full(len(rows), real, dtype=np.int32)), values.cast(pa.binary())], names=["shard", "slot", "n_tokens", "ids"])
-        if check != wanted:
-            raise RuntimeError(f"partition {part} gave other ids than when it was counted; write the documents to a table first")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = _zstd()
+
+        def dealt(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            slot, real, ids = (np.concatenate(x) for x in zip(*held))
+            order, bounds = by_bucket(slot // per_shard, shards)
+            for shard in np.flatnonzero(np.diff(bounds)).tolist():
+                own = order[bounds[shard] : bounds[shard + 1]]
+                block = pack(_DEALT, [slot[own], real[own], ids[own].reshape(-1)])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(block)], pa.int64()), pa.array([zstd.compress(block, asbytes=True)], pa.binary())], names=["shard", "size", "block"])
+
+        held, size = [], 0
+        for batch in batches:
+            for part, at, n, real, block in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "n", "real", "block"))):
+                first = starts.value[part] + at
+                ids = np.frombuffer(zstd.decompress(block, n * stride, asbytes=True), dtype="<u2").reshape(n, length)
+                held.append((slots(np.arange(first, first + n), total, key), np.full(n, real, dtype=np.uint32), ids))
+                size += n * stride
+                if size >= _HELD_BYTES:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if held:
+            yield from dealt(held)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stride, held, shard, found = 2 * length, None, None, []
+        shard, held, found, zstd = None, None, [], _zstd()
         for batch in batches:
-            for to, slot, n, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "n_tokens", "ids"))):
+            for to, size, block in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "block"))):
                 if held is None:
-                    shard, held = to, bytearray(stride * (min(total, (to + 1) * per_shard) - to * per_shard))
-                offset = (slot - shard * per_shard) * stride
-                held[offset : offset + stride] = ids
-                found.append((slot, shard, offset, n, zlib.crc32(ids)))
+                    shard, held = to, np.zeros((min(total, (to + 1) * per_shard) - to * per_shard, length), dtype="<u2")
+                slot, real, ids = unpack(_DEALT, zstd.decompress(block, size, asbytes=True))
+                place = slot.astype(np.int64) - shard * per_shard
+                held[place] = ids.reshape(-1, length)
+                found.append((place, real))
         if held is not None:
+            place, real = (np.concatenate(x) for x in zip(*found))
             store, path = fs.FileSystem.from_uri(folder)
             store.create_dir(path, recursive=True)
             own = f"{path}/_{shard:06d}-{uuid.uuid4().hex}"
             with store.open_output_stream(own) as out:
                 out.write(held)
             store.move(own, f"{path}/shard-{shard:06d}.bin")
-            columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "byte_offset", "n_tokens", "crc32"])
+            columns = [place + shard * per_shard, np.full(len(place), shard), place * stride, real, [zlib.crc32(held[p]) for p in place.tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["slot", "shard", "byte_offset", "n_tokens", "crc32"])
 
-    numbered = texts.mapInArrow(number, "shard int, slot bigint, n_tokens int, ids binary")
+    numbered = encoded.mapInArrow(deal, "shard int, size bigint, block binary")
     manifest = numbered.repartitionById(shards, F.col("shard")).mapInArrow(write, "slot bigint, shard int, byte_offset bigint, n_tokens int, crc32 bigint")
     path = f"{folder}/manifest"
     manifest.write.parquet(path)

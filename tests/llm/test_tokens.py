@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -110,3 +111,36 @@ def test_shards_hold_every_id_once_in_slot_order(spark, odd, nothing):
         assert set(s[r.n_tokens :].tolist()) <= {end}
     assert got == want
     assert token_shards.write_shards(nothing, shared_folder(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_shards_read_each_text_once(spark):
+    """Rows that come out otherwise when read again, as of a random sample, still give one whole order."""
+
+    def made(batches):
+        for batch in batches:
+            texts = ["".join(random.SystemRandom().choices("abcdefgh ", k=400)) for _ in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    written = shared_folder(spark)
+    manifest = sorted(token_shards.write_shards(spark.range(0, 200, 1, 3).mapInArrow(made, "text string"), written, RANKS, public_tokenizers.PATTERN, length=64, per_shard=100).collect())
+    sequences = list(token_shards.read_from(written, 0, 64, 100))
+    assert [r.slot for r in manifest] == list(range(len(sequences))) and len(sequences) > 300
+    assert [r.crc32 for r in manifest] == [zlib.crc32(s.tobytes()) for s in sequences]
+    with open(RANKS, "rb") as file:
+        end = token_shards._encoding(file.read(), public_tokenizers.PATTERN)[1]
+    assert sum(int((s[: r.n_tokens] == end).sum()) for r, s in zip(manifest, sequences)) == 200
+
+
+def test_shards_from_many_small_blocks(spark, monkeypatch):
+    """Blocks of a few sequences, dealt several times by a task, come to the order of large ones."""
+    texts = spark.createDataFrame([(f"{k} " * (k % 90),) for k in range(600)], "text string").repartition(3)
+    folder = shared_folder(spark)
+    texts.write.parquet(folder)
+    got = []
+    for sizes in ((1 << 20, 32 << 20), (256, 1024)):
+        monkeypatch.setattr(token_shards, "_BLOCK_BYTES", sizes[0])
+        monkeypatch.setattr(token_shards, "_HELD_BYTES", sizes[1])
+        written = shared_folder(spark)
+        manifest = token_shards.write_shards(spark.read.parquet(folder), written, RANKS, public_tokenizers.PATTERN, length=16, per_shard=50)
+        got.append((sorted(manifest.collect()), [s.tolist() for s in token_shards.read_from(written, 0, 16, 50)]))
+    assert got[0] == got[1] and len(got[0][0]) > 1000
