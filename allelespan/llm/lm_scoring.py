@@ -75,53 +75,72 @@ class Network:
             at += count
 
     def log_probabilities(self, target: np.ndarray, around: np.ndarray, rate: float = 0.0) -> np.ndarray:
-        """Log-probability of each target id given the ids around it; with a rate, also one gradient step."""
-        shape, n = self.shape, len(target)
+        """Log-probability of each target id given the ids around it; with a rate, also one gradient step.
+
+        The words are taken in the order of their groups and stand along the last axis, so that a group is a slice and sums over its members run along whole rows.
+        """
+        shape, n, trained = self.shape, len(target), bool(rate)
+        order, bounds = by_bucket(target // shape.members, shape.groups)
+        bounds, (groups, members) = bounds.tolist(), np.divmod(target[order], shape.members)
+        around = [column[order] for column in around.T]
         weights = 1 + self.place
-        near = self.near[around]
-        hidden = np.tanh(np.einsum("npw,pw->nw", near, weights) + self.lift)
-        groups, members = np.divmod(target, shape.members)
-        scores = hidden @ self.group.T + self.group_bias
-        scores -= scores.max(axis=1, keepdims=True)
-        chance = np.exp(scores)
-        chance /= chance.sum(axis=1, keepdims=True)
-        rows = np.arange(n)
-        out = np.log(np.maximum(chance[rows, groups], 1e-30))
-        slope = np.zeros_like(hidden) if rate else None
-        order = np.argsort(groups, kind="stable")
-        edges = np.searchsorted(groups[order], np.arange(shape.groups + 1))
-        real = np.arange(shape.groups * shape.members).reshape(shape.groups, -1) < shape.ids
-        steps = []
-        for g in np.flatnonzero(np.diff(edges)):
-            own = order[edges[g] : edges[g + 1]]
-            inner = hidden[own] @ self.member[g].T + np.where(real[g], self.member_bias[g], np.float32(-1e9))
-            inner -= inner.max(axis=1, keepdims=True)
-            part = np.exp(inner)
-            part /= part.sum(axis=1, keepdims=True)
-            mine = (np.arange(len(own)), members[own])
-            out[own] += np.log(np.maximum(part[mine], 1e-30))
-            if rate:
-                part[mine] -= 1
-                slope[own] += part @ self.member[g]
-                steps.append((g, part.T @ hidden[own], part.sum(axis=0)))
-        if rate:
-            chance[rows, groups] -= 1
-            slope += chance @ self.group
-            step = np.float32(rate / n)
-            self.group -= step * (chance.T @ hidden)
-            self.group_bias -= step * chance.sum(axis=0)
-            for g, by_member, bias in steps:
-                self.member[g] -= step * by_member
-                self.member_bias[g] -= step * bias
-            slope *= 1 - hidden * hidden
-            self.lift -= step * slope.sum(axis=0)
-            self.place -= step * np.einsum("npw,nw->pw", near, slope)
-            for p in range(around.shape[1]):
-                order = np.argsort(around[:, p], kind="stable")
-                ids = around[order, p]
-                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-                self.near[ids[first]] -= step * np.add.reduceat((slope * weights[p])[order], first, axis=0)
-        return out
+        rows = self.lift + sum((self.near * weight).take(column, axis=0) for column, weight in zip(around, weights))
+        # the last row, of ones, goes with the biases
+        hidden = np.ones((shape.width + 1, n), dtype=np.float32)
+        np.tanh(rows.T, out=hidden[:-1])
+        group, member = np.column_stack([self.group, self.group_bias]), np.concatenate([self.member, self.member_bias[:, :, None]], axis=2)
+        # hidden values lie within 1, so no score is beyond the sum of its parameters
+        large = max(np.abs(group).sum(axis=1).max(), np.abs(member).sum(axis=2).max()) > _SUMMABLE
+        out, chance = _softmax(group @ hidden, groups, large, trained)
+        step = np.float32(rate / n)
+        slope = np.empty((shape.width, n), dtype=np.float32) if trained else None
+        for g in np.flatnonzero(np.diff(bounds)).tolist():
+            own, real = slice(bounds[g], bounds[g + 1]), min(shape.members, shape.ids - g * shape.members)
+            near = hidden[:, own]
+            logs, part = _softmax(member[g, :real] @ near, members[own], large, trained)
+            out[own] += logs
+            if trained:
+                slope[:, own] = self.member[g, :real].T @ part
+                change = step * (part @ near.T)
+                self.member[g, :real] -= change[:, :-1]
+                self.member_bias[g, :real] -= change[:, -1]
+        if trained:
+            slope += self.group.T @ chance
+            change = step * (chance @ hidden.T)
+            self.group -= change[:, :-1]
+            self.group_bias -= change[:, -1]
+            slope *= 1 - hidden[:-1] * hidden[:-1]
+            self.lift -= step * slope.sum(axis=1)
+            near, ids = self.near.copy(), shape.ids + 1
+            columns, slopes = np.arange(0, ids * shape.width, ids)[:, None], slope.astype(np.float64).ravel()
+            for p, weight in enumerate(weights):
+                sums = np.bincount((around[p] + columns).ravel(), weights=slopes, minlength=near.size).reshape(-1, ids).T.astype(np.float32)
+                self.place[p] -= step * (near * sums).sum(axis=0)
+                self.near -= step * weight * sums
+        told = np.empty_like(out)
+        told[order] = out
+        return told
+
+
+#: The least log-probability of a group, and of a member of its group.
+_LEAST = np.float32(np.log(1e-30))
+#: Scores up to here, as powers of e, can be summed as they are.
+_SUMMABLE = 60
+
+
+def _softmax(scores: np.ndarray, chosen: np.ndarray, large: bool, trained: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of each column's chosen row and, to train on, the gradient of its negative by all scores, which are overwritten."""
+    if large:
+        scores -= scores.max(axis=0)
+    flat, cells = scores.reshape(-1), chosen * scores.shape[1] + np.arange(scores.shape[1])
+    logs = flat[cells]
+    np.exp(scores, out=scores)
+    total = scores.sum(axis=0)
+    logs -= np.log(total)
+    if trained:
+        scores /= total
+        flat[cells] -= 1
+    return np.maximum(logs, _LEAST), scores
 
 
 @dataclass
@@ -143,20 +162,26 @@ class Vocabulary:
 
     def read(self, words: Words) -> np.ndarray:
         at, known = self.find(words.hashes)
-        other = self.shape.words + self.other(words.hashes)
-        ids = np.where(known, self.ids[at] if len(self.ids) else 0, other)
+        ids = self.shape.words + self.other(words.hashes)
+        ids[known] = self.ids[at[known]]
         # neighbours in rank lie in different groups, so that groups are of like weight
-        return ids % self.shape.groups * self.shape.members + ids // self.shape.groups
+        every = np.arange(self.shape.ids)
+        return (every % self.shape.groups * self.shape.members + every // self.shape.groups)[ids]
 
     def around(self, words: Words, ids: np.ndarray) -> np.ndarray:
         """Ids on both sides of every word; beyond the text's edges the edge's id."""
-        text = np.repeat(np.arange(words.texts), np.diff(words.first))
-        first, stop, at = words.first[text], words.first[text + 1], np.arange(len(ids))
-        columns = []
-        for shift in [*range(-self.shape.window, 0), *range(1, self.shape.window + 1)]:
-            there = at + shift
-            columns.append(np.where((there >= first) & (there < stop), ids[np.clip(there, 0, max(len(ids) - 1, 0))], self.shape.ids))
-        return np.stack(columns, axis=1)
+        first, stop, edge = words.first[:-1], words.first[1:], self.shape.ids
+        before, after = [], []
+        for shift in range(1, self.shape.window + 1):
+            left, right = np.full_like(ids, edge), np.full_like(ids, edge)
+            left[shift:], right[:-shift] = ids[:-shift], ids[shift:]
+            for k in range(shift):
+                has = first + k < stop
+                left[first[has] + k], right[stop[has] - 1 - k] = edge, edge
+            before.insert(0, left)
+            after.append(right)
+        # every side's ids stand together in memory
+        return np.stack(before + after).T
 
 
 def count_words(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from llm_fixtures import WORDS
 
 from allelespan.llm import lm_scoring
@@ -100,3 +102,48 @@ def test_made_up_words_score_below_prose_in_the_report(spark):
     df = spark.createDataFrame(list(enumerate(prose + made_up)), "doc_id bigint, text string")
     got = {r.doc_id: r.mean_log_probability for r in lm_scoring.lm_report(df).collect()}
     assert max(got[300 + k] for k in range(100)) < min(got[k] for k in range(300))
+
+
+@pytest.mark.parametrize("size", [1, 60])
+def test_probabilities_equal_plain_softmax(size):
+    """Also with parameters so large that powers of e overflow."""
+    rnd = np.random.default_rng(5)
+    network = lm_scoring.Network(SMALL, lm_scoring.Network(SMALL).flat * size)
+    target, around = rnd.integers(0, SMALL.ids, 300), rnd.integers(0, SMALL.ids + 1, (300, 4))
+    got, want = network.log_probabilities(target, around), []
+    flat = {name: getattr(network, name).astype(np.float64) for name in ("near", "place", "lift", "group", "group_bias", "member", "member_bias")}
+    for word, sides in zip(target.tolist(), around.tolist()):
+        hidden, total = np.tanh(sum(flat["near"][i] * (1 + w) for i, w in zip(sides, flat["place"])) + flat["lift"]), 0.0
+        g, m = divmod(word, SMALL.members)
+        for scores, chosen in ((flat["group"] @ hidden + flat["group_bias"], g), (flat["member"][g] @ hidden + flat["member_bias"][g], m)):
+            total += max(scores[chosen] - scores.max() - np.log(np.exp(scores - scores.max()).sum()), np.log(1e-30))
+        want.append(total)
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-4)
+
+
+def test_a_step_sorts_its_words_once(monkeypatch):
+    """By group, and by 16 bits, not also by the ids on every side."""
+    rnd, sorted_arrays, argsort = np.random.default_rng(6), [], np.argsort
+    network = lm_scoring.Network(SMALL)
+    target, around = rnd.integers(0, SMALL.ids, 500), rnd.integers(0, SMALL.ids + 1, (500, 4))
+    monkeypatch.setattr(np, "argsort", lambda values, **how: sorted_arrays.append(values.dtype) or argsort(values, **how))
+    network.log_probabilities(target, around, 1.0)
+    assert sorted_arrays == [np.uint16]
+
+
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_sides_stop_at_the_edges_of_a_text(window):
+    shape = lm_scoring.Shape(words=6, others=2, groups=4, width=6, window=window)
+    texts = ["a", "", "b c", None, "d e f x y a b", "q", "  "]
+    for (words,) in (list(cut_words(pa.array(texts), SPACED_FOLDED)), list(cut_words(pa.array(["z"]), SPACED_FOLDED)), list(cut_words(pa.array([""]), SPACED_FOLDED))):
+        known = np.sort(words.hashes[:6])
+        vocabulary = lm_scoring.Vocabulary(known, np.arange(len(known)), shape)
+        ids = vocabulary.read(words)
+        ranks = [known.tolist().index(h) if h in known else 6 + int(h) % 2 for h in words.hashes]
+        assert ids.tolist() == [r % 4 * 2 + r // 4 for r in ranks]
+        got = vocabulary.around(words, ids)
+        assert got.shape == (len(ids), 2 * window)
+        for first, stop in zip(words.first[:-1], words.first[1:]):
+            for at in range(first, stop):
+                sides = [at + k for k in range(-window, window + 1) if k]
+                assert got[at].tolist() == [ids[k] if first <= k < stop else shape.ids for k in sides]
