@@ -31,8 +31,8 @@ from allelespan.session import shared_folder
 _ROUNDS = 6
 #: Bytes of ids in a block before the shuffle, and of those that a task holds to deal them to shards.
 _BLOCK_BYTES, _HELD_BYTES = 1 << 20, 32 << 20
-#: Bytes of a row group of blocks; Spark's reader holds a whole one.
-_GROUP_BYTES = 16 << 20
+#: Row groups of blocks, of which Spark's reader holds a whole one: their bytes, looked at after so many rows (100 otherwise).
+_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 8}
 _DEALT = ("u8", "u4", "u2")
 
 
@@ -97,7 +97,7 @@ def _packed(batches: Iterator[pa.RecordBatch], packer: _Packer, rows: int = 512)
 
 
 def _zstd() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=3)
+    return pa.Codec("zstd", compression_level=5)
 
 
 def write_shards(documents: DataFrame, folder: str, ranks_path: str, pattern: str, *, key: int = 1, text: str = "text", length: int = 512, per_shard: int = 16_384) -> DataFrame:
@@ -127,7 +127,7 @@ def write_shards(documents: DataFrame, folder: str, ranks_path: str, pattern: st
 
     path = shared_folder(spark)
     schema = "part int, at bigint, n int, real int, block binary"
-    texts.mapInArrow(encode, schema).write.option("parquet.block.size", _GROUP_BYTES).parquet(path)
+    texts.mapInArrow(encode, schema).write.options(**_GROUPS).parquet(path)
     encoded = spark.read.schema(schema).parquet(path)
     counted = sorted(encoded.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row per partition of the input
     total = sum(r.n for r in counted)
