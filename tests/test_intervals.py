@@ -85,3 +85,57 @@ def test_positions_tested_stay_near_the_matches(spark):
     whole = spark.createDataFrame([(1, "1", 0, 2**63 - 2)], "id int, chrom string, start_pos long, end_pos long")
     assert intervals._in_bins(intervals._placed(whole, intervals.INTERVAL_BIN)).count() <= 65
     assert intervals.within_intervals(variants, whole).count() == last
+
+
+def test_long_intervals_are_covered_by_disjoint_bins(spark):
+    """Every position in an interval meets it in one bin, whatever its sign; one outside meets it only at its ends."""
+    rnd = random.Random(5)
+    starts = [rnd.randrange(-3_000_000, 3_000_000) for _ in range(60)] + [0, -1, -64, -63, 64, 511, -512, 4096, 2**63 - 10**9]
+    spans = [(i, "1", a, min(a + rnd.choice([0, 63, 64, 512, 5_000, 32_768, 300_000, 5_000_000]), 2**63 - 2)) for i, a in enumerate(starts)]
+    spans += [(100, "1", -(10**18), 8 * 10**18), (101, "1", 9, 8), (102, "2", 1, 10**7)]
+    edges = [p + d for _, _, a, b in spans for p in (a, b) for d in (-1, 0, 1)]
+    places = sorted({*edges, *(rnd.randrange(-4_000_000, 8_000_000) for _ in range(300)), 0, -7, 7, 63, -63, 64, -64})
+    listed = spark.createDataFrame(spans, "id int, chrom string, start_pos long, end_pos long")
+    variants = spark.createDataFrame([("1", p) for p in places], "chrom string, pos long")
+    smallest = 64
+    placed = intervals._placed(listed, smallest)
+    highest = intervals._used_levels(placed)[-1]
+    covering = intervals._covering(placed, smallest, highest)
+    assert covering.groupBy("id").count().agg(F.max("count")).first()[0] <= 65 + 14 * highest
+    assert covering.filter("NOT _whole AND _level > 0").count() == 0
+    met = intervals._asking(variants, placed, smallest, range(highest + 1)).join(covering, ["chrom", "_level", "_bin"])
+    seen = [(row["id"], row.pos, row._whole) for row in met.select("id", "pos", "_whole").collect()]
+    inside = {(i, p) for i, c, a, b in spans for p in places if c == "1" and a <= p <= b}
+    assert len({(i, p) for i, p, _ in seen}) == len(seen) and inside <= {(i, p) for i, p, _ in seen}
+    assert {(i, p) for i, p, whole in seen if whole} <= inside
+    got = intervals.within_intervals(variants, listed, smallest)
+    assert got.columns == ["chrom", "pos", "id", "start_pos", "end_pos"]
+    assert rows_of(got.select("id", "pos")) == sorted(inside, key=repr)
+
+
+def joined_rows(df) -> int:
+    """Rows that the joins of a query put out; runs the query."""
+    df.collect()
+    nodes, output = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if "Join" in node.nodeName():
+            output += node.metrics().apply("numOutputRows").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+    return output
+
+
+def test_long_intervals_are_joined_as_lists(spark, monkeypatch):
+    """Positions that lie in thousands of long intervals are joined with lists of them, not one by one."""
+    listed = spark.range(2_500).select(F.col("id").alias("region"), F.lit("1").alias("chrom"), (F.col("id") * 100).alias("start_pos"), (F.col("id") * 100 + 40_000_000).alias("end_pos"))
+    variants = spark.range(400).select(F.lit("1").alias("chrom"), (F.col("id") * 100_000).alias("pos"))
+    pairs = sum(1 for p in range(0, 40_000_000, 100_000) for k in range(2_500) if k * 100 <= p <= k * 100 + 40_000_000)
+    counted = intervals.within_intervals(variants, listed).groupBy().count()
+    assert joined_rows(counted) < pairs // 200
+    assert counted.first()[0] == pairs
+    monkeypatch.setattr(intervals, "LISTED_INTERVALS", 7)
+    assert intervals.within_intervals(variants, listed).select("region", "pos").distinct().count() == pairs
